@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash, warc
 
 QUERIES = {
     "op2_simhash": simhash.query,
     "op3_exact_dedup": exact_dedup.query,
+    "op4_best_fit_packing": packing.query,
+    "op9_warc": warc.query,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
