@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash, warc
+from . import exact_dedup, html_extract, licenses, packing, simhash, warc
 
 QUERIES = {
     "op2_simhash": simhash.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_best_fit_packing": packing.query,
+    "op5_html_extract": html_extract.query,
+    "op7_license_scan": licenses.query,
     "op9_warc": warc.query,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op7_license_scan": licenses.ORACLE,
     "op9_warc": warc.ORACLE,
 }
