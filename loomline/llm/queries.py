@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, licenses, packing, simhash, warc
+from . import exact_dedup, html_extract, licenses, packing, quality, simhash, warc
 
 QUERIES = {
     "op2_simhash": simhash.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.query,
     "op5_html_extract": html_extract.query,
     "op7_license_scan": licenses.query,
+    "op8_quality": quality.query,
     "op9_warc": warc.query,
 }
 
