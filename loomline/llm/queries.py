@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, licenses, packing, quality, simhash, warc
+from . import exact_dedup, html_extract, language, licenses, packing, quality, simhash, warc
 
 QUERIES = {
     "op2_simhash": simhash.query,
@@ -12,6 +12,8 @@ QUERIES = {
     "op7_license_scan": licenses.query,
     "op8_quality": quality.query,
     "op9_warc": warc.query,
+    "op10_language_id": language.query,
+    "language_id_pages": language.pages_query,
 }
 
 ORACLES = {
