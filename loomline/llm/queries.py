@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language, licenses, packing, quality, simhash, warc
+from . import exact_dedup, html_extract, language, licenses, neighbours, packing, quality, simhash, warc
 
 QUERIES = {
+    "op1_nearest_neighbours": neighbours.query,
     "op2_simhash": simhash.query,
     "op3_exact_dedup": exact_dedup.query,
     "op4_best_fit_packing": packing.query,
