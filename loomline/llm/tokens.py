@@ -7,54 +7,88 @@ So a worker keeps the ids of the words it has met, as bytes, and asks the librar
 from __future__ import annotations
 
 import functools
+import re
+from array import array
 from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
 
 #: Words whose ids a worker keeps; beyond that it starts afresh.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_200_000
+
+
+def packed(ids: Iterable[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return array("I", ids).tobytes() if array("I").itemsize == 4 and np.little_endian else np.array(ids, "<u4").tobytes()
 
 
 class WordCache:
-    """ids(texts): for each text its ids as little-endian unsigned 32-bit numbers, in bytes.
+    """ids(texts): for each text its ids, packed.
 
-    split: the words of a text; encode: the ids of each of several words. It holds for any text that
-    encode("".join of the words) is the ids of the words joined, which the caller vouches for.
+    split: the words of a text; encode: the packed ids of each of several words. It holds for any text that the ids of
+    the text are the ids of its words joined, which the caller vouches for.
     """
 
-    def __init__(self, split: Callable[[str], list], encode: Callable[[list], Iterable[list[int]]]):
-        self.split, self.encode, self.known = split, encode, {}
+    def __init__(self, split: Callable[[str], list], encode: Callable[[list], Iterable[bytes]], most: int = CACHED_WORDS):
+        self.split, self.encode, self.most, self.known = split, encode, most, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [self.split(t) for t in texts]
         new = set(chain.from_iterable(words)).difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
+        if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = set(chain.from_iterable(words))
         new = list(new)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self.known.update(zip(part, (np.array(x, "<u4").tobytes() for x in self.encode(part)), strict=True))
+            self.known.update(zip(part, self.encode(part), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
 
+#: Latin letters, then signs but the apostrophe: in a tokenizer that parts letters from signs, two words of one pre-token each.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+#: Plain parts that are encoded as one text, as the library is quicker over a long text than over many short ones.
+TOGETHER = 400
+
+
+class PartEncoder:
+    """Packed ids of words; those of plain letters and signs by their two parts, each new part once."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.parts = tokenizer, {b"": b""}
+        vocab = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a pre-token
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        split = [m.groups() if (m := PLAIN.fullmatch(w)) else None for w in words]
+        if len(self.parts) > CACHED_WORDS // 2:
+            self.parts = {b"": b""}
+        new = list(set(chain.from_iterable(filter(None, split))).difference(self.parts))
+        groups = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            data = packed(e.ids)
+            at = [0, *(4 * np.flatnonzero(self.last[np.frombuffer(data, "<u4")]) + 4).tolist()]
+            if len(at) != len(group) + 1 or at[-1] != len(data):
+                raise AssertionError("each part is one pre-token")
+            self.parts.update(zip(group, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+        odd = iter(self.tokenizer.encode_batch_fast([w.decode() for w, s in zip(words, split, strict=True) if s is None], add_special_tokens=False))
+        return [packed(next(odd).ids) if s is None else self.parts[s[0]] + self.parts[s[1]] for s in split]
+
+
 @functools.cache
 def word_bpe(path: str) -> WordCache:
-    """Of a tokenizers file whose pre-tokenizer drops white space; special tokens of the file hold no white space.
+    """Of a tokenizers file with word ends whose normaliser is NFC and lower case and whose pre-tokenizer drops white space and parts letters, digits and signs.
 
-    Words are runs of anything but ASCII white space, which is white space for the tokenizer as well; its normaliser (NFC,
-    lower case) and its pattern work within them alone.
+    Words are runs of anything but ASCII white space, which is white space for the tokenizer as well. ASCII capitals
+    are lower-cased first, unless the text has what may be a special token, which is one in small letters only.
     """
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-
-    def encode(words: list[bytes]) -> Iterable[list[int]]:
-        return (e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False))
-
-    return WordCache(lambda text: text.encode().split(), encode)
+    encode = PartEncoder(Tokenizer.from_file(path))
+    return WordCache(lambda text: (text.encode() if "<|" in text else text.encode().lower()).split(), encode)
 
 
 def public_tokenizer(name: str) -> str:
