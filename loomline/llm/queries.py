@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language, licenses, neighbours, packing, quality, simhash, warc
+from . import exact_dedup, html_extract, language, licenses, neighbours, packing, quality, sentencepiece, simhash, warc
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.query,
     "op4_best_fit_packing": packing.query,
     "op5_html_extract": html_extract.query,
+    "op6_sentencepiece": sentencepiece.query,
     "op7_license_scan": licenses.query,
     "op8_quality": quality.query,
     "op9_warc": warc.query,
