@@ -1,15 +1,61 @@
-"""The corpus pipeline: stages that each take and, but for the last, return documents."""
+"""The corpus pipeline: language ID, quality, exact and near deduplication, packing.
+
+STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. All but
+the last return the columns of documents. run() applies them to the documents of a folder, each written to the shared folder
+before the next reads it. SQL cannot express the fitted models and the tokenizer, so there is no ORACLE_SQL; the stages are
+tested against plain versions of themselves.
+
+Null texts count as empty; empty texts have no language and go in the first stage. Columns that documents have besides pass through. An empty table gives no sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.llm import exact_dedup, language, packing, quality, simhash
+from loomline.llm.common import written
+from loomline.llm.tokens import public_tokenizer
+
+
+def _without(docs: DataFrame, verdicts: DataFrame, keeps) -> DataFrame:
+    """docs but for the ids that only have verdicts against them: those are few, or else are joined by their ids."""
+    gone = verdicts.groupBy("doc_id").agg(F.max(keeps).alias("_stays")).filter(~F.col("_stays")).select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an identified language."""
+    return _without(docs, language.identify_documents(docs), F.col("accepted"))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from those of the labels that are not held out, takes for good."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, quality.score(docs, labels), F.col("predicted") == 1)
+
+
+def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by fingerprints that differ in four bits at most, the one with the smallest doc_id."""
+    return simhash.drop_near_copies(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents in sequences of 4096."""
+    return packing.pack_documents(docs, public_tokenizer("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [("language ID", known_language), ("quality classifier", good_quality), ("exact dedup", no_exact_copies), ("SimHash near-dedup", no_near_copies), ("best-fit packing", packed)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -110,9 +110,6 @@ class Discriminant:
     def from_moments(cls, moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Discriminant:
         """moments: for class 0 and 1 the number of rows, the sums and the sums of products of their statistics."""
         d = len(FEATURES)
-        for y in (0, 1):
-            if moments.get(y, (0,))[0] < 2:
-                raise ValueError("either class needs two labelled rows at least")
         total = sum(m[0] for m in moments.values())
         centre = sum(m[1] for m in moments.values()) / total
         inside = {y: m[2] / m[0] - np.outer(m[1] / m[0], m[1] / m[0]) for y, m in moments.items()}
@@ -136,8 +133,11 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.sign(z) * np.log1p(np.abs(z))))
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
-    """stats: from statistics_of. labels: rows to learn from; a label other than 0 and 1 and ids without a text are left out, repeats count again."""
+def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant | None:
+    """stats: from statistics_of. labels: rows to learn from; a label other than 0 and 1 and ids without a text are left out, repeats count again.
+
+    None if there are not two rows of either class.
+    """
     ship(stats.sparkSession)
     learn = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1))
     d = len(FEATURES)
@@ -156,6 +156,8 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     flat = np.zeros((2, 1 + d + d * d))
     for r in rows:
         flat[r["y"], r["at"]] = r["v"]
+    if min(flat[:, 0]) < 2:
+        return None
     return Discriminant.from_moments({c: (flat[c, 0], flat[c, 1 : 1 + d], flat[c, 1 + d :].reshape(d, d)) for c in (0, 1)})
 
 
@@ -168,14 +170,15 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per row of df: id, held_out, score and predicted, learnt from the rows of labels that are not held out.
 
     Null and empty texts have a score as well. Null ids are scored and count as not held out. Repeated rows stay, an empty df
-    gives no rows if labels can be learnt from at all; labels without two rows of either class among df raise ValueError.
+    gives no rows. Without two labelled rows of either class nothing can be learnt: then every score is a half.
     """
     stats = written(statistics_of(df, id_col, text_col), "statistics")
     model = fit(stats, training_rows(labels, id_col), id_col, label_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.scores(np.array(b.column(1).to_pylist(), float).reshape(-1, len(FEATURES)))
+            x = np.array(b.column(1).to_pylist(), float).reshape(-1, len(FEATURES))
+            s = model.scores(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32), pa.int32())], ["_id", "score", "predicted"])
 
     held_out = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
