@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from .common import need_columns, salted_lookup, ship, written
 
 #: Vectors from which the estimates of success are fitted: a bound on the sample, whatever the input; all vectors are indexed.
-FIT_VECTORS, FIT_QUERIES = 8_000, 150
+FIT_VECTORS, FIT_QUERIES = 16_000, 150
 TABLES, RECALL = 2, 0.97
 #: Vectors that a bucket, and a task's share of the index, should have on average; slot width in standard deviations.
 BUCKET, SHARE, WIDTH = 64, 3_000, 1.4
-#: Buckets beyond which a query stops estimating and is compared with the rest in full.
-MOST_PROBES = 20_000
+#: Combinations of slots that are held at a time, the best of them, and the chance below which a single slot is not tried.
+MOST_PROBES, LEAST_CHANCE = 20_000, 0.004
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
@@ -89,10 +89,12 @@ class Hashing:
             chances = np.diff(edges, axis=-1)
             for i, chance in enumerate(chances):
                 p, found = np.ones(1), np.zeros((1, 0), np.int64)
-                for row in chance:  # the best combinations of the first slots contain the prefixes of the best combinations of all
+                for row in chance:
+                    likely = np.flatnonzero(row >= LEAST_CHANCE)
+                    row, own = row[likely], slots[likely]
                     p = (p[:, None] * row).ravel()
-                    found = np.column_stack([np.repeat(found, len(slots), axis=0), np.tile(slots, len(found))])
-                    if len(p) > MOST_PROBES:
+                    found = np.column_stack([np.repeat(found, len(own), axis=0), np.tile(own, len(found))])
+                    if len(p) > MOST_PROBES:  # the best of all begin with the best of these
                         best = np.argpartition(-p, MOST_PROBES)[:MOST_PROBES]
                         p, found = p[best], found[best]
                 order = np.argsort(-p, kind="stable")
@@ -162,7 +164,9 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     sample = np.stack(drawn["_vec"].to_list()) if len(drawn) else np.zeros((0, sizes["d"]))
     if len(sample) < 2:
         sample = np.stack([r["_vec"] for r in points.select("_vec").limit(2).collect()])
-    hashing = spark.sparkContext.broadcast(fit(np.asarray(sample, float), longest, count, k, tables, recall))
+    sample = np.asarray(sample, float)
+    hashing = spark.sparkContext.broadcast(fit(sample, longest, count, k, tables, recall))
+    reference = spark.sparkContext.broadcast(sample)
     parts = max(1, math.ceil(count * tables / SHARE))
 
     def index(batches):
@@ -180,22 +184,26 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
                 b = whole.slice(at, 100)
                 x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
                 rows = []
-                for q, vec, keys in zip(b.column(0).to_pylist(), x, hashing.value.probes(x), strict=True):
+                # what so many vectors of the sample exceed can't be among the k + 1 nearest
+                known = x @ reference.value.T
+                enough = 2 * (k + 1)
+                bound = np.partition(known, -enough, axis=1)[:, -enough] if known.shape[1] >= enough else np.full(len(x), -np.inf)
+                for q, vec, keys, least in zip(b.column(0).to_pylist(), x, hashing.value.probes(x), bound, strict=True):
                     of = keys % parts
                     order = np.argsort(of, kind="stable")
                     cut = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
-                    rows += [(int(of[g[0]]), q, vec, keys[g]) for g in np.split(order, cut[1:])]
-                part, q, vec, keys = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(q, pa.int64()), pa.array(vec, pa.list_(pa.float64())), pa.array(keys, pa.list_(pa.int64()))], ["_part", "_q", "_vec", "_keys"])
+                    rows += [(int(of[g[0]]), q, vec, least, keys[g]) for g in np.split(order, cut[1:])]
+                part, q, vec, least, keys = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(q, pa.int64()), pa.array(vec, pa.list_(pa.float64())), pa.array(least, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], ["_part", "_q", "_vec", "_bound", "_keys"])
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Candidates in the shared buckets of one part, and of them the k + 1 best of each query."""
-        empty = pd.DataFrame({"_q": [], "_p": [], "_score": []}).astype({"_q": "int64", "_p": "int64", "_score": "float64"})
+        empty = pd.DataFrame({"_q": [], "_p": [], "_least": [], "_score": []}).astype({"_q": "int64", "_p": "int64", "_least": "int64", "_score": "float64"})
         if not len(left) or not len(right):
             return empty
         left = left.sort_values("_key", ignore_index=True)
         x, key, p, low = np.stack(left["_vec"].to_list()), left["_key"].to_numpy(), left["_p"].to_numpy(), left["_least"].to_numpy()
-        y, q = np.stack(right["_vec"].to_list()), right["_q"].to_numpy()
+        y, q, bound = np.stack(right["_vec"].to_list()), right["_q"].to_numpy(), right["_bound"].to_numpy()
         wanted = np.concatenate(right["_keys"].to_list())
         who = np.repeat(np.arange(len(q)), right["_keys"].map(len).to_numpy())
         full = np.flatnonzero(right["_keys"].map(len).to_numpy() == 0)  # these compare with every vector, once
@@ -212,42 +220,43 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
         for span, mine in groups:
             for block in np.array_split(mine, max(1, len(mine) * (len(key) if len(full) else BUCKET) // 4_000_000)):
                 score, ids, names = y[block] @ x[span].T, low[span], p[span]
+                edge = bound[block, None]
                 if score.shape[1] > k + 1:
-                    edge = -np.partition(-score, k, axis=1)[:, k : k + 1]
-                    r, c = np.nonzero(score >= edge)  # with all ties at the edge
-                else:
-                    r, c = np.divmod(np.arange(score.size), score.shape[1])
+                    edge = np.maximum(edge, -np.partition(-score, k, axis=1)[:, k : k + 1])
+                r, c = np.nonzero(score >= edge)  # with all ties at the edge
                 out.append((block[r], score[r, c], ids[c], names[c]))
         if not out:
             return empty
         who, score, ids, names = (np.concatenate(v) for v in zip(*out, strict=True))
         order = np.lexsort((names, ids, -score, who))
-        who, score, names = who[order], score[order], names[order]
+        who, score, ids, names = who[order], score[order], ids[order], names[order]
         fresh = np.r_[True, (who[1:] != who[:-1]) | (names[1:] != names[:-1])]  # tables of one part may share a candidate
-        who, score, names = who[fresh], score[fresh], names[fresh]
-        nth = np.arange(len(who)) - np.repeat(np.flatnonzero(np.r_[True, who[1:] != who[:-1]]), np.diff(np.r_[np.flatnonzero(np.r_[True, who[1:] != who[:-1]]), len(who)]))
-        keep = nth <= k
-        return pd.DataFrame({"_q": q[who[keep]], "_p": names[keep], "_score": score[keep]})
+        who, score, ids, names = who[fresh], score[fresh], ids[fresh], names[fresh]
+        first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        keep = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)])) <= k
+        return pd.DataFrame({"_q": q[who[keep]], "_p": names[keep], "_least": ids[keep], "_score": score[keep]})
 
     table = points.select("_p", "_vec", F.col("_ids")[0].alias("_least")).mapInArrow(index, "_part int, _key long, _once boolean, _p long, _vec array<double>, _least long")
     held = table.repartition(parts, "_part").groupBy("_part")
 
     def search(asks: DataFrame) -> DataFrame:
         """(_q, _found): the k + 1 best (score, id) of each query, merged over all parts."""
-        found = held.cogroup(asks.repartition(parts, "_part").groupBy("_part")).applyInPandas(rank, "_q long, _p long, _score double")
-        merged = found.groupBy("_q", "_p").agg(F.max("_score").alias("_score")).join(points.select("_p", "_ids"), "_p")
-        best = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_score"), F.col("_ids")[0]))
-        few = merged.withColumn("_nth", best).filter(F.col("_nth") <= k + 1)  # each stands for one id at least
+        found = held.cogroup(asks.repartition(parts, "_part").groupBy("_part")).applyInPandas(rank, "_q long, _p long, _least long, _score double")
+        merged = found.groupBy("_q", "_p").agg(F.max("_score").alias("_score"), F.min("_least").alias("_least"))
+        best = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_score"), "_least"))
+        few = merged.withColumn("_nth", best).filter(F.col("_nth") <= k + 1).join(points.select("_p", "_ids"), "_p")  # each stands for one id at least
         ids = F.flatten(F.collect_list(F.transform("_ids", lambda i: F.struct((-F.col("_score")).alias("far"), i.alias("id")))))
         return few.groupBy("_q").agg(F.slice(F.array_sort(ids), 1, k + 1).alias("_found"))
 
-    found = written(search(asked.select("_q", "_vec").mapInArrow(probe, "_part int, _q long, _vec array<double>, _keys array<long>")), "found")
+    # few bytes but much work: the number of partitions is given, so that they are not put together by their size
+    dealt = asked.select("_q", "_vec").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = written(search(dealt.mapInArrow(probe, "_part int, _q long, _vec array<double>, _bound double, _keys array<long>")), "found")
     total = points.agg(F.sum(F.size("_ids"))).first()[0]
     enough = min(k + 1, total)
     # a query that met fewer than there are is compared with every vector
     poor = asked.join(found.filter(F.size("_found") >= enough), "_q", "left_anti").select("_q", "_vec")
     if not poor.isEmpty():
-        full = poor.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), "_q", "_vec", F.array().cast("array<long>").alias("_keys"))
+        full = poor.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), "_q", "_vec", F.lit(float("-inf")).alias("_bound"), F.array().cast("array<long>").alias("_keys"))
         rest = written(search(full), "found")
         found = found.join(rest, "_q", "left_anti").unionByName(rest)
     answers = asked.join(found, "_q").select("_vec", "_found")
