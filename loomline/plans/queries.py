@@ -488,12 +488,12 @@ def reading_time(spark, d):
 
 @register(
     "url_extract",
-    "SELECT page_id, url, regexp_extract_all('see ' || url || ' and ' || url || ' now', 'https?://[^\\s]+') AS urls, CASE WHEN length(url) > 50 THEN left(url, 47) || '...' ELSE url END AS label, length(regexp_replace('see ' || url || ' now', 'https?://[^\\s]+', '', 'g')) AS rest FROM pages",
+    "SELECT page_id, url, array_to_string(regexp_extract_all('see ' || url || ' and ' || url || ' now', 'https?://[^\\s]+'), ' ') AS urls, CASE WHEN length(url) > 50 THEN left(url, 47) || '...' ELSE url END AS label, length(regexp_replace('see ' || url || ' now', 'https?://[^\\s]+', '', 'g'))::INT AS rest FROM pages",
 )
 def url_extract(spark, d):
     u = F.col("url")
     twice, once = F.concat(F.lit("see "), u, F.lit(" and "), u, F.lit(" now")), F.concat(F.lit("see "), u, F.lit(" now"))
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", text.urls(twice).alias("urls"), text.url_label(u).alias("label"), text.length_without_urls(once).alias("rest"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.array_join(text.urls(twice), " ").alias("urls"), text.url_label(u).alias("label"), text.length_without_urls(once).alias("rest"))
 
 
 @register(
