@@ -91,3 +91,9 @@ def hides_created(created: Column, completed: Column) -> Column:
 def edited_label(created: Column, updated: Column) -> Column:
     """The time alone on the day of creation, else with the date."""
     return F.when(same_day(created, updated), F.date_format(updated, "HH:mm")).otherwise(F.date_format(updated, "yyyy/MM/dd HH:mm"))
+
+
+def months_over(ts: Column, months: int) -> Column:
+    """So many months on or back at the same day of the month; a day that the month lacks runs over into the next one, as it does in calendars that count days."""
+    month = F.add_months(F.trunc(ts, "month"), months)
+    return F.date_add(month, F.dayofmonth(ts) - 1)

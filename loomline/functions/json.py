@@ -41,3 +41,19 @@ def ids_of(text: Column) -> Column:
     """A value that is either a JSON array of ids or one id, as an array."""
     listed = F.when(text.rlike(r"^\s*\["), F.from_json(text, "array<string>"))
     return F.coalesce(listed, F.array(text))
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Two maps as one; where both have a key the second counts."""
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.array_contains(F.map_keys(second), k)), second)
+
+
+def kept_keys(metadata: Column, keys: list[str]) -> Column:
+    """An object with these keys only, values as texts; null if it has none of them. Null values are left out."""
+    fields = F.map_filter(F.from_json(metadata, "map<string,string>"), lambda k, v: k.isin(*keys) & v.isNotNull())
+    return F.when(F.size(fields) > 0, F.to_json(fields))
+
+
+def compact(*columns: Column) -> Column:
+    """An object of the columns that are not null."""
+    return F.to_json(F.struct(*columns))

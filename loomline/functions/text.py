@@ -97,3 +97,8 @@ def valid_image_url(url: Column) -> Column:
     for prefix in ("http://", "https://", "/", "data:"):
         starts = starts | F.startswith(url, F.lit(prefix))
     return F.coalesce(starts & ~F.contains(url, F.lit("mockup_url")) & ~F.contains(url, F.lit("placeholder")), F.lit(False))
+
+
+def dotted(*parts: Column) -> Column:
+    """Parts that are not empty, joined by middle dots."""
+    return F.concat_ws(" • ", *[F.nullif(p, F.lit("")) for p in parts])

@@ -144,3 +144,22 @@ def expanded_by_default(lines: DataFrame, current: str) -> DataFrame:
     """(id): the roots and the ancestors of the current line."""
     up = ancestor_ids(lines, dangling=False).filter(F.col("id") == current).select(F.explode("ancestors").alias("id"))
     return lines.filter("parent_line_id is null or parent_line_id = ''").select("id").union(up).distinct()
+
+
+def path_to(lines: DataFrame, line_id: str) -> DataFrame:
+    """(position, id): the way from the root to a line; nothing for a line that no root leads to."""
+    way = ancestry(lines).filter((F.col("id") == line_id) & (F.col("ended") == "root"))
+    return way.select(F.posexplode(F.array_append(F.transform("chain", lambda c: c["id"]), F.col("id"))).alias("position", "id"))
+
+
+def short_ancestry(lines: DataFrame) -> DataFrame:
+    """(id, ancestry): names of the ancestors that exist, without the main line, joined by ">"."""
+    names = F.transform(F.filter("chain", lambda c: c["id"] != MAIN_LINE), lambda c: c["name"])
+    return ancestry(lines).select("id", F.array_join(names, ">").alias("ancestry"))
+
+
+def labels(messages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, sort_path, label): names indented by depth, with the number of messages where there are any."""
+    t = branch_tree(messages, lines)
+    count = F.when(F.col("message_count") > 0, F.concat(F.lit(" ("), F.col("message_count").cast("string"), F.lit(" msgs)"))).otherwise("")
+    return t.select("id", "sort_path", F.concat(F.repeat(F.lit("  "), F.col("depth")), "name", count).alias("label"))

@@ -69,3 +69,19 @@ def branching_from(messages: DataFrame, lines: DataFrame, message_id: str) -> Da
     """The child lines of the line of a message."""
     line = messages.filter(F.col("id") == message_id).select(F.col("line_id").alias("parent_line_id"))
     return lines.join(line, "parent_line_id", "left_semi")
+
+
+def find(lines: DataFrame, name_or_id: str) -> DataFrame:
+    """The line of this id, else of this name, else the main line, else the oldest one."""
+    c = F.col
+    order = F.when(c("id") == name_or_id, 0).when(c("name") == name_or_id, 1).when(c("id") == MAIN_LINE, 2).otherwise(3)
+    return lines.orderBy(order, "created_at", "id").limit(1)
+
+
+def of_message(messages: DataFrame, lines: DataFrame, message_id: str) -> DataFrame:
+    return lines.join(messages.filter(F.col("id") == message_id).select(F.col("line_id").alias("id")), "id", "left_semi")
+
+
+def level_counts(log: DataFrame, level: str = "level") -> DataFrame:
+    """(level, count) of a log."""
+    return log.groupBy(level).agg(F.count("*").alias("count"))

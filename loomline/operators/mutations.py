@@ -115,3 +115,12 @@ def edit_message(messages: DataFrame, message_id: str, content: str, kind: str |
 def create_message_with_line_update(snapshot: Snapshot, rows: DataFrame, now: Column) -> Snapshot:
     """New messages, and their lines changed."""
     return snapshot.with_(messages=create(snapshot.messages, rows), lines=touch(snapshot.lines, rows.select(F.col("line_id").alias("id")), now))
+
+
+def undo_move(snapshot: Snapshot, before: DataFrame, now: Column) -> Snapshot:
+    """Messages back to the lines that they have in ``before`` (id, line_id); both lines of each count as changed."""
+    back = before.select("id", F.col("line_id").alias("_back"))
+    held = snapshot.messages.join(back, "id", "left").withColumn("_moves", F.col("_back").isNotNull() & (F.col("_back") != F.col("line_id")))
+    touched = held.filter("_moves").select(F.explode(F.array("line_id", "_back")).alias("id")).distinct()
+    moved = held.withColumn("line_id", F.when(F.col("_moves"), F.col("_back")).otherwise(F.col("line_id"))).withColumn("updated_at", F.when(F.col("_moves"), now).otherwise(F.col("updated_at")))
+    return snapshot.with_(messages=moved.select(*snapshot.messages.columns), lines=touch(snapshot.lines, touched, now))

@@ -138,3 +138,15 @@ def copied_document(timeline: DataFrame, heading: Column) -> DataFrame:
     rows = copied_rows(timeline).join(timeline.select("id", "line_id"), "id")
     texts = F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "id", "row"))), lambda r: r["row"])
     return rows.groupBy("line_id").agg(F.concat(F.lit("## "), heading, F.lit("\n"), F.array_join(texts, "\n")).alias("document"))
+
+
+def line_flags(timeline: DataFrame, lines: DataFrame, current: str, bucket: str = "day") -> DataFrame:
+    """(id, line_id, line_name, starts_line, on_current_line): whether a message is the first of a stretch of its line, and whether that is the current one."""
+    held = with_previous(timeline.select("id", "timestamp", "line_id"), "timestamp", "id", ["line_id"], bucket=bucket)
+    flags = held.withColumn("starts_line", ~F.col("line_id").eqNullSafe(F.col("prev_line_id"))).withColumn("on_current_line", F.col("line_id") == current)
+    return _named(flags, lines).select("id", "line_id", "line_name", "starts_line", "on_current_line")
+
+
+def kinds(messages: DataFrame) -> DataFrame:
+    """messages with kind, the type by which they are shown; none is text."""
+    return messages.withColumn("kind", F.coalesce("type", F.lit("text")))

@@ -562,3 +562,96 @@ def running_value(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts")
     held = ordered.with_previous(e, "ts", "event_id", ["event_id"])
     return ordered.with_running_sum(held, F.col("event_id"), "running", "ts", "event_id").select("event_id", "running", F.col("prev_event_id").alias("previous"))
+
+
+@register("line_labels", duckdb("lines", "messages") + _RANKED + " SELECT id, sort_path, repeat('  ', depth) || name || CASE WHEN n > 0 THEN ' (' || n || ' msgs)' ELSE '' END AS label FROM (SELECT b.*, (SELECT count(*) FROM messages m WHERE m.line_id = b.id) AS n FROM b)")
+def line_labels(spark, d):
+    return hierarchy.labels(view(spark, d, "messages"), view(spark, d, "lines"))
+
+
+@register("path_to_line", duckdb("lines") + _PATHS + " SELECT (generate_subscripts(ids, 1) - 1)::INT AS position, unnest(ids) AS id FROM h WHERE id = 'C12'")
+def path_to_line(spark, d):
+    return hierarchy.path_to(view(spark, d, "lines"), "C12")
+
+
+@register("short_ancestry", duckdb("lines") + ", a AS (SELECT id, '' AS ancestry, name FROM lines WHERE parent_line_id IS NULL UNION ALL SELECT l.id, CASE WHEN a.ancestry = '' THEN a.name ELSE a.ancestry || '>' || a.name END, l.name FROM lines l JOIN a ON l.parent_line_id = a.id) SELECT id, ancestry FROM a")
+def short_ancestry(spark, d):
+    return hierarchy.short_ancestry(view(spark, d, "lines"))
+
+
+@register("find_line", duckdb("lines") + " SELECT id, name FROM lines WHERE name = 'Customer#000000042'")
+def find_line(spark, d):
+    return lines.find(view(spark, d, "lines"), "Customer#000000042").select("id", "name")
+
+
+@register("find_line_fallback", duckdb("lines") + " SELECT id FROM lines ORDER BY created_at, id LIMIT 1")
+def find_line_fallback(spark, d):
+    return lines.find(view(spark, d, "lines"), "nobody").select("id")
+
+
+@register("event_level_counts", "SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
+def event_level_counts(spark, d):
+    return lines.level_counts(spark.read.parquet(f"{d}/events.parquet"), "event_type")
+
+
+@register(
+    "message_line_flags",
+    duckdb("lines", "messages") + _LIVE + """ SELECT m.id, line_id, coalesce(name, line_id) AS line_name, line_id IS DISTINCT FROM lag(line_id) OVER (ORDER BY timestamp, m.id) AS starts_line, line_id = 'C3' AS on_current_line FROM live m LEFT JOIN lines l ON l.id = line_id""",
+)
+def message_line_flags(spark, d):
+    return timeline.line_flags(live(spark, d), view(spark, d, "lines"), "C3")
+
+
+@register("message_kinds", duckdb("messages") + " SELECT coalesce(type, 'text') AS kind, count(*) AS messages FROM messages GROUP BY 1")
+def message_kinds(spark, d):
+    return timeline.kinds(view(spark, d, "messages")).groupBy("kind").agg(F.count("*").alias("messages"))
+
+
+@register("months_over", "SELECT o_orderkey, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 MONTH + to_days((day(o_orderdate) - 1)::INT), '%Y-%m-%d') AS month_back FROM orders")
+def months_over(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", dates.months_over(F.col("o_orderdate"), -1).cast("string").alias("month_back"))
+
+
+@register(
+    "available_tags",
+    duckdb("tagged", "tags", "tag_groups") + """ SELECT g.id AS group_id, g.name AS group_name, g."order" AS position, string_agg(t.name, ',' ORDER BY t.name) AS tag_names FROM tags t JOIN tag_groups g ON g.id = t.group_id WHERE t.id NOT IN (SELECT unnest(tag_ids) FROM tagged WHERE id = 'P7') GROUP BY ALL""",
+)
+def available_tags(spark, d):
+    out = tags.available_on(view(spark, d, "tagged"), view(spark, d, "tags"), view(spark, d, "tag_groups"), "P7")
+    return out.select("group_id", "group_name", F.col("order").alias("position"), F.array_join("tag_names", ",").alias("tag_names"))
+
+
+@register("dotted_preview", duckdb("messages") + " SELECT id, CASE WHEN event.type IS NULL THEN author ELSE type || ' • ' || author END AS dotted FROM messages AS event")
+def dotted_preview(spark, d):
+    return view(spark, d, "messages").select("id", text.dotted(F.coalesce("type", F.lit("")), F.col("author")).alias("dotted"))
+
+
+@register("kept_metadata", duckdb("messages") + """ SELECT id, CASE WHEN json_extract_string(metadata, '$.priority') IS NOT NULL THEN '{"priority":"' || json_extract_string(metadata, '$.priority') || '"}' END AS kept FROM messages""")
+def kept_metadata(spark, d):
+    return view(spark, d, "messages").select("id", json.kept_keys(F.col("metadata"), ["priority"]).alias("kept"))
+
+
+@register("undo_move", duckdb("messages") + f" SELECT id, line_id, CASE WHEN author = 'click' AND line_id <> 'C5' THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at FROM messages")
+def undo_move(spark, d):
+    s = _snapshot(spark, d)
+    moving = s.messages.filter("author = 'click'").select("id", "line_id")
+    moved = mutations.move_messages(s, moving, "C5", now())
+    return mutations.undo_move(moved, moving, now()).messages.select("id", "line_id", "updated_at")
+
+
+@register("affected_lines", duckdb("messages") + " SELECT DISTINCT line_id AS id FROM messages WHERE author = 'click' UNION SELECT 'C5'")
+def affected_lines(spark, d):
+    m = view(spark, d, "messages")
+    return mutations.affected_lines(m, m.filter("author = 'click'").select("id"), "C5")
+
+
+@register("ids_not_found", duckdb("messages", "lines") + " SELECT id FROM lines WHERE id NOT IN (SELECT line_id FROM messages)")
+def ids_not_found(spark, d):
+    used = view(spark, d, "messages").select(F.col("line_id").alias("id"))
+    return integrity.ids_not_found(view(spark, d, "lines").select("id"), used)
+
+
+@register("integrity_report", duckdb("lines", "messages") + """ SELECT 'message_without_line' AS "check", count(*) AS rows FROM messages WHERE line_id NOT IN (SELECT id FROM lines) UNION ALL SELECT 'line_without_parent', count(*) FROM lines WHERE parent_line_id NOT IN (SELECT id FROM lines)
+    UNION ALL SELECT 'self_reference', count(*) FROM lines WHERE id = parent_line_id UNION ALL SELECT 'cycle', 0""")
+def integrity_report(spark, d):
+    return integrity.report(view(spark, d, "messages"), view(spark, d, "lines"))

@@ -73,3 +73,8 @@ def open_(spark: SparkSession, kind: str, path: str, fallbacks: list[tuple[str,
         except Exception as error:  # whatever a source fails with, the next one is tried and all are told
             failed.append(f"{name} {place}: {str(error)[:200]}")
     raise OSError("no source could be read:\n" + "\n".join(failed))
+
+
+def tables_in(spark: SparkSession, database: str | None = None) -> list[str]:
+    """Names of the tables that the catalog lists; an error if it can't be reached."""
+    return sorted(t.name for t in spark.catalog.listTables(database))
