@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import need_columns, ship, text_or_empty
 
-#: Pages from which the classifier learns, those with the least hash of their id: a bound on the sample, whatever the input.
+#: Pages from which the classifier learns, about so many, drawn by a hash of the page: a bound on the sample, whatever the input.
 LEARN_PAGES = 2000
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
@@ -59,8 +59,8 @@ PRIOR = {
     ("kind", "body"): (400, 20), ("kind", "none"): (60, 60), ("kind", "head"): (8, 120), ("kind", "nav"): (1, 400), ("kind", "foot"): (1, 400), ("kind", "side"): (1, 300),
     ("kind", "form"): (1, 300), ("kind", "notice"): (1, 300), ("kind", "ad"): (1, 300), ("kind", "comment"): (1, 300), ("kind", "hidden"): (1, 300),
     ("links", 0): (300, 120), ("links", 1): (40, 20), ("links", 2): (10, 60), ("links", 3): (3, 300),
-    ("words", 0): (5, 40), ("words", 1): (10, 60), ("words", 2): (20, 50), ("words", 3): (60, 40), ("words", 4): (120, 25), ("words", 5): (120, 8),
-    ("stop", True): (300, 100), ("stop", False): (60, 240), ("tag", "p"): (300, 60), ("tag", "heading"): (60, 30), ("tag", "li"): (30, 150), ("tag", "other"): (60, 120),
+    ("words", -1): (40, 40), ("words", 0): (5, 40), ("words", 1): (10, 60), ("words", 2): (20, 50), ("words", 3): (60, 40), ("words", 4): (120, 25), ("words", 5): (120, 8),
+    ("stop", None): (60, 60), ("stop", True): (300, 100), ("stop", False): (60, 240), ("tag", "p"): (300, 60), ("tag", "heading"): (60, 30), ("tag", "li"): (30, 150), ("tag", "other"): (60, 120),
 }
 #: What counts from the corpus is scaled to so many blocks at most, so that fixed knowledge keeps its say.
 LEARNED_WEIGHT = 400
@@ -166,11 +166,12 @@ def blocks_of(html: str) -> list[Block]:
 def features(b: Block) -> tuple:
     words = b.text.count(" ") + 1
     tag = b.tag if b.tag in ("p", "li") else "heading" if re.fullmatch("h[1-6]", b.tag) else "other"
+    head = tag == "heading"  # short and without a full stop as a matter of course
     return (
         ("kind", b.kind),
         ("links", 0 if b.links < 0.05 else 1 if b.links < 0.35 else 2 if b.links < 0.7 else 3),
-        ("words", 0 if words < 3 else 1 if words < 6 else 2 if words < 11 else 3 if words < 26 else 4 if words < 61 else 5),
-        ("stop", b.text[-1] in ".!?…\"»”:;"),
+        ("words", -1 if head else 0 if words < 3 else 1 if words < 6 else 2 if words < 11 else 3 if words < 26 else 4 if words < 61 else 5),
+        ("stop", None if head else b.text[-1] in ".!?…\"»”:;"),
         ("tag", tag),
     )
 
@@ -299,9 +300,11 @@ def main_text(html: str | None, classifier: Classifier) -> str:
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = LEARN_PAGES) -> Classifier:
-    """The classifier from the ``most`` pages with the least hash of their id; counts of feature values come back, no pages."""
+    """The classifier from about ``most`` pages, drawn by a hash of id and html; counts of feature values come back, no pages."""
     ship(pages.sparkSession)
-    sample = pages.select(F.xxhash64(F.col(id_col)).alias("h"), text_or_empty(html_col).alias("html")).orderBy("h", "html").limit(most).select("html")
+    share = min(1.0, most / max(1, pages.count()))
+    html = text_or_empty(html_col)
+    sample = pages.filter(F.pmod(F.xxhash64(F.col(id_col), html), F.lit(1 << 20)) < int(share * (1 << 20))).select(html.alias("html"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -313,7 +316,7 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", mos
         names, values, ys = zip(*seen, strict=True) if seen else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string()), pa.array(ys, pa.int32()), pa.array(list(seen.values()), pa.int64())], ["name", "value", "y", "n"])
 
-    rows = sample.repartition(8).mapInArrow(work, "name string, value string, y int, n long").groupBy("name", "value", "y").agg(F.sum("n").alias("n")).collect()  # a few dozen rows
+    rows = sample.mapInArrow(work, "name string, value string, y int, n long").groupBy("name", "value", "y").agg(F.sum("n").alias("n")).collect()  # a few dozen rows
     typed = {(name, str(value)): (name, value) for name, value in PRIOR}
     counts: dict[tuple, list[int]] = {}
     for r in rows:
