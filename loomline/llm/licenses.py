@@ -13,10 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need_columns, text_or_empty
+from .common import fresh, need_columns, text_or_empty
 
 #: Every known sentence has one of these word beginnings; other sentences are not looked at.
-HINT = r"licen|copyright|permi|warrant|redistribut|spdx|rights reserved|public domain|liab|endorse|names? of|patent|unlicense|creative commons|cc by|cc0"
+HINT = r"licen|copyright|permi|warrant|redistribut|spdx|rights\s+reserved|public\s+domain|liab|endorse|names?\s+of|later\s+version|gpl|creative\s+commons|cc[ -]by|cc0"
 
 # fixed values: SPDX short identifiers that a tag can name
 SPDX = (
@@ -116,21 +116,21 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     # most texts have nothing of the kind: one pass over them decides
     found = F.when(text.rlike("(?i)" + HINT), sentences(text)).otherwise(F.array().cast("array<string>"))
     known = lambda s: F.array_compact(F.array(*[F.when(s.rlike(p), F.lit(n)) for n, p in SENTENCES]))
-    per_sentence = df.withColumn("_hits", F.transform(found, known))
-    ids = F.flatten("_hits")
-    unknown = F.size(F.filter("_hits", lambda h: F.size(h) == 0)).cast("long")
-    tagged = per_sentence.withColumn("_ids", ids).withColumn("_unknown", unknown)
-    sequence = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
+    hits, ids, count = (fresh(df, x) for x in ("_hits", "_ids", "_unknown"))
+    per_sentence = df.withColumn(hits, F.transform(found, known))
+    unknown = F.size(F.filter(hits, lambda h: F.size(h) == 0)).cast("long")
+    tagged = per_sentence.withColumn(ids, F.flatten(hits)).withColumn(count, unknown)
+    sequence = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
 
     def apply(state, rule):
         hit = F.rlike(state["rest"], rule["pattern"])
         rest = F.regexp_replace(state["rest"], rule["pattern"], F.lit(","))
         return F.when(hit, F.struct(rest.alias("rest"), F.concat(state["names"], F.array(rule["name"])).alias("names"))).otherwise(state)
 
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(rule_pattern(ids)).alias("pattern")) for n, ids in RULES])
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(rule_pattern(own)).alias("pattern")) for n, own in RULES])
     start = F.struct(sequence.alias("rest"), F.array().cast("array<string>").alias("names"))
-    names = F.when(F.size("_ids") > 0, F.array_distinct(F.aggregate(rules, start, apply, lambda s: s["names"]))).otherwise(F.array().cast("array<string>"))
-    return tagged.select(*kept, F.col("_ids").alias("sentence_ids"), names.alias("licenses"), F.col("_unknown").alias("unknown_sentences"))
+    names = F.when(F.size(ids) > 0, F.array_distinct(F.aggregate(rules, start, apply, lambda s: s["names"]))).otherwise(F.array().cast("array<string>"))
+    return tagged.select(*kept, F.col(ids).alias("sentence_ids"), names.alias("licenses"), F.col(count).alias("unknown_sentences"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
