@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import exact_dedup, language, packing, quality, simhash
-from loomline.llm.common import written
+from loomline.llm.common import fresh, written
 from loomline.llm.tokens import public_tokenizer
 
 
 def _without(docs: DataFrame, verdicts: DataFrame, keeps) -> DataFrame:
     """docs but for the ids that only have verdicts against them: those are few, or else are joined by their ids."""
-    gone = verdicts.groupBy("doc_id").agg(F.max(keeps).alias("_stays")).filter(~F.col("_stays")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = verdicts.groupBy("doc_id").agg(F.max(keeps).alias("_stays")).filter(~F.col("_stays")).select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,14 @@ def need_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def salted_lookup(rows: DataFrame, table: DataFrame, key: str, salt_by: str, salts: int = SALTS) -> DataFrame:
     """Left join of rows with table, which is unique on key, without sending a hot key's rows to one task.
 

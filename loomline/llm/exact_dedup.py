@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need_columns, text_or_empty, written
+from .common import fresh, need_columns, text_or_empty, written
 
 #: A digest is believed only together with the length and a second, independent hash of the text.
 KEY = ["_digest", "_bytes", "_check"]
@@ -81,15 +81,15 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat both id and text are brought down to one; rows that share only the id are not mixed up.
     """
     out = exact_dedup(df, id_col, text_col, keep)
-    sha = F.lower(F.sha2(text_or_empty(text_col).cast("binary"), 256))
-    dropped = out.filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha"), (F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("_same"))
+    gone, sha, own, same = (fresh(df, x) for x in ("_gone", "_sha", "_own_sha", "_same"))
+    dropped = out.filter(~F.col("kept")).select(F.col(id_col).alias(gone), F.col("text_sha256").alias(sha), (F.col(id_col).eqNullSafe(F.col("keep_id"))).alias(same))
     dropped = written(dropped, "dropped")
-    tagged = df.withColumn("_own_sha", sha)
-    on = F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_own_sha") == F.col("_sha"))
-    left = tagged.join(dropped.filter(~F.col("_same")), on, "left_anti")
-    if not dropped.filter("_same").isEmpty():  # repeats of the row that stays itself
-        left = left.dropDuplicates([id_col, "_own_sha"])
-    return left.drop("_own_sha")
+    tagged = df.withColumn(own, F.lower(F.sha2(text_or_empty(text_col).cast("binary"), 256)))
+    on = F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(sha))
+    left = tagged.join(dropped.filter(~F.col(same)), on, "left_anti")
+    if not dropped.filter(same).isEmpty():  # repeats of the row that stays itself
+        left = left.dropDuplicates([id_col, own])
+    return left.drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import need_columns, ship, text_or_empty
+from .common import fresh, need_columns, ship, text_or_empty
 from .tokens import WordCache, packed, public_tokenizer
 
 MARK = "\u2581"
@@ -200,7 +200,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text", threads: int = 2)
     ship(df.sparkSession)
     new = ["token_ids", "parity", "round_trip"]
     kept = [c for c in df.columns if c not in new]
-    rows = df.select(*kept, text_or_empty(text_col).alias("_text"))
+    rows = df.select(*kept, text_or_empty(text_col).alias(fresh(df, "_text")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, True, threads)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need_columns, salted_lookup, ship, text_or_empty, written
+from .common import fresh, need_columns, salted_lookup, ship, text_or_empty, written
 from .components import connected_components
 
 BITS = 64
@@ -209,8 +209,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
     """The rows of df that stand for their component: those with its smallest id. All columns of df stay; rows with null ids go only if an id stands for them."""
     out = near_duplicates(df, id_col, text_col, words, distance=distance)
-    gone = out.filter(F.col("component_id") != F.coalesce(F.col(id_col), F.lit(NO_ID))).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    name = fresh(df, "_gone")
+    gone = out.filter(F.col("component_id") != F.coalesce(F.col(id_col), F.lit(NO_ID))).select(F.col(id_col).alias(name)).distinct()
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(*r, -1, "x", 0, "y", 1.5) for r in ROWS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string, _fp int, length string, score double")
+    rows = [(*r, -1, "x", 0, "y", 1.5, True, 7, "z") for r in ROWS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _id string, _fp int, length string, score double, _gone boolean, _ids int, _text string")
 
 
 def documents(spark, sf_dir):
