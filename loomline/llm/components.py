@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Parts among which the links of one node are dealt out: the middle of a large component may have a third of all.
+PARTS = 32
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each neighbour of a node to the least of them; the larger ones only, or the smaller ones and the node."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    both = edges.join(least, "u")
+    """Links each neighbour of a node to the least of them; the larger ones only, or the smaller ones and the node.
+
+    A node's links are worked on in parts: the least of each part goes up, the least of all comes down to at most PARTS rows, and each link
+    meets its own part.
+    """
+    dealt = edges.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    of_part = dealt.groupBy("u", "_part").agg(F.min("v").alias("m"))
+    least = of_part.groupBy("u").agg(F.min("m").alias("m")).withColumn("m", F.least("m", "u"))
+    both = dealt.join(of_part.select("u", "_part").join(least, "u"), ["u", "_part"])
     if large:
         return both.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return both.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v")

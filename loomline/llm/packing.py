@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import need_columns, ship, text_or_empty, written
 from .tokens import public_tokenizer, word_bpe
 
-#: Pieces of one length that are ranked together in one group.
-RANKED = 1000
+#: Pieces of one length that are ranked together in one group, unless a length would then have more groups than this.
+RANKED, GROUPS = 200, 50_000
 
 
 def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end: int | None = 1) -> DataFrame:
@@ -151,7 +151,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     plan = spark.sparkContext.broadcast(Plan(counts, capacity))
-    of_length = pieces.groupBy("length").agg(F.ceil(F.count("*") / RANKED).alias("_groups"))
+    n = F.count("*")
+    of_length = pieces.groupBy("length").agg(F.ceil(n / F.greatest(F.lit(RANKED), n / GROUPS)).alias("_groups"))
     dealt = pieces.join(F.broadcast(of_length), "length")  # capacity rows at most
     dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.col("_groups"))).drop("_groups")
     sizes = dealt.groupBy("length", "_group").agg(F.count("*").alias("_n"))
