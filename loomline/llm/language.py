@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import need_columns, salted_lookup, ship, text_or_empty, written
 
-#: Hashed trigrams that are told apart; languages that are learnt at most, the most frequent first (there are fewer two-letter codes).
-BUCKETS, MOST_LANGUAGES = 1 << 14, 200
-#: Languages declared by less than this share of rows are taken for mistakes.
-LEAST_SHARE = 0.0005
+#: Hashed trigrams that are told apart; languages whose counts a task holds at a time before it hands them on.
+BUCKETS, HELD_LANGUAGES = 1 << 14, 200
 #: Trigrams whose joint evidence the longest text comes near to.
 EVIDENCE = 150.0
 #: Rows that a level of the host hierarchy gets from the level above it.
@@ -106,21 +104,30 @@ class Likelihood:
 
 
 def learn(rows: DataFrame, html: bool) -> Likelihood:
-    """rows: _text and _declared. Counts of hashed trigrams by declared language over all rows, grouped on the executors."""
-    seen = {r["_declared"]: r["n"] for r in rows.filter("_declared is not null").groupBy("_declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_declared").limit(MOST_LANGUAGES).collect()}
-    languages = sorted(x for x, n in seen.items() if n >= LEAST_SHARE * sum(seen.values()))
+    """rows: _text and _declared. Counts of hashed trigrams by declared language over all rows, grouped on the executors.
+
+    Every declared language is learnt, however rare: smoothing leaves one with little text near to what all languages have in common.
+    """
+    languages = sorted(r["_declared"] for r in rows.filter("_declared is not null").select("_declared").distinct().collect())  # tags of two or three letters
     at = {x: i for i, x in enumerate(languages)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for i, own in counts.items():
+                held = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), i), pa.int32()), pa.array(held, pa.int32()), pa.array(own[held], pa.int64())], ["l", "h", "n"])
+            counts.clear()
+
         for b in batches:
             for text, tag in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if tag in at:
-                    own = counts.setdefault(at[tag], np.zeros(BUCKETS, np.int64))
-                    own += np.bincount(trigrams(visible(text, html)), minlength=BUCKETS)
-        for i, own in counts.items():
-            held = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), i), pa.int32()), pa.array(held, pa.int32()), pa.array(own[held], pa.int64())], ["l", "h", "n"])
+                if at[tag] not in counts:
+                    if len(counts) >= HELD_LANGUAGES:
+                        yield from handed_on()
+                    counts[at[tag]] = np.zeros(BUCKETS, np.int64)
+                counts[at[tag]] += np.bincount(trigrams(visible(text, html)), minlength=BUCKETS)
+        yield from handed_on()
 
     table = np.zeros((len(languages), BUCKETS))
     summed = rows.filter("_declared is not null").select("_text", "_declared").mapInArrow(work, "l int, h int, n long").groupBy("l", "h").agg(F.sum("n").alias("n"))
@@ -160,22 +167,37 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(n), pa.array(best, pa.int32()), pa.array([x[1].tolist() for x in found], pa.list_(pa.float64()))], ["_id", "_declared", "_host", "_suffix", "_n", "_best", "_log"])
 
     scored = written(rows.mapInArrow(likelihoods, "_id long, _declared string, _host string, _suffix string, _n long, _best int, _log array<double>"), "likelihoods")
-    each = lambda: F.array(*[F.count_if(F.col("_best") == i) for i in range(len(languages))])
-    add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(len(languages))])
-
-    # what the corpus says: small tables for all rows, declared tags and suffixes, one row per host for the rest
-    declared_counts = {r["_declared"]: r["n"] for r in scored.filter("_declared is not null").groupBy("_declared").agg(each().alias("n")).orderBy(F.desc(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).limit(1000).collect()}
-    hosts = scored.groupBy("_host").agg(each().alias("_of_host")).filter("_host is not null")
-    hosts = hosts.withColumn("_domain", F.coalesce(F.nullif(domain_of(F.col("_host")), F.lit("")), F.col("_host")))
-    domains = hosts.groupBy("_domain").agg(add("_of_host").alias("_of_domain"))
-    suffixes = scored.groupBy("_suffix").agg(each().alias("_of_suffix")).filter("_suffix is not null")
-    overall = np.array(scored.agg(each().alias("n")).first()["n"], float)
+
+    def verdicts(rows: DataFrame, by: str, name: str) -> DataFrame:
+        """One row for each value of ``by``: how many rows have which language by their text, as a map without those that none has."""
+        n = rows.groupBy(by, "_best").agg(F.sum("_rows").alias("n"))
+        return n.groupBy(by).agg(F.map_from_entries(F.collect_list(F.when(F.col("_best") >= 0, F.struct("_best", "n")))).alias(name))
+
+    # what the corpus says: one row for each declared tag, suffix and host, and one small table for all rows
+    each = scored.withColumn("_rows", F.lit(1).cast("long"))
+    tags = verdicts(each.filter("_declared is not null"), "_declared", "_of_tag")
+    suffixes = verdicts(each.filter("_suffix is not null"), "_suffix", "_of_suffix")
+    by_host = each.filter("_host is not null").groupBy("_host", "_best").agg(F.sum("_rows").alias("_rows"))
+    by_host = by_host.withColumn("_domain", F.coalesce(F.nullif(domain_of(F.col("_host")), F.lit("")), F.col("_host")))
+    domains = verdicts(by_host, "_domain", "_of_domain")
+    hosts = verdicts(by_host, "_host", "_of_host").withColumn("_domain", F.coalesce(F.nullif(domain_of(F.col("_host")), F.lit("")), F.col("_host")))
+    overall = np.zeros(len(languages))
+    for r in scored.filter("_best >= 0").groupBy("_best").agg(F.count("*").alias("n")).collect():  # a row for each language at most
+        overall[r["_best"]] = r["n"]
     hosts = hosts.join(domains, "_domain").select("_host", "_of_host", "_of_domain")
-    fused = salted_lookup(salted_lookup(scored, hosts, "_host", "_id"), suffixes, "_suffix", "_id")
+    fused = scored
+    for table, key in ((hosts, "_host"), (suffixes, "_suffix"), (tags, "_declared")):
+        fused = salted_lookup(fused, table, key, "_id")
 
     def posterior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (overall + 1) / (overall.sum() + len(languages))
-        claims = {tag: (np.array(n, float) + base) / (overall + 1) for tag, n in declared_counts.items()}
+
+        def counted(held: list[tuple[int, int]]) -> np.ndarray:
+            n = np.zeros(len(languages))
+            for i, many in held:
+                n[i] = many
+            return n
+
         for b in batches:
             r = b.to_pydict()
             language, share = [], []
@@ -186,11 +208,11 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
                 prior = base
                 for level in ("_of_suffix", "_of_domain", "_of_host"):
                     if r[level][i] is not None:
-                        n = np.maximum(np.array(r[level][i], float) - own, 0)
+                        n = np.maximum(counted(r[level][i]) - own, 0)
                         prior = (n + SMOOTHING * prior) / (n.sum() + SMOOTHING)
                 log = np.array(r["_log"][i]) + np.log(prior)
-                if r["_declared"][i] in claims:
-                    log = log + np.log(claims[r["_declared"][i]])
+                if r["_of_tag"][i] is not None:
+                    log = log + np.log((counted(r["_of_tag"][i]) + base) / (overall + 1))
                 p = np.exp(log - log.max())
                 p /= p.sum()
                 best = int(p.argmax())
@@ -200,7 +222,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
             text = [languages[x] if x >= 0 else UNKNOWN for x in r["_best"]]
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(language, pa.string()), pa.array(share), b.column("_declared"), pa.array(text, pa.string()), b.column("_n"), pa.array([x != UNKNOWN for x in language])], ["_id", "language", "posterior", "declared", "text_language", "n_trigrams", "accepted"])
 
-    needed = fused.select("_id", "_declared", "_n", "_best", "_log", "_of_host", "_of_domain", "_of_suffix")
+    needed = fused.select("_id", "_declared", "_n", "_best", "_log", "_of_host", "_of_domain", "_of_suffix", "_of_tag")
     out = needed.mapInArrow(posterior, "_id long, language string, posterior double, declared string, text_language string, n_trigrams long, accepted boolean")
     return out.withColumnRenamed("_id", id_col)
 

@@ -551,6 +551,24 @@ def test_evidence_settles_what_a_text_leaves_open(spark):
     assert [out[i]["language"] for i in (1000, 1001, 1002, 1003)] == ["de", "en", "de", "und"] and not out[1003]["accepted"]
 
 
+def test_rare_languages_are_learnt_and_mistaken_tags_harm_no_other_row(spark):
+    spoken = {"en": "the house and the garden of the man who walks along the old river every morning with some friends", "de": "das haus und der garten von dem mann der jeden morgen mit einigen freunden an dem alten fluss spaziert"}
+    rare = "talon ja puutarhan omistaja kävelee joka aamu ystäviensä kanssa vanhan joen rantaa pitkin kaupunkiin"
+    rows = [(i, f"{spoken['en' if i % 3 else 'de']} {i}", "en" if i % 3 else "de", f"h{i % 50}.example.com") for i in range(30_000)]
+    rows += [(40_000 + i, rare, "fi", "h1.example.com") for i in range(3)] + [(50_000, rare, None, "h2.example.com"), (50_001, spoken["en"], "qq", "h3.example.com"), (50_002, spoken["en"], None, "h3.example.com")]
+    out = {r["id"]: r for r in language.identify(spark.createDataFrame(rows, "id long, text string, lang string, host string"), "id", "text", F.col("lang"), F.col("host")).collect()}
+    assert len(out) == len(rows) and all(out[i]["language"] == "fi" and out[i]["accepted"] for i in (40_000, 40_001, 40_002, 50_000))
+    assert all(out[i]["language"] == ("en" if i % 3 else "de") for i in range(30_000)) and out[50_002]["language"] == "en"
+
+
+def test_more_languages_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD_LANGUAGES", 3)
+    names = [a + b for a in "abcdefghijklmno" for b in "abcdefghijklmno"]
+    rows = [(i, " ".join(f"{t}{x}{t}" for x in "bcdfg") * 8, t, None) for i, t in enumerate(names * 2)]
+    out = language.identify(spark.createDataFrame(rows, "id long, text string, lang string, host string"), "id", "text", F.col("lang"), F.col("host")).collect()
+    assert len(names) > 200 and len(out) == len(rows) and all(r["language"] == r["declared"] for r in out)
+
+
 def test_address_and_markup_columns(spark):
     df = spark.createDataFrame([("https://u@www.Example.co.uk:80/fr/1?x", "<!doctype html><html class=a lang='pt-BR'>"), (None, None), ("nonsense", "<p>"), ("http://a.de", "<meta http-equiv=content-language content=it>")], "url string, html string")
     u = F.col("url")
