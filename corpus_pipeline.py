@@ -10,30 +10,39 @@ Null texts count as empty; empty texts have no language and go in the first stag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import exact_dedup, language, packing, quality, simhash
-from loomline.llm.common import fresh, written
+from loomline.llm.common import fresh, text_or_empty, written
 from loomline.llm.tokens import public_tokenizer
 
 
-def _without(docs: DataFrame, verdicts: DataFrame, keeps) -> DataFrame:
-    """docs but for the ids that only have verdicts against them: those are few, or else are joined by their ids."""
+def _sha(text) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def _without(docs: DataFrame, own: str, rejected: DataFrame) -> DataFrame:
+    """docs but for the rows whose own digest, a column of docs that is not kept, is rejected. Digests are of all that a verdict rests on, so rows that share one share the verdict."""
     name = fresh(docs, "_gone")
-    gone = verdicts.groupBy("doc_id").agg(F.max(keeps).alias("_stays")).filter(~F.col("_stays")).select(F.col("doc_id").alias(name))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    gone = rejected.toDF(name).distinct()
+    return docs.join(gone, F.col(own) == F.col(name), "left_anti").drop(own)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language."""
-    return _without(docs, language.identify_documents(docs), F.col("accepted"))
+    own = fresh(docs, "_own")
+    part = lambda c: F.coalesce(F.sha2(F.col(c).cast("binary"), 256), F.lit("-"))
+    docs = docs.withColumn(own, _sha(F.concat(part("lang"), part("source"), text_or_empty("text"))))
+    return _without(docs, own, language.identify_documents(docs, own).filter("not accepted").select(own))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from those of the labels that are not held out, takes for good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, quality.score(docs, labels), F.col("predicted") == 1)
+    own = fresh(docs, "_own")
+    rejected = quality.score(docs, labels, digests=True).filter("predicted != 1").select("text_sha256")
+    return _without(docs.withColumn(own, _sha(text_or_empty("text"))), own, rejected)
 
 
 def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def learn(rows: DataFrame, html: bool) -> Likelihood:
 
 
 def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, html: bool = False, least: float = 0.5) -> DataFrame:
-    """One row per row of df: id, language, posterior, declared, text_language, n_trigrams and accepted.
+    """One row per row of df: id (long, or binary if it is so), language, posterior, declared, text_language, n_trigrams and accepted.
 
     declared: a language tag that the document claims; host: where it is from; suffix: the end of its address. Each may be
     missing, as a whole or by row, and then says nothing. html: whether texts are markup.
@@ -147,8 +147,9 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
     need_columns(df, id_col, text_col)
     ship(df.sparkSession)
     none = F.lit(None).cast("string")
+    kind = "binary" if dict(df.dtypes)[id_col] == "binary" else "long"
     rows = df.select(
-        F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"), (none if declared is None else primary(declared)).alias("_declared"),
+        F.col(id_col).cast(kind).alias("_id"), text_or_empty(text_col).alias("_text"), (none if declared is None else primary(declared)).alias("_declared"),
         (none if host is None else host.cast("string")).alias("_host"), (none if suffix is None else suffix.cast("string")).alias("_suffix"),
     )
     model = learn(rows, html)
@@ -166,7 +167,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
             best = np.array([int(x[1].argmax()) if x[0] else -1 for x in found], np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(n), pa.array(best, pa.int32()), pa.array([x[1].tolist() for x in found], pa.list_(pa.float64()))], ["_id", "_declared", "_host", "_suffix", "_n", "_best", "_log"])
 
-    scored = written(rows.mapInArrow(likelihoods, "_id long, _declared string, _host string, _suffix string, _n long, _best int, _log array<double>"), "likelihoods")
+    scored = written(rows.mapInArrow(likelihoods, f"_id {kind}, _declared string, _host string, _suffix string, _n long, _best int, _log array<double>"), "likelihoods")
 
     def verdicts(rows: DataFrame, by: str, name: str) -> DataFrame:
         """One row for each value of ``by``: how many rows have which language by their text, as a map without those that none has."""
@@ -223,13 +224,13 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(language, pa.string()), pa.array(share), b.column("_declared"), pa.array(text, pa.string()), b.column("_n"), pa.array([x != UNKNOWN for x in language])], ["_id", "language", "posterior", "declared", "text_language", "n_trigrams", "accepted"])
 
     needed = fused.select("_id", "_declared", "_n", "_best", "_log", "_of_host", "_of_domain", "_of_suffix", "_of_tag")
-    out = needed.mapInArrow(posterior, "_id long, language string, posterior double, declared string, text_language string, n_trigrams long, accepted boolean")
+    out = needed.mapInArrow(posterior, f"_id {kind}, language string, posterior double, declared string, text_language string, n_trigrams long, accepted boolean")
     return out.withColumnRenamed("_id", id_col)
 
 
-def identify_documents(df: DataFrame) -> DataFrame:
+def identify_documents(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents: lang is what they declare, source is their host."""
-    return identify(df, "doc_id", "text", F.col("lang"), F.col("source"))
+    return identify(df, id_col, "text", F.col("lang"), F.col("source"))
 
 
 def identify_pages(df: DataFrame) -> DataFrame:

@@ -84,16 +84,18 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def statistics_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _stats array<double>) for each row."""
+def statistics_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """(_id, _stats array<double>) for each row; digests: also _sha, the SHA-256 of the text."""
     need_columns(df, id_col, text_col)
     ship(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["_id", "_stats"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64())), *b.columns[2:]], ["_id", "_stats", *b.schema.names[2:]])
 
-    return df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).mapInArrow(work, "_id long, _stats array<double>")
+    text = text_or_empty(text_col)
+    sha = [F.unhex(F.sha2(text.cast("binary"), 256)).alias("_sha")] if digests else []
+    return df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), *sha).mapInArrow(work, "_id long, _stats array<double>" + ", _sha binary" * digests)
 
 
 @dataclass
@@ -166,23 +168,24 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1)
 
 
-def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """One row per row of df: id, held_out, score and predicted, learnt from the rows of labels that are not held out.
+def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", digests: bool = False) -> DataFrame:
+    """One row per row of df: id, held_out, score and predicted, learnt from the rows of labels that are not held out; digests: also text_sha256, binary.
 
     Null and empty texts have a score as well. Null ids are scored and count as not held out. Repeated rows stay, an empty df
     gives no rows. Without two labelled rows of either class nothing can be learnt: then every score is a half.
     """
-    stats = written(statistics_of(df, id_col, text_col), "statistics")
+    stats = written(statistics_of(df, id_col, text_col, digests), "statistics")
     model = fit(stats, training_rows(labels, id_col), id_col, label_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array(b.column(1).to_pylist(), float).reshape(-1, len(FEATURES))
             s = model.scores(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32), pa.int32())], ["_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32), pa.int32()), *b.columns[2:]], ["_id", "score", "predicted", *b.schema.names[2:]])
 
     held_out = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return stats.mapInArrow(work, "_id long, score double, predicted int").select(F.col("_id").alias(id_col), held_out.alias("held_out"), "score", "predicted")
+    sha = [F.col("_sha").alias("text_sha256")] if digests else []
+    return stats.mapInArrow(work, "_id long, score double, predicted int" + ", _sha binary" * digests).select(F.col("_id").alias(id_col), held_out.alias("held_out"), "score", "predicted", *sha)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

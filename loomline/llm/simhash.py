@@ -54,17 +54,19 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """(id, _fp): the fingerprint of each row's whole text as a signed long; a null text counts as empty."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, digests: bool = False) -> DataFrame:
+    """(id, _fp): the fingerprint of each row's whole text as a signed long; a null text counts as empty. digests: also _sha, the SHA-256 of the text."""
     need_columns(df, id_col, text_col)
     ship(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, words, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["_id", "_fp", *b.schema.names[2:]])
 
-    return df.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).mapInArrow(work, "_id long, _fp long")
+    text = text_or_empty(text_col)
+    sha = [F.unhex(F.sha2(text.cast("binary"), 256)).alias("_sha")] if digests else []
+    return df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), *sha).mapInArrow(work, "_id long, _fp long" + ", _sha binary" * digests)
 
 
 @functools.cache
@@ -196,22 +198,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives no rows; columns other than the two named may have any name.
     """
     rows = written(fingerprints(df, id_col, text_col, words, seed), "fingerprints")
+    least = F.col("_component.id")
+    of = _components(rows, distance).select("_fp", F.when(least != NO_ID, least).alias("component_id"))
+    out = salted_lookup(rows, of, "_fp", "_id")
+    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(rows: DataFrame, distance: int) -> DataFrame:
+    """(_fp, _component) for each fingerprint of rows (_id, _fp): the least node struct(id, fp) reachable, with NO_ID for a null id."""
     node = F.struct(F.coalesce(F.min("_id"), F.lit(NO_ID)).alias("id"), F.col("_fp").alias("fp"))
     distinct = written(rows.groupBy("_fp").agg(node.alias("_node")), "distinct")
     labels = connected_components(links(distinct, distance))
     of = distinct.join(labels, F.col("_node") == F.col("node"), "left")
-    least = F.coalesce(F.col("component.id"), F.col("_node.id"))
-    of = of.select("_fp", F.when(least != NO_ID, least).alias("component_id"))
-    out = salted_lookup(rows, of, "_fp", "_id")
-    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return of.select("_fp", F.coalesce("component", "_node").alias("_component"))
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of df that stand for their component: those with its smallest id. All columns of df stay; rows with null ids go only if an id stands for them."""
-    out = near_duplicates(df, id_col, text_col, words, distance=distance)
-    name = fresh(df, "_gone")
-    gone = out.filter(F.col("component_id") != F.coalesce(F.col(id_col), F.lit(NO_ID))).select(F.col(id_col).alias(name)).distinct()
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    """One row of df for each component, with all columns of df: that with its smallest id; null ids are the last choice, the digest of the text decides between rows of one id.
+
+    Rows are told apart by id and text, so a row that goes takes no other with it. Of rows that share both one is kept.
+    """
+    name, own, sha, many = (fresh(df, x) for x in ("_gone", "_own_sha", "_sha", "_many"))
+    rows = written(fingerprints(df, id_col, text_col, words, digests=True), "fingerprints")
+    rows = written(salted_lookup(rows, _components(rows, distance), "_fp", "_id"), "components")
+    choice = F.struct(F.coalesce("_id", F.lit(NO_ID)).alias("id"), F.col("_id").isNull().alias("none"), F.col("_sha").alias("sha"))
+    stays = rows.groupBy("_component").agg(F.min(choice).alias("_stays"), F.count("*").alias("_n")).filter("_n > 1")
+    judged = salted_lookup(rows.withColumn("_choice", choice), stays, "_component", "_sha")
+    gone = written(judged.filter("_stays is not null").groupBy(F.col("_id").alias(name), F.col("_sha").alias(sha)).agg(F.max(F.col("_choice") == F.col("_stays")).alias("_same"), (F.count("*") > 1).alias(many)), "gone")
+    tagged = df.withColumn(own, F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.col(own) == F.col(sha))
+    left = tagged.join(gone.filter("not _same").select(name, sha), on, "left_anti")
+    if not gone.filter(F.col("_same") & F.col(many)).isEmpty():  # repeats of the row that stays itself
+        left = left.dropDuplicates([id_col, own])
+    return left.drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -117,6 +117,20 @@ def test_simhash_on_odd_rows(odd):
     assert simhash.drop_near_copies(odd).columns == odd.columns
 
 
+def test_near_copies_go_by_row(spark):
+    near = lambda n, end: " ".join(f"{n}word{i}" for i in range(3_000)) + end
+    rows = [
+        (None, near("a", "")), (10, near("a", " x")), (None, near("b", "")), (5, near("c", "")), (3, near("c", " x")), (5, near("d", "")), (7, near("e", "")), (7, near("e", " x")),
+        (None, near("f", "")), (None, near("f", " x")), (8, near("g", "")), (8, near("g", "")),
+    ]
+    fps = [plain_fingerprint(t) for _, t in rows]
+    classes = plain_components(fps)
+    assert len(set(classes)) == 7
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    left = sorted((classes[r["n"]], r["doc_id"]) for r in simhash.drop_near_copies(df).collect())
+    assert left == sorted((c, min((rows[n][0] for n in range(len(rows)) if classes[n] == c), key=lambda i: (i is None, i))) for c in set(classes))
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_meeting_in_the_middle_finds_all_links(parts, monkeypatch):
     monkeypatch.setattr(simhash, "HELD_VALUES", 50_000)

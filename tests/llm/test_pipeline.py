@@ -45,6 +45,21 @@ def test_stages_keep_what_plain_versions_keep(spark, sf_dir):
     assert check_packing(out, 4096) <= least + 1
 
 
+def test_a_rejected_row_goes_without_the_others_of_its_id(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "123", "en", "a"), (1, "the house and the garden", "en", "a"), (None, "456", None, None), (None, "the man and the dog", "en", "a")], "doc_id long, text string, lang string, source string")
+    left = corpus_pipeline.known_language(spark, docs, sf_dir)
+    assert left.columns == docs.columns and sorted(r["text"] for r in left.collect()) == ["the house and the garden", "the man and the dog"]
+
+
+def test_a_poor_text_goes_without_the_others_of_its_id(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") >= 100, F.lit(None)).otherwise(F.col("doc_id")))
+    scored = quality.score(docs.withColumn("row", F.col("doc_id")), spark.read.parquet(f"{sf_dir}/labels.parquet"), digests=True).collect()
+    good = sorted(r["text_sha256"].hex() for r in scored if r["predicted"] == 1)
+    assert len({r["predicted"] for r in scored if r["doc_id"] is None}) == 2
+    left = corpus_pipeline.good_quality(spark, docs, sf_dir).select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).collect()
+    assert sorted(r["sha"] for r in left) == good
+
+
 def test_pipeline_of_odd_and_of_no_documents(spark, sf_dir, tmp_path):
     rows = [(1, None, None, None, 0), (2, "", "en", "a", 0), (None, "a few words without an id", "en", None, 5), (3, "one two three four five six", "en", "a", 6), (3, "one two three four five six", "en", "a", 6)]
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
