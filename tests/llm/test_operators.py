@@ -442,6 +442,16 @@ def test_licences(spark, odd):
     assert licenses.scan(odd).count() == len(ROWS) and licenses.scan(empty(odd)).count() == 0
 
 
+def test_a_version_after_v_stays_in_its_sentence(spark):
+    given = [
+        (1, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        (2, "// subject to the terms of the Mozilla Public\n// License, v.\n 2.0. All rights reserved."), (3, "Licensed under chapter v. All rights reserved."), (4, "Released under the MIT License. 2 copies. All rights reserved."),
+    ]
+    out = {r["n"]: r for r in licenses.scan(spark.createDataFrame(given, "n int, text string")).collect()}
+    assert [out[i]["sentence_ids"] for i in (1, 2, 3, 4)] == [["mpl2_named"], ["mpl2_named", "rights_reserved"], ["rights_reserved"], ["mit_named", "rights_reserved"]]
+    assert out[1]["licenses"] == ["MPL-2.0"] and [out[i]["unknown_sentences"] for i in (1, 2, 3, 4)] == [0, 0, 1, 0]
+
+
 def test_every_known_sentence_has_a_hint():
     import re
 
