@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import fresh, need_columns, text_or_empty
 
-#: Every known sentence has one of these word beginnings; other sentences are not looked at.
+#: Every known sentence, once normalised, has one of these word beginnings; other sentences are not looked at.
 HINT = r"licen|copyright|permi|warrant|redistribut|spdx|rights\s+reserved|public\s+domain|liab|endorse|names?\s+of|later\s+version|gpl|creative\s+commons|cc[ -]by|cc0"
+#: The same in texts as they are, where comment marks and the like may stand between two words.
+RAW_HINT = HINT.replace(r"\s+", "[^a-z0-9]+").replace("[ -]", "[^a-z0-9]+")
 
 # fixed values: SPDX short identifiers that a tag can name
 SPDX = (
@@ -100,9 +102,9 @@ MARK = "\x1e"
 def sentences(text):
     """Normalised sentences of a text that have a hint of a licence, each with a space at either end."""
     cut = F.split(F.regexp_replace(F.lower(text), CUT, "$1" + MARK), MARK)
-    hinted = F.filter(cut, lambda s: s.rlike(HINT))
+    hinted = F.filter(cut, lambda s: s.rlike(RAW_HINT))
     clean = F.transform(hinted, lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.]+", " "), r"\.+( |$)|(^| )\.+", " ")), F.lit(" ")))
-    return F.transform(clean, lambda s: F.regexp_replace(s, " +", " "))
+    return F.filter(F.transform(clean, lambda s: F.regexp_replace(s, " +", " ")), lambda s: s.rlike(HINT))
 
 
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -116,7 +118,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c not in ("sentence_ids", "licenses", "unknown_sentences")]
     text = text_or_empty(text_col)
     # most texts have nothing of the kind: one pass over them decides
-    found = F.when(text.rlike("(?i)" + HINT), sentences(text)).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike("(?i)" + RAW_HINT), sentences(text)).otherwise(F.array().cast("array<string>"))
     known = lambda s: F.array_compact(F.array(*[F.when(s.rlike(p), F.lit(n)) for n, p in SENTENCES]))
     hits, ids, count = (fresh(df, x) for x in ("_hits", "_ids", "_unknown"))
     per_sentence = df.withColumn(hits, F.transform(found, known))

@@ -452,6 +452,25 @@ def test_a_version_after_v_stays_in_its_sentence(spark):
     assert out[1]["licenses"] == ["MPL-2.0"] and [out[i]["unknown_sentences"] for i in (1, 2, 3, 4)] == [0, 0, 1, 0]
 
 
+def test_known_sentences_in_comments(spark):
+    import re
+
+    given = []
+    for name, pattern in licenses.SENTENCES:
+        # an example of the pattern: optional parts left out, the first of choices taken
+        plain = pattern
+        while (shorter := re.sub(r"\((?:[^()]*)\)\?", "", plain)) != plain:
+            plain = shorter
+        plain = re.sub(r"\(([^()|]*)[^()]*\)", r"\1", plain).replace("[1-4]", "4").replace("[0-9]{4}", "2020").replace("[sc]", "c").replace("\\", "").replace(".*", "x")
+        plain = re.sub(r"(.)\?", "", plain)
+        words = plain.split()
+        assert re.search(pattern, f" {' '.join(words)} "), name
+        given += [(name, mark, f"{mark} " + f"\n{mark} ".join(words)) for mark in ("//", "#", " *", "")]
+    found = licenses.scan(spark.createDataFrame(given, "name string, mark string, text string").repartition(4)).collect()
+    assert len(found) == 4 * len(licenses.SENTENCES)
+    assert [(r["name"], r["mark"]) for r in found if r["name"] not in r["sentence_ids"]] == []
+
+
 def test_every_known_sentence_has_a_hint():
     import re
 
