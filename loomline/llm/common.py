@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,20 +14,24 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one key beyond which a lookup by that key should not be left to one task.
+#: Tasks over which the rows of one key are dealt at least; on a cluster with more shuffle partitions, over as many as these.
 SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, a single machine) is a temporary folder set.
+    A temporary folder is set only where all of Spark is one process (a local master, as in tests); a cluster that names none is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         used = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = used.get() if used.isDefined() else tempfile.mkdtemp(prefix="loomline-")
-        spark.sparkContext.setCheckpointDir(named) if not used.isDefined() else None
+        if used.isDefined():
+            return used.get().rstrip("/")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="loomline-")
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -51,7 +56,42 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.loomline_path = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes the files of a table that written() gave, once nothing that is still to run reads it."""
+    _delete(table.sparkSession, table.loomline_path)
+
+
+def _one_row_each(df: DataFrame) -> bool:
+    """Whether df is stored files with nothing but projections and filters over them, so that a place in a file is one row at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def row_key(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with two more columns and their names: the file that a row is stored in and its place there. They name the row whenever it is read again.
+
+    A df that is not simply read from files is written to the shared folder first.
+    """
+    names = [fresh(df, "_file"), fresh(df, "_at")]
+    if not _one_row_each(df):
+        df = written(df, "rows")
+    place = df.metadataColumn("_metadata")
+    return df.select("*", place["file_path"].alias(names[0]), place["row_index"].alias(names[1])), names
+
+
+def without_rows(keyed: DataFrame, names: list[str], gone: DataFrame) -> DataFrame:
+    """keyed, from row_key, but for the rows whose key is in gone (columns of the same names); the key columns go.
+
+    The join is a shuffled one at every size, as gone grows with the data; of each partition only the keys of gone are held, and rows are not sorted.
+    """
+    return keyed.join(gone.select(*names).hint("shuffle_hash"), names, "left_anti").drop(*names)
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -72,13 +112,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, key: str, salt_by: str, salts: int = SALTS) -> DataFrame:
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str, *salt_by: str) -> DataFrame:
     """Left join of rows with table, which is unique on key, without sending a hot key's rows to one task.
 
-    The distinct (key, salt) pairs of rows, at most ``salts`` for a key, fetch the table's row first; then
-    rows meet their own pair. Both joins are equal on null keys.
+    The distinct (key, salt) pairs of rows, at most SALTS or as many as there are shuffle partitions for a key, fetch the table's row first; then
+    rows meet their own pair. Both joins are equal on null keys. salt_by: columns in which the rows of one key differ.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_by)), F.lit(salts)).cast("int"))
+    salts = max(SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     pairs = salted.select(F.col(key).alias("_key"), F.col("_salt").alias("_slot")).distinct()
     found = pairs.join(table.withColumnRenamed(key, "_of"), F.col("_key").eqNullSafe(F.col("_of"))).drop("_of")
     on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_slot"))

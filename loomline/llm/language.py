@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need_columns, salted_lookup, ship, text_or_empty, written
+from .common import need_columns, salted_lookup, ship, written
 
 #: Hashed trigrams that are told apart; languages whose counts a task holds at a time before it hands them on.
 BUCKETS, HELD_LANGUAGES = 1 << 14, 200
@@ -84,6 +84,24 @@ def visible(text: str, html: bool) -> str:
     return unescape(_MARKUP.sub(" ", text)) if html else text
 
 
+#: Characters of a text that are looked at together, on to the next white space.
+PIECE = 1 << 20
+_BLANK = re.compile(r"\s")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces that end at white space, which have the same trigrams as the whole."""
+    at = 0
+    while len(text) - at > PIECE and (found := _BLANK.search(text, at + PIECE)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def trigram_counts(text: str) -> np.ndarray:
+    return sum(np.bincount(trigrams(x), minlength=BUCKETS) for x in pieces(text))
+
+
 class Likelihood:
     """Log probabilities of trigram buckets by language, from counts over all rows that declare one."""
 
@@ -95,12 +113,22 @@ class Likelihood:
 
     def of(self, text: str) -> tuple[int, np.ndarray]:
         """Number of trigrams and the tempered log likelihood of each language."""
-        grams = trigrams(text)
-        n = len(grams)
-        if not n:
-            return 0, np.zeros(len(self.languages))
-        mean = self.log[grams].mean(0, dtype=np.float64)
-        return n, mean * (n / (1 + n / EVIDENCE))
+        n, total = 0, np.zeros(len(self.languages))
+        for x in pieces(text):
+            grams = trigrams(x)
+            n += len(grams)
+            total += self.log[grams].sum(0, dtype=np.float64) if len(grams) < BUCKETS // 4 else np.bincount(grams, minlength=BUCKETS) @ self.log.astype(np.float64)
+        return n, total / (1 + n / EVIDENCE)
+
+
+#: Rows that a worker has as Python objects at a time.
+SLICE = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
 
 
 def learn(rows: DataFrame, html: bool) -> Likelihood:
@@ -120,13 +148,13 @@ def learn(rows: DataFrame, html: bool) -> Likelihood:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), i), pa.int32()), pa.array(held, pa.int32()), pa.array(own[held], pa.int64())], ["l", "h", "n"])
             counts.clear()
 
-        for b in batches:
+        for b in sliced(batches):
             for text, tag in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if at[tag] not in counts:
                     if len(counts) >= HELD_LANGUAGES:
                         yield from handed_on()
                     counts[at[tag]] = np.zeros(BUCKETS, np.int64)
-                counts[at[tag]] += np.bincount(trigrams(visible(text, html)), minlength=BUCKETS)
+                counts[at[tag]] += trigram_counts(visible(text or "", html))
         yield from handed_on()
 
     table = np.zeros((len(languages), BUCKETS))
@@ -136,61 +164,49 @@ def learn(rows: DataFrame, html: bool) -> Likelihood:
     return Likelihood(languages, table)
 
 
-def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, html: bool = False, least: float = 0.5) -> DataFrame:
-    """One row per row of df: id (long, or binary if it is so), language, posterior, declared, text_language, n_trigrams and accepted.
+#: What stands for the evidence beside the text: rows that share these and the verdict of the text share all of it.
+GROUP = ["_declared", "_host", "_suffix", "_best"]
 
-    declared: a language tag that the document claims; host: where it is from; suffix: the end of its address. Each may be
-    missing, as a whole or by row, and then says nothing. html: whether texts are markup.
-    language is "und", and the row is not accepted, if the text has no letters or no language is likelier than ``least``. Nulls and
-    empty texts are "und". Repeated rows stay; an empty table, or one that declares no language at all, gives "und" for every row.
-    """
-    need_columns(df, id_col, text_col)
-    ship(df.sparkSession)
-    none = F.lit(None).cast("string")
-    kind = "binary" if dict(df.dtypes)[id_col] == "binary" else "long"
-    rows = df.select(
-        F.col(id_col).cast(kind).alias("_id"), text_or_empty(text_col).alias("_text"), (none if declared is None else primary(declared)).alias("_declared"),
-        (none if host is None else host.cast("string")).alias("_host"), (none if suffix is None else suffix.cast("string")).alias("_suffix"),
-    )
-    model = learn(rows, html)
-    languages = model.languages
-    if not languages:
-        blank = [F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.col("_declared").alias("declared"), F.lit(UNKNOWN).alias("text_language"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("accepted")]
-        return rows.select(F.col("_id").alias(id_col), *blank)
-    shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_likelihoods(rows: DataFrame, shared, at: int, kept: list[str], html: bool) -> DataFrame:
+    """Columns kept of rows, with _n, _best and _log (a number for each language) of the text in column ``at``."""
+    schema = rows.select(*kept).withColumns({"_n": F.lit(0).cast("long"), "_best": F.lit(0), "_log": F.array().cast("array<float>")}).schema
+    places = [rows.columns.index(c) for c in kept]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            found = [m.of(visible(t, html)) for t in b.column(1).to_pylist()]
-            n = np.array([x[0] for x in found], np.int64)
-            best = np.array([int(x[1].argmax()) if x[0] else -1 for x in found], np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(n), pa.array(best, pa.int32()), pa.array([x[1].tolist() for x in found], pa.list_(pa.float64()))], ["_id", "_declared", "_host", "_suffix", "_n", "_best", "_log"])
+        for b in sliced(batches):
+            n, log = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, len(m.languages)), np.float32)
+            for i, text in enumerate(b.column(at).to_pylist()):
+                n[i], log[i] = m.of(visible(text or "", html))
+            ends = pa.array(np.arange(b.num_rows + 1) * log.shape[1], pa.int32())
+            best = np.where(n > 0, log.argmax(1), -1)
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in places), pa.array(n), pa.array(best, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(log.ravel()))], schema.names)
 
-    scored = written(rows.mapInArrow(likelihoods, f"_id {kind}, _declared string, _host string, _suffix string, _n long, _best int, _log array<double>"), "likelihoods")
+    return rows.mapInArrow(work, schema)
+
+
+def _evidence(scored: DataFrame, languages: list[str]) -> DataFrame:
+    """For each group of scored rows (GROUP) the logarithms of what host, domain, suffix and declared tag say of each language.
+
+    Counted over all rows: groups first, so that a host, suffix or tag that a third of all rows share is one row for each verdict of few groups.
+    """
+    groups = written(scored.groupBy(*GROUP).agg(F.count("*").alias("_rows")), "groups")
+    groups = groups.withColumn("_domain", F.coalesce(F.nullif(domain_of(F.col("_host")), F.lit("")), F.col("_host")))
 
-    def verdicts(rows: DataFrame, by: str, name: str) -> DataFrame:
+    def verdicts(by: str, name: str) -> DataFrame:
         """One row for each value of ``by``: how many rows have which language by their text, as a map without those that none has."""
-        n = rows.groupBy(by, "_best").agg(F.sum("_rows").alias("n"))
+        n = groups.filter(F.col(by).isNotNull()).groupBy(by, "_best").agg(F.sum("_rows").alias("n"))
         return n.groupBy(by).agg(F.map_from_entries(F.collect_list(F.when(F.col("_best") >= 0, F.struct("_best", "n")))).alias(name))
 
-    # what the corpus says: one row for each declared tag, suffix and host, and one small table for all rows
-    each = scored.withColumn("_rows", F.lit(1).cast("long"))
-    tags = verdicts(each.filter("_declared is not null"), "_declared", "_of_tag")
-    suffixes = verdicts(each.filter("_suffix is not null"), "_suffix", "_of_suffix")
-    by_host = each.filter("_host is not null").groupBy("_host", "_best").agg(F.sum("_rows").alias("_rows"))
-    by_host = by_host.withColumn("_domain", F.coalesce(F.nullif(domain_of(F.col("_host")), F.lit("")), F.col("_host")))
-    domains = verdicts(by_host, "_domain", "_of_domain")
-    hosts = verdicts(by_host, "_host", "_of_host").withColumn("_domain", F.coalesce(F.nullif(domain_of(F.col("_host")), F.lit("")), F.col("_host")))
     overall = np.zeros(len(languages))
-    for r in scored.filter("_best >= 0").groupBy("_best").agg(F.count("*").alias("n")).collect():  # a row for each language at most
+    for r in groups.filter("_best >= 0").groupBy("_best").agg(F.sum("_rows").alias("n")).collect():  # a row for each language at most
         overall[r["_best"]] = r["n"]
-    hosts = hosts.join(domains, "_domain").select("_host", "_of_host", "_of_domain")
-    fused = scored
-    for table, key in ((hosts, "_host"), (suffixes, "_suffix"), (tags, "_declared")):
-        fused = salted_lookup(fused, table, key, "_id")
+    out = groups
+    for by, name in (("_host", "_of_host"), ("_domain", "_of_domain"), ("_suffix", "_of_suffix"), ("_declared", "_of_tag")):
+        out = salted_lookup(out, verdicts(by, name), by, *GROUP)
 
-    def posterior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (overall + 1) / (overall.sum() + len(languages))
 
         def counted(held: list[tuple[int, int]]) -> np.ndarray:
@@ -199,33 +215,90 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
                 n[i] = many
             return n
 
-        for b in batches:
+        for b in sliced(batches):
             r = b.to_pydict()
-            language, share = [], []
-            for i in range(b.num_rows):
-                own = np.zeros(len(languages))
-                if r["_best"][i] >= 0:
-                    own[r["_best"][i]] = 1
+            log = np.zeros((b.num_rows, len(languages)), np.float32)
+            for i, best in enumerate(r["_best"]):
+                own = np.zeros(len(languages))  # a row's own verdict says nothing of its host
+                if best >= 0:
+                    own[best] = 1
                 prior = base
                 for level in ("_of_suffix", "_of_domain", "_of_host"):
                     if r[level][i] is not None:
                         n = np.maximum(counted(r[level][i]) - own, 0)
                         prior = (n + SMOOTHING * prior) / (n.sum() + SMOOTHING)
-                log = np.array(r["_log"][i]) + np.log(prior)
+                log[i] = np.log(prior)
                 if r["_of_tag"][i] is not None:
-                    log = log + np.log((counted(r["_of_tag"][i]) + base) / (overall + 1))
-                p = np.exp(log - log.max())
-                p /= p.sum()
-                best = int(p.argmax())
-                sure = r["_n"][i] > 0 and p[best] >= least
-                language.append(languages[best] if sure else UNKNOWN)
-                share.append(float(p[best]) if r["_n"][i] else 0.0)
-            text = [languages[x] if x >= 0 else UNKNOWN for x in r["_best"]]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(language, pa.string()), pa.array(share), b.column("_declared"), pa.array(text, pa.string()), b.column("_n"), pa.array([x != UNKNOWN for x in language])], ["_id", "language", "posterior", "declared", "text_language", "n_trigrams", "accepted"])
-
-    needed = fused.select("_id", "_declared", "_n", "_best", "_log", "_of_host", "_of_domain", "_of_suffix", "_of_tag")
-    out = needed.mapInArrow(posterior, f"_id {kind}, language string, posterior double, declared string, text_language string, n_trigrams long, accepted boolean")
-    return out.withColumnRenamed("_id", id_col)
+                    log[i] += np.log((counted(r["_of_tag"][i]) + base) / (overall + 1))
+            ends = pa.array(np.arange(b.num_rows + 1) * log.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in GROUP), pa.ListArray.from_arrays(ends, pa.array(log.ravel()))], [*GROUP, "_evidence"])
+
+    out = out.select(*GROUP, "_of_host", "_of_domain", "_of_suffix", "_of_tag").mapInArrow(work, "_declared string, _host string, _suffix string, _best int, _evidence array<float>")
+    return out.select(F.struct(*GROUP).alias("_group"), "_evidence")
+
+
+def _judged(scored: DataFrame, evidence: DataFrame, languages: list[str], least: float) -> DataFrame:
+    """scored with language, posterior and accepted. A small evidence is sent to all tasks, a large one meets rows that Spark splits where a group is hot."""
+    fused = scored.withColumn("_group", F.struct(*GROUP)).join(evidence, "_group", "left")
+    fused = fused.withColumn("_sum", F.zip_with("_log", "_evidence", lambda a, b: a.cast("double") + b.cast("double")))
+    fused = fused.withColumn("_top", F.array_max("_sum"))
+    share = 1 / F.aggregate("_sum", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("_top")))
+    fused = fused.withColumn("posterior", F.when(F.col("_n") > 0, share).otherwise(0.0)).withColumn("accepted", (F.col("_n") > 0) & (F.col("posterior") >= least))
+    found = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_sum", F.col("_top")).cast("int"))
+    return fused.withColumn("language", F.when(F.col("accepted"), found).otherwise(UNKNOWN))
+
+
+def _read(df: DataFrame, text_col: str, declared: Column | None, host: Column | None, suffix: Column | None, *more: Column) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return df.select(
+        *more, F.col(text_col).cast("string").alias("_text"), (none if declared is None else primary(declared)).alias("_declared"), (none if host is None else host.cast("string")).alias("_host"), (none if suffix is None else suffix.cast("string")).alias("_suffix")
+    )
+
+
+def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, html: bool = False, least: float = 0.5) -> DataFrame:
+    """One row per row of df: id (long), language, posterior, declared, text_language, n_trigrams and accepted.
+
+    declared: a language tag that the document claims; host: where it is from; suffix: the end of its address. Each may be
+    missing, as a whole or by row, and then says nothing. html: whether texts are markup.
+    language is "und", and the row is not accepted, if the text has no letters or no language is likelier than ``least``. Nulls and
+    empty texts are "und". Repeated rows stay; an empty table, or one that declares no language at all, gives "und" for every row.
+    """
+    need_columns(df, id_col, text_col)
+    ship(df.sparkSession)
+    rows = _read(df, text_col, declared, host, suffix, F.col(id_col).cast("long").alias("_id"))
+    model = learn(rows, html)
+    languages = model.languages
+    if not languages:
+        blank = [F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.col("_declared").alias("declared"), F.lit(UNKNOWN).alias("text_language"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("accepted")]
+        return rows.select(F.col("_id").alias(id_col), *blank)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 64 KB for each language
+    scored = written(_with_likelihoods(rows, shared, 1, ["_id", "_declared", "_host", "_suffix"], html), "likelihoods")
+    out = _judged(scored, _evidence(scored, languages), languages, least)
+    text = F.when(F.col("_best") >= 0, F.element_at(F.array(*map(F.lit, languages)), F.greatest("_best", F.lit(0)) + 1)).otherwise(UNKNOWN)
+    return out.select(F.col("_id").alias(id_col), "language", "posterior", F.col("_declared").alias("declared"), text.alias("text_language"), F.col("_n").alias("n_trigrams"), "accepted")
+
+
+def keep_identified(df: DataFrame, text_col: str = "text", declared: Column | None = None, host: Column | None = None, suffix: Column | None = None, html: bool = False, least: float = 0.5) -> DataFrame:
+    """The rows of df that identify() accepts, with all columns of df under whatever names.
+
+    Each row is judged where it is: texts are scored once for the counts and again, with all columns, for the verdict, so that no
+    text is shuffled for as long as Spark can send the table of evidence to all tasks. Rows whose text is null or empty go, and all do if no language is declared.
+    """
+    need_columns(df, text_col)
+    ship(df.sparkSession)
+    rows = _read(df, text_col, declared, host, suffix)
+    model = learn(rows, html)
+    if not model.languages:
+        return df.filter(F.lit(False))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    scored = _with_likelihoods(rows, shared, 0, ["_declared", "_host", "_suffix"], html)
+    evidence = written(_evidence(scored, model.languages), "evidence")
+    own = [f"c{i}" for i in range(len(df.columns))]
+    # all columns by place: theirs may have the names of those here
+    whole = _read(df, text_col, declared, host, suffix, *(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+    whole = whole.toDF(*own, "_text", "_declared", "_host", "_suffix").drop("_text")
+    out = _judged(_with_likelihoods(whole, shared, df.columns.index(text_col), [*own, "_declared", "_host", "_suffix"], html), evidence, model.languages, least)
+    return out.filter("accepted").select(*own).toDF(*df.columns)
 
 
 def identify_documents(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
