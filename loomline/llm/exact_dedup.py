@@ -1,27 +1,30 @@
-"""Exact deduplication by a tree merge of digest runs, with DataFrame functions only.
-
-Every row goes to one of fan_in ** rounds leaf runs. A leaf run keeps one entry for each digest: the row
-that stays so far and the number of rows. In each round fan_in sibling runs exchange their entries by run
-and digest and are merged, until one run, spread over all tasks by digest, is left. The answer then goes
-down the same tree: a digest has at most fan_in entries below each node, so however many rows share a text,
-no task gets more of them than one leaf run holds.
+"""Exact deduplication by a tree merge of sorted digest runs, with DataFrame functions only.
+
+Rows are dealt over runs. A leaf run, merged by sorting, has one entry for each digest: the row that stays so far and the number of
+rows. In each round the runs of a group of partners, whose numbers differ in one digit, exchange entries: each partner takes
+those whose digest has its own digit in that place and merges what all of them send, keeping the verified best row of each digest. A digit is two
+binomial steps at once. After as many rounds as a run's number has digits, every digest is in a single run, and no run
+has ever had more than its share. The answers go back to the leaf runs and from there to the rows: a digest has one entry in a leaf run, so
+however many rows share a text, no task gets more of them than one leaf run holds.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, need_columns, text_or_empty, written
+from .common import need_columns, row_key, text_or_empty, without_rows, written
 
 #: A digest is believed only together with the length and a second, independent hash of the text.
 KEY = ["_digest", "_bytes", "_check"]
+#: Partners that exchange their runs in a round.
+FAN_IN = 4
 
 
-def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The narrow table on which the merge works: id, row number and the verified digest of the whole text."""
+def digest_rows(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """The narrow table on which the merge works: id, row number, the verified digest of the whole text, and more columns."""
     need_columns(df, id_col, text_col)
     text = text_or_empty(text_col)
     return df.select(
@@ -30,41 +33,48 @@ def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("_digest"),
         F.octet_length(text).alias("_bytes"),
         F.xxhash64(text).alias("_check"),
+        *more,
     )
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = 16) -> DataFrame:
-    """One row for each row of df: id, keep_id, group_size, kept and text_sha256.
+def _digit(run: Column, place: int) -> Column:
+    return F.pmod(F.floor(run / place), F.lit(FAN_IN))
 
-    df: any columns; only id_col (integer) and text_col are read, so others may have any name.
-    keep: "max" or "min", whether the row with the largest or the smallest id of equal texts stays.
 
-    Null texts count as empty and are equal to each other. Of rows that share text and id, exactly one is kept. Null
-    ids are the last choice for either order. An empty table gives no rows. Texts are compared whole, by SHA-256,
-    length and a 64-bit hash.
-    """
+def merged(rows: DataFrame, keep: str, runs: int | None = None) -> DataFrame:
+    """rows, a written table from digest_rows, with _keep, the entry (has, wish, row) that stays, and _size, both null for a text that no other row has."""
     if keep not in ("max", "min"):
         raise ValueError("keep is 'max' or 'min'")
-    spark = df.sparkSession
-    rows = written(digest_rows(df, id_col, text_col), "digests")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rounds = max(1, math.ceil(math.log(max(2, partitions), fan_in)))
-    rows = rows.withColumn("_run", F.pmod(F.xxhash64("_row", "_id"), F.lit(fan_in**rounds)).cast("int"))
+    partitions = runs or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rounds = max(1, math.ceil(math.log(max(2, partitions), FAN_IN) - 1e-9))
+    rows = rows.withColumn("_run", F.pmod(F.xxhash64("_row", "_id"), F.lit(FAN_IN**rounds)).cast("long"))
 
     # the largest (preference, row) wins; a null id is less than any other
     wish = F.col("_id") if keep == "max" else -F.col("_id")
     entry = F.struct(F.col("_id").isNotNull().alias("has"), wish.alias("wish"), F.col("_row").alias("row"))
-    levels = [rows.groupBy("_run", *KEY).agg(F.max(entry).alias("_best"), F.count("*").alias("_n"))]
-    for _ in range(rounds):
-        merged = levels[-1].withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
-        levels.append(merged.groupBy("_run", *KEY).agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n")))
-
-    # down again, only with what occurs more than once: single rows keep themselves
-    answer = levels[-1].filter("_n > 1").select("_run", *KEY, F.col("_best").alias("_keep"), F.col("_n").alias("_size"))
-    for level in reversed(levels[:-1]):
-        below = level.select(F.col("_run").alias("_child"), F.floor(F.col("_run") / fan_in).cast("int").alias("_run"), *KEY)
-        answer = below.join(answer, ["_run", *KEY]).drop("_run").withColumnRenamed("_child", "_run")
-    out = rows.join(answer, ["_run", *KEY], "left")
+    leaves = written(rows.groupBy("_run", *KEY).agg(F.max(entry).alias("_best"), F.count("*").alias("_n")), "leaf-runs")
+    level = leaves
+    for place in (FAN_IN**k for k in range(rounds)):
+        partner = F.col("_run") + (_digit(F.pmod("_check", F.lit(FAN_IN**rounds)), place) - _digit(F.col("_run"), place)) * place
+        level = level.withColumn("_run", partner.cast("long")).groupBy("_run", *KEY).agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
+
+    # back only with what occurs more than once: single rows keep themselves
+    answers = level.filter("_n > 1").select(*KEY, F.col("_best").alias("_keep"), F.col("_n").alias("_size"))
+    return rows.join(leaves.select("_run", *KEY).join(answers, KEY), ["_run", *KEY], "left").drop("_run")
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", runs: int | None = None) -> DataFrame:
+    """One row for each row of df: id, keep_id, group_size, kept and text_sha256.
+
+    df: any columns; only id_col (integer) and text_col are read, so others may have any name.
+    keep: "max" or "min", whether the row with the largest or the smallest id of equal texts stays. runs: leaf runs at least; by default
+    as many as there are shuffle partitions.
+
+    Null texts count as empty and are equal to each other. Of rows that share text and id, exactly one is kept. Null
+    ids are the last choice for either order. An empty table gives no rows. Texts are compared whole, by SHA-256,
+    length and a 64-bit hash.
+    """
+    out = merged(written(digest_rows(df, id_col, text_col), "digests"), keep, runs)
     kept_id = F.col("_keep.wish") if keep == "max" else -F.col("_keep.wish")
     return out.select(
         F.col("_id").alias(id_col),
@@ -76,20 +86,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of df whose text no preferred row has, with all columns of df.
+    """The rows of df but for those whose text a preferred row has, with all columns of df under whatever names.
 
-    Rows that repeat both id and text are brought down to one; rows that share only the id are not mixed up.
+    Rows are told apart by where they are stored. Of rows that share id and text the one that happens to have the largest row number stays, whatever
+    its other columns hold; rows that share only the id are not mixed up.
     """
-    out = exact_dedup(df, id_col, text_col, keep)
-    gone, sha, own, same = (fresh(df, x) for x in ("_gone", "_sha", "_own_sha", "_same"))
-    dropped = out.filter(~F.col("kept")).select(F.col(id_col).alias(gone), F.col("text_sha256").alias(sha), (F.col(id_col).eqNullSafe(F.col("keep_id"))).alias(same))
-    dropped = written(dropped, "dropped")
-    tagged = df.withColumn(own, F.lower(F.sha2(text_or_empty(text_col).cast("binary"), 256)))
-    on = F.col(id_col).eqNullSafe(F.col(gone)) & (F.col(own) == F.col(sha))
-    left = tagged.join(dropped.filter(~F.col(same)), on, "left_anti")
-    if not dropped.filter(same).isEmpty():  # repeats of the row that stays itself
-        left = left.dropDuplicates([id_col, own])
-    return left.drop(own)
+    keyed, names = row_key(df)
+    rows = written(digest_rows(keyed, id_col, text_col, *(F.col(c).alias(n) for c, n in zip(names, ("_in_file", "_in_place"), strict=True))), "digests")
+    gone = merged(rows, keep).filter(F.col("_keep.row") != F.col("_row"))
+    return without_rows(keyed, names, gone.select(F.col("_in_file").alias(names[0]), F.col("_in_place").alias(names[1])))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
