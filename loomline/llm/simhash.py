@@ -18,18 +18,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, need_columns, salted_lookup, ship, text_or_empty, written
+from .common import need_columns, row_key, salted_lookup, ship, without_rows, written
 from .components import connected_components
 
 BITS = 64
 #: Rows of one group of values that one task should take on average, and values that it holds at a time.
 GROUP_ROWS = 40_000
 HELD_VALUES = 6_000_000
-#: Values beyond which a group is dealt out over several tasks.
-TASK_VALUES = 60_000_000
+#: Values beyond which a group is dealt out over several tasks, by so many of their next bits at most.
+TASK_VALUES, MORE_BITS = 60_000_000, 12
+#: Bits by which a task parts its values at a time; rows that it has as Python objects at a time.
+STEP, SLICE = 4, 256
 
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -54,19 +56,21 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, digests: bool = False) -> DataFrame:
-    """(id, _fp): the fingerprint of each row's whole text as a signed long; a null text counts as empty. digests: also _sha, the SHA-256 of the text."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, *more: Column) -> DataFrame:
+    """(_id, _fp) and more columns: the fingerprint of each row's whole text as a signed long; a null text counts as empty."""
     need_columns(df, id_col, text_col)
     ship(df.sparkSession)
+    rows = df.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), *more)
+    schema = rows.drop("_text").withColumn("_fp", F.lit(0).cast("long")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t, words, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["_id", "_fp", *b.schema.names[2:]])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                fps = np.array([fingerprint(t, words, seed) for t in b.column(0).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps, pa.int64())], schema.names)
 
-    text = text_or_empty(text_col)
-    sha = [F.unhex(F.sha2(text.cast("binary"), 256)).alias("_sha")] if digests else []
-    return df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), *sha).mapInArrow(work, "_id long, _fp long" + ", _sha binary" * digests)
+    return rows.mapInArrow(work, schema)
 
 
 @functools.cache
@@ -83,55 +87,62 @@ def prefix_bits(count: int, radius: int) -> int:
     return 28
 
 
-def meet(fps: np.ndarray, used: np.ndarray, prefix: int, radius: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def meet(fps: np.ndarray, used: np.ndarray, prefix: int, radius: int, held: int = HELD_VALUES) -> tuple[np.ndarray, np.ndarray]:
     """Links, as two arrays of positions, between fingerprints of one group that share a value within the radius.
 
-    used: bits flipped already to get to the group. parts: only values of the given part of so many are looked at.
-    The links span the same components as all colliding pairs do.
+    used: bits flipped already to get to the group. A group with more than ``held`` values is parted by their next bits, again and again, so that
+    each value is made once and only so many are in memory. The links span the same components as all colliding pairs do.
     """
-    low = BITS - prefix
-    rest = fps & np.uint64(2**low - 1)
-    values_of = [(np.flatnonzero(used == u), masks(low, radius - u)) for u in range(radius + 1)]
-    total = sum(len(rows) * len(m) for rows, m in values_of)
-    slices = parts * max(1, -(-total // (HELD_VALUES * parts)))
     left, right = [], []
-    for s in range(part, slices, parts):
-        values, owners = [], []
-        for rows, m in values_of:
-            step = max(1, HELD_VALUES // (4 * len(m)))
-            for at in range(0, len(rows), step):
-                v = rest[rows[at : at + step], None] ^ m[None, :]
-                if slices == 1:
-                    values.append(v.ravel())
-                    owners.append(np.repeat(rows[at : at + step], len(m)))
-                else:
-                    r, c = np.nonzero(((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(slices) == s)
-                    values.append(v[r, c])
-                    owners.append(rows[at : at + step][r])
-        v, own = np.concatenate(values), np.concatenate(owners)
-        ordered = np.sort(v)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        del ordered
-        if not len(twice):
+    todo = [(np.arange(len(fps)), used, prefix)]
+    while todo:
+        rows, flipped, p = todo.pop()
+        low = BITS - p
+        counts = np.bincount(flipped, minlength=radius + 1)
+        if len(rows) < 2:
+            continue
+        if sum(int(n) * len(masks(low, radius - u)) for u, n in enumerate(counts)) > held and low > STEP:
+            bits = (fps[rows] >> np.uint64(low - STEP)) & np.uint64(2**STEP - 1)
+            for s in range(2**STEP):
+                now = flipped + np.bitwise_count(bits ^ np.uint64(s))
+                near = now <= radius
+                todo.append((rows[near], now[near], p + STEP))
             continue
-        at = np.searchsorted(twice, v)
-        hit = twice[np.minimum(at, len(twice) - 1)] == v
-        v, own = at[hit], own[hit]
-        by = np.lexsort((own, v))
-        v, own = v[by], own[by]
-        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        star = np.repeat(own[first], np.diff(np.r_[first, len(v)]))
-        pairs = np.unique(np.stack([star, own], 1)[star != own], axis=0)
-        far = np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) > 2 * radius
-        if far.any():
-            raise AssertionError("fingerprints that share a value are within twice the radius")
-        left.append(pairs[:, 0])
-        right.append(pairs[:, 1])
+        a, b = _collide(fps, rows, flipped, low, radius)
+        left.append(a)
+        right.append(b)
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return forest(np.concatenate(left), np.concatenate(right), len(fps))
 
 
+def _collide(fps: np.ndarray, rows: np.ndarray, flipped: np.ndarray, low: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each value of the lowest bits that several of the rows reach."""
+    rest = fps & np.uint64(2**low - 1)
+    values, owners = [], []
+    for u in range(radius + 1):
+        mine, m = rows[flipped == u], masks(low, radius - u)
+        values.append((rest[mine, None] ^ m[None, :]).ravel())
+        owners.append(np.repeat(mine, len(m)))
+    v, own = np.concatenate(values), np.concatenate(owners)
+    ordered = np.sort(v)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
+    if not len(twice):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.searchsorted(twice, v)
+    hit = twice[np.minimum(at, len(twice) - 1)] == v
+    v, own = at[hit], own[hit]
+    by = np.lexsort((own, v))
+    v, own = v[by], own[by]
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    star = np.repeat(own[first], np.diff(np.r_[first, len(v)]))
+    pairs = np.unique(np.stack([star, own], 1)[star != own], axis=0)
+    if (np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) > 2 * radius).any():
+        raise AssertionError("fingerprints that share a value are within twice the radius")
+    return pairs[:, 0], pairs[:, 1]
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Stars, from the smallest position of each component of the links to its others."""
     label = np.arange(n)
@@ -163,24 +174,27 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     sent = distinct.select("_fp", F.col("_node.id").alias("_id"), F.explode(flips).alias("f"))
     sent = sent.select(F.shiftrightunsigned("_fp", low).bitwiseXOR(F.col("f.m")).alias("_group"), F.col("f.used").alias("_used"), "_fp", "_id")
 
-    # a group with a tight cluster in it has many values: then several tasks get its fingerprints, each a part of its values
+    # a group with a tight cluster in it has many values: then it is parted by their next bits, and a fingerprint goes to the parts that it can reach
     sizes = F.element_at(F.array(*[F.lit(len(masks(low, radius - u))) for u in range(radius + 1)]), F.col("_used") + 1)
     heavy = sent.groupBy("_group").agg(F.sum(sizes.cast("long")).alias("_values")).filter(F.col("_values") > TASK_VALUES)
-    heavy = heavy.select("_group", F.ceil(F.col("_values") / TASK_VALUES).cast("int").alias("_parts"))
-    sent = sent.join(heavy, "_group", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    sent = sent.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    heavy = heavy.select("_group", F.least(F.lit(MORE_BITS), F.ceil(F.log2(F.col("_values") / TASK_VALUES)) + 1).cast("int").alias("_more"))
+    sent = sent.join(heavy, "_group", "left").withColumn("_more", F.coalesce("_more", F.lit(0)))
+    further = F.element_at(F.array(*[F.array(*[F.struct(F.lit(int(m)).alias("m"), F.lit(int(m).bit_count()).alias("used")) for m in masks(e, radius)]) for e in range(MORE_BITS + 1)]), F.col("_more") + 1)
+    sent = sent.withColumn("f", F.explode(F.filter(further, lambda x: x["used"] + F.col("_used") <= radius)))
+    own = F.expr(f"shiftrightunsigned(_fp, {low} - _more) & (shiftleft(1L, _more) - 1)")
+    sent = sent.select("_group", "_more", own.bitwiseXOR(F.col("f.m")).alias("_part"), (F.col("_used") + F.col("f.used")).alias("_used"), "_fp", "_id")
 
     def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["_id", "_fp"], ignore_index=True)
         fps = frame["_fp"].to_numpy(np.int64).view(np.uint64)
-        a, b = meet(fps, frame["_used"].to_numpy(), p, radius, int(key[1]), int(key[2]))
+        a, b = meet(fps, frame["_used"].to_numpy(), p + int(key[1]), radius)
         fp, ids = frame["_fp"].to_numpy(), frame["_id"].to_numpy()
         return pd.DataFrame({"a_id": ids[a], "a_fp": fp[a], "b_id": ids[b], "b_fp": fp[b]})
 
     ship(spark)
     # few bytes but much work: the number of partitions is given, so that they are not put together by their size
     sent = sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_group", "_part")
-    found = sent.groupBy("_group", "_part", "_parts").applyInPandas(work, "a_id long, a_fp long, b_id long, b_fp long")
+    found = sent.groupBy("_group", "_more", "_part").applyInPandas(work, "a_id long, a_fp long, b_id long, b_fp long")
     node = lambda x: F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_fp").alias("fp")).alias(x)
     return found.select(node("a"), node("b"))
 
@@ -197,10 +211,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often as they go in. A null id is never the smallest; a component of null ids only has a null component_id. An empty
     table gives no rows; columns other than the two named may have any name.
     """
-    rows = written(fingerprints(df, id_col, text_col, words, seed), "fingerprints")
+    rows = written(fingerprints(df, id_col, text_col, words, seed, F.monotonically_increasing_id().alias("_row")), "fingerprints")
     least = F.col("_component.id")
     of = _components(rows, distance).select("_fp", F.when(least != NO_ID, least).alias("component_id"))
-    out = salted_lookup(rows, of, "_fp", "_id")
+    out = salted_lookup(rows, of, "_fp", "_row")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -214,23 +228,21 @@ def _components(rows: DataFrame, distance: int) -> DataFrame:
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """One row of df for each component, with all columns of df: that with its smallest id; null ids are the last choice, the digest of the text decides between rows of one id.
+    """One row of df for each component, with all columns of df under whatever names: that with its smallest id.
 
-    Rows are told apart by id and text, so a row that goes takes no other with it. Of rows that share both one is kept.
+    Null ids are the last choice; between rows of one id the place where they are stored decides. Rows are told apart by that place, so a row that goes takes no other with it.
     """
-    name, own, sha, many = (fresh(df, x) for x in ("_gone", "_own_sha", "_sha", "_many"))
-    rows = written(fingerprints(df, id_col, text_col, words, digests=True), "fingerprints")
-    rows = written(salted_lookup(rows, _components(rows, distance), "_fp", "_id"), "components")
-    choice = F.struct(F.coalesce("_id", F.lit(NO_ID)).alias("id"), F.col("_id").isNull().alias("none"), F.col("_sha").alias("sha"))
-    stays = rows.groupBy("_component").agg(F.min(choice).alias("_stays"), F.count("*").alias("_n")).filter("_n > 1")
-    judged = salted_lookup(rows.withColumn("_choice", choice), stays, "_component", "_sha")
-    gone = written(judged.filter("_stays is not null").groupBy(F.col("_id").alias(name), F.col("_sha").alias(sha)).agg(F.max(F.col("_choice") == F.col("_stays")).alias("_same"), (F.count("*") > 1).alias(many)), "gone")
-    tagged = df.withColumn(own, F.unhex(F.sha2(text_or_empty(text_col).cast("binary"), 256)))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.col(own) == F.col(sha))
-    left = tagged.join(gone.filter("not _same").select(name, sha), on, "left_anti")
-    if not gone.filter(F.col("_same") & F.col(many)).isEmpty():  # repeats of the row that stays itself
-        left = left.dropDuplicates([id_col, own])
-    return left.drop(own)
+    keyed, names = row_key(df)
+    place = [F.col(c).alias(n) for c, n in zip(names, ("_in_file", "_in_place"), strict=True)]
+    rows = written(fingerprints(keyed, id_col, text_col, words, 42, *place), "fingerprints")
+    choice = F.struct(F.coalesce("_id", F.lit(NO_ID)).alias("id"), F.col("_id").isNull().alias("none"), "_in_file", "_in_place")
+    # the best row of each fingerprint, then of each component; single rows need no answer
+    best = _components(rows, distance).join(rows.groupBy("_fp").agg(F.min(choice).alias("_best"), F.count("*").alias("_n")), "_fp")
+    stays = best.groupBy("_component").agg(F.min("_best").alias("_stays"), F.sum("_n").alias("_all")).filter("_all > 1").select("_component", "_stays")
+    of = salted_lookup(best.select("_fp", "_component"), stays, "_component", "_fp").filter("_stays is not null").select("_fp", "_stays")
+    judged = salted_lookup(rows, of, "_fp", "_in_file", "_in_place").filter("_stays is not null")
+    gone = judged.filter(~((F.col("_stays._in_file") == F.col("_in_file")) & (F.col("_stays._in_place") == F.col("_in_place"))))
+    return without_rows(keyed, names, gone.select(F.col("_in_file").alias(names[0]), F.col("_in_place").alias(names[1])))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
