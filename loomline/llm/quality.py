@@ -2,7 +2,7 @@
 
 Each class has a mean and a covariance over transformed statistics of whole texts, the covariance shrunk towards that of both
 classes together and towards its diagonal. A score comes from the difference of the log densities, Mahalanobis distances by way of
-Cholesky factors that are computed once. Labels are only used to fit; moments are summed on the executors.
+Cholesky factors that are computed once. Labels are only used to fit, a bounded sample of them; moments are summed on the executors.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need_columns, ship, text_or_empty, written
+from .common import forget, need_columns, ship, written
 
 FEATURES = (
     "log_words", "word_length", "letters", "upper", "digits", "symbols", "odd_symbols", "bars", "shouts", "log_line_words", "line_ends", "line_repeats", "type_ratio", "top_word", "bigram_ratio", "entropy", "sentence_words", "stop_words",
@@ -84,18 +84,14 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def statistics_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """(_id, _stats array<double>) for each row; digests: also _sha, the SHA-256 of the text."""
-    need_columns(df, id_col, text_col)
-    ship(df.sparkSession)
+#: Rows that a worker has as Python objects at a time.
+SLICE = 256
+#: Labels that the discriminant learns from, about so many, drawn by a hash of id and label: a bound on the sample, whatever the input.
+LEARN_LABELS = 100_000
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([statistics(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64())), *b.columns[2:]], ["_id", "_stats", *b.schema.names[2:]])
 
-    text = text_or_empty(text_col)
-    sha = [F.unhex(F.sha2(text.cast("binary"), 256)).alias("_sha")] if digests else []
-    return df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), *sha).mapInArrow(work, "_id long, _stats array<double>" + ", _sha binary" * digests)
+def statistics_of(texts: pa.Array) -> np.ndarray:
+    return np.array([statistics(t) for t in texts.to_pylist()], float).reshape(-1, len(FEATURES))
 
 
 @dataclass
@@ -104,63 +100,90 @@ class Discriminant:
 
     centre: np.ndarray
     scale: np.ndarray
-    means: tuple[np.ndarray, np.ndarray]
-    whiten: tuple[np.ndarray, np.ndarray]
-    constant: tuple[float, float]
+    means: tuple[np.ndarray, ...] = ()
+    whiten: tuple[np.ndarray, ...] = ()
+    constant: tuple[float, ...] = ()
 
     @classmethod
-    def from_moments(cls, moments: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Discriminant:
-        """moments: for class 0 and 1 the number of rows, the sums and the sums of products of their statistics."""
-        d = len(FEATURES)
+    def standard(cls, moments: dict[int, Moments]) -> Discriminant:
+        """Only how statistics are standardised: by their mean over both classes and their deviation within the classes."""
         total = sum(m[0] for m in moments.values())
-        centre = sum(m[1] for m in moments.values()) / total
-        inside = {y: m[2] / m[0] - np.outer(m[1] / m[0], m[1] / m[0]) for y, m in moments.items()}
-        pooled = sum(m[0] / total * inside[y] for y, m in moments.items())
-        scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
-        pooled = pooled / np.outer(scale, scale)
-        means, whiten, constant = [], [], []
-        for y in (0, 1):
-            cov = (1 - POOLED - DIAGONAL) * inside[y] / np.outer(scale, scale) + POOLED * pooled + DIAGONAL * np.eye(d)
-            factor = np.linalg.cholesky(cov)
-            means.append(np.clip((moments[y][1] / moments[y][0] - centre) / scale, -LIMIT, LIMIT))
-            whiten.append(np.linalg.inv(factor))
-            constant.append(math.log(moments[y][0] / total) - float(np.log(np.diag(factor)).sum()))
-        return cls(centre, scale, tuple(means), tuple(whiten), tuple(constant))
+        inside = sum(m[0] / total * np.diag(m[2] / m[0] - np.outer(m[1], m[1]) / m[0] ** 2) for m in moments.values())
+        return cls(sum(m[1] for m in moments.values()) / total, np.sqrt(np.maximum(inside, 1e-6)))
+
+    def with_moments(self, moments: dict[int, Moments]) -> Discriminant:
+        """The whole discriminant from the moments of standardised statistics."""
+        d, total = len(self.centre), sum(m[0] for m in moments.values())
+        covariance = {y: m[2] / m[0] - np.outer(m[1], m[1]) / m[0] ** 2 for y, m in moments.items()}
+        pooled = sum(m[0] / total * covariance[y] for y, m in moments.items())
+        factors = [np.linalg.cholesky((1 - POOLED - DIAGONAL) * covariance[y] + POOLED * pooled + DIAGONAL * np.eye(d)) for y in (0, 1)]
+        constant = tuple(math.log(moments[y][0] / total) - float(np.log(np.diag(factors[y])).sum()) for y in (0, 1))
+        return Discriminant(self.centre, self.scale, tuple(moments[y][1] / moments[y][0] for y in (0, 1)), tuple(np.linalg.inv(f) for f in factors), constant)
+
+    def standardised(self, stats: np.ndarray) -> np.ndarray:
+        return np.clip((stats - self.centre) / self.scale, -LIMIT, LIMIT)
 
     def scores(self, stats: np.ndarray) -> np.ndarray:
         """Between 0 and 1, over a half where class 1 is likelier. Large differences are compressed, so that they stay apart."""
-        x = np.clip((stats - self.centre) / self.scale, -LIMIT, LIMIT)
+        x = self.standardised(stats)
         logs = [c - 0.5 * (((x - m) @ w.T) ** 2).sum(1) for m, w, c in zip(self.means, self.whiten, self.constant, strict=True)]
         z = logs[1] - logs[0]
         return 1 / (1 + np.exp(-np.sign(z) * np.log1p(np.abs(z))))
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant | None:
-    """stats: from statistics_of. labels: rows to learn from; a label other than 0 and 1 and ids without a text are left out, repeats count again.
+#: Of one class: rows, sums and sums of products of statistics.
+Moments = tuple[float, np.ndarray, np.ndarray]
 
-    None if there are not two rows of either class.
-    """
-    ship(stats.sparkSession)
-    learn = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1))
+
+def moments(stats: DataFrame, of: Discriminant | None = None) -> dict[int, Moments]:
+    """Of both classes of stats (_y, _w, _stats), each row counted _w times; of: whose standardised statistics are meant. Summed on the executors."""
     d = len(FEATURES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 + d + d * d))
         for b in batches:
-            x = np.array(b.column(0).to_pylist(), float).reshape(-1, d)
-            y = b.column(1).to_numpy()
+            x = b.column(2).flatten().to_numpy().reshape(-1, d)
+            x = of.standardised(x) if of else x
+            y, w = b.column(0).to_numpy(), b.column(1).to_numpy().astype(float)
             for c in (0, 1):
-                xc = x[y == c]
-                sums[c] += np.concatenate([[len(xc)], xc.sum(0), (xc.T @ xc).ravel()])
+                xc, wc = x[y == c], w[y == c]
+                sums[c] += np.concatenate([[wc.sum()], wc @ xc, ((xc * wc[:, None]).T @ xc).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], sums.shape[1]), pa.int32()), pa.array(np.tile(np.arange(sums.shape[1]), 2), pa.int32()), pa.array(sums.ravel())], ["y", "at", "v"])
 
-    rows = stats.join(learn, "_id").select("_stats", "_y").mapInArrow(work, "y int, at int, v double").groupBy("y", "at").agg(F.sum("v").alias("v")).collect()  # 2 * (1 + d + d * d) rows
     flat = np.zeros((2, 1 + d + d * d))
-    for r in rows:
+    for r in stats.select("_y", "_w", "_stats").mapInArrow(work, "y int, at int, v double").groupBy("y", "at").agg(F.sum("v").alias("v")).collect():  # 2 * (1 + d + d * d) rows
         flat[r["y"], r["at"]] = r["v"]
-    if min(flat[:, 0]) < 2:
+    return {c: (flat[c, 0], flat[c, 1 : 1 + d], flat[c, 1 + d :].reshape(d, d)) for c in (0, 1)}
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = LEARN_LABELS) -> Discriminant | None:
+    """The discriminant from the texts of about ``most`` of the labels, or of all if there are fewer.
+
+    labels: rows to learn from; a label other than 0 and 1 and ids without a text are left out, repeats count again.
+    None if there are not two rows of either class.
+    """
+    ship(df.sparkSession)
+    learn = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
+    learn = learn.groupBy("_id", "_y").agg(F.count("*").alias("_w"))
+    share = min(1.0, most / max(1, learn.count()))
+    drawn = learn.filter(F.pmod(F.xxhash64("_id", "_y"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # some 16 bytes for each of so many labels: small enough for every task
+    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(drawn), "_id").select("_text", "_y", "_w")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(list(statistics_of(b.column(0))), pa.list_(pa.float64()))], ["_y", "_w", "_stats"])
+
+    stats = written(texts.mapInArrow(work, "_y int, _w long, _stats array<double>"), "statistics")
+    raw = moments(stats)
+    if min(m[0] for m in raw.values()) < 2:
         return None
-    return Discriminant.from_moments({c: (flat[c, 0], flat[c, 1 : 1 + d], flat[c, 1 + d :].reshape(d, d)) for c in (0, 1)})
+    standard = Discriminant.standard(raw)
+    model = standard.with_moments(moments(stats, standard))
+    forget(stats)
+    return model
 
 
 def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -168,24 +191,45 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1)
 
 
-def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", digests: bool = False) -> DataFrame:
-    """One row per row of df: id, held_out, score and predicted, learnt from the rows of labels that are not held out; digests: also text_sha256, binary.
+def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = LEARN_LABELS) -> DataFrame:
+    """One row per row of df: id, held_out, score and predicted, learnt from the rows of labels that are not held out.
 
     Null and empty texts have a score as well. Null ids are scored and count as not held out. Repeated rows stay, an empty df
     gives no rows. Without two labelled rows of either class nothing can be learnt: then every score is a half.
     """
-    stats = written(statistics_of(df, id_col, text_col, digests), "statistics")
-    model = fit(stats, training_rows(labels, id_col), id_col, label_col)
+    need_columns(df, id_col, text_col)
+    model = fit(df, training_rows(labels, id_col), id_col, text_col, label_col, most)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(-1, len(FEATURES))
-            s = model.scores(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32), pa.int32()), *b.columns[2:]], ["_id", "score", "predicted", *b.schema.names[2:]])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                s = model.scores(statistics_of(b.column(1))) if model else np.full(b.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32), pa.int32())], ["_id", "score", "predicted"])
 
     held_out = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    sha = [F.col("_sha").alias("text_sha256")] if digests else []
-    return stats.mapInArrow(work, "_id long, score double, predicted int" + ", _sha binary" * digests).select(F.col("_id").alias(id_col), held_out.alias("held_out"), "score", "predicted", *sha)
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return rows.mapInArrow(work, "_id long, score double, predicted int").select(F.col("_id").alias(id_col), held_out.alias("held_out"), "score", "predicted")
+
+
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = LEARN_LABELS) -> DataFrame:
+    """The rows of df that score() predicts to be good, with all columns of df under whatever names; each is judged where it is, nothing is shuffled.
+
+    Where nothing can be learnt every score is a half, and all rows stay.
+    """
+    need_columns(df, id_col, text_col)
+    model = fit(df, training_rows(labels, id_col), id_col, text_col, label_col, most)
+    if model is None:
+        return df
+    place = df.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                yield b.filter(pa.array(model.scores(statistics_of(b.column(place))) >= 0.5))
+
+    return df.mapInArrow(work, df.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

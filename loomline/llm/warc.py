@@ -328,7 +328,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     payload = text_or_empty(html_col).cast("binary")
     p = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload"), F.octet_length(payload).alias("payload_bytes"), F.sha1(payload).alias("_sha1"))
     equal = p.filter(F.col("payload_bytes") >= least_bytes).groupBy("_sha1").agg(F.max("_id").alias("_keep"), F.count("*").alias("_n"))
-    p = salted_lookup(p, equal.filter("_n > 1").drop("_n"), "_sha1", "_id")
+    p = salted_lookup(p, equal.filter("_n > 1").drop("_n"), "_sha1", "_id", "_url")
     first = F.col("_keep").isNull() | F.col("_keep").eqNullSafe(F.col("_id"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     return p.select(
