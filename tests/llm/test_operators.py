@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,7 +47,7 @@ def test_query_equals_its_sql(name, spark, sf_dir, duck):
 
 @pytest.mark.parametrize("keep", ["max", "min"])
 def test_exact_dedup_on_odd_rows(odd, keep):
-    out = exact_dedup.exact_dedup(odd, keep=keep, fan_in=2).collect()
+    out = exact_dedup.exact_dedup(odd, keep=keep, runs=20).collect()
     assert len(out) == len(ROWS)
     by_text = {}
     for i, t, *_ in ROWS:
@@ -131,10 +132,25 @@ def test_near_copies_go_by_row(spark):
     assert left == sorted((c, min((rows[n][0] for n in range(len(rows)) if classes[n] == c), key=lambda i: (i is None, i))) for c in set(classes))
 
 
-@pytest.mark.parametrize("parts", [1, 3])
-def test_meeting_in_the_middle_finds_all_links(parts, monkeypatch):
-    monkeypatch.setattr(simhash, "HELD_VALUES", 50_000)
-    rng = random.Random(parts)
+def test_a_tight_cluster_is_dealt_out_and_all_its_links_are_found(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TASK_VALUES", 3_000)
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(4)]
+    fps = list(dict.fromkeys(b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(60)))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(f, (i, f)) for i, f in enumerate(signed)], "_fp long, _node struct<id long, fp long>")
+    label = {f: f for f in signed}
+    links = simhash.links(nodes).collect()
+    for _ in range(30):
+        for r in links:
+            label[r["a"]["fp"]] = label[r["b"]["fp"]] = min(label[r["a"]["fp"]], label[r["b"]["fp"]])
+    wanted = plain_components(fps)
+    assert len(set(zip((label[f] for f in signed), wanted, strict=True))) == len(set(wanted)) == len(set(label.values()))
+
+
+@pytest.mark.parametrize("held", [10**7, 2_000])
+def test_meeting_in_the_middle_finds_all_links(held):
+    rng = random.Random(held)
     base = [rng.getrandbits(64) for _ in range(20)]
     fps = list(dict.fromkeys(b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(12)))
     prefix, radius = 8, 2
@@ -145,9 +161,8 @@ def test_meeting_in_the_middle_finds_all_links(parts, monkeypatch):
     links = []
     for members in groups.values():
         array, used = np.array([f for f, _ in members], np.uint64), np.array([u for _, u in members])
-        for part in range(parts):
-            a, b = simhash.meet(array, used, prefix, radius, part, parts)
-            links += [(int(array[i]), int(array[j])) for i, j in zip(a, b, strict=True)]
+        a, b = simhash.meet(array, used, prefix, radius, held)
+        links += [(int(array[i]), int(array[j])) for i, j in zip(a, b, strict=True)]
     at = {f: i for i, f in enumerate(fps)}
     label = list(range(len(fps)))
     for a, b in links * 30:
@@ -503,18 +518,48 @@ def test_quality_on_held_out_labels(spark, sf_dir):
     assert np.mean([g >= 0.5 for g in good]) > 0.97
 
 
-def test_discriminant_equals_densities():
-    rng = np.random.default_rng(0)
-    d = len(quality.FEATURES)
-    a, b = rng.standard_normal((400, d)) @ rng.standard_normal((d, d)), rng.standard_normal((900, d)) + 0.5
-    m = quality.Discriminant.from_moments({y: (len(x), x.sum(0), x.T @ x) for y, x in ((0, a), (1, b))})
-    x = np.clip((np.concatenate([a, b]) - m.centre) / m.scale, -quality.LIMIT, quality.LIMIT)
-    logs = []
-    for y in (0, 1):
-        factor = np.linalg.inv(m.whiten[y])
-        cov = factor @ factor.T
-        logs.append(m.constant[y] + 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ni,ij,nj->n", x - m.means[y], np.linalg.inv(cov), x - m.means[y]))
-    assert ((logs[1] > logs[0]) == (m.scores(np.concatenate([a, b])) > 0.5)).all()
+def plain_quality(texts, labels):
+    """Scores by densities written out, from the texts whose ids are not held out."""
+    x = {i: np.array(quality.statistics(t)) for i, t in texts.items()}
+    of = {y: np.array([x[i] for i, label in sorted(labels.items()) if label == y and i in x and zlib.crc32(str(i).encode()) % 3 != 1]) for y in (0, 1)}
+    n = len(of[0]) + len(of[1])
+    centre = np.concatenate([of[0], of[1]]).mean(0)
+    scale = np.sqrt(np.maximum((len(of[0]) * of[0].var(0) + len(of[1]) * of[1].var(0)) / n, 1e-6))
+    z = {y: np.clip((of[y] - centre) / scale, -5, 5) for y in of}
+    cov = {y: np.cov(z[y].T, bias=True) for y in z}
+    both = sum(len(z[y]) / n * cov[y] for y in z)
+    out = {}
+    for i, row in x.items():
+        v, logs = np.clip((row - centre) / scale, -5, 5), []
+        for y in (0, 1):
+            c = 0.8 * cov[y] + 0.15 * both + 0.05 * np.eye(len(v))
+            away = v - z[y].mean(0)
+            logs.append(np.log(len(z[y]) / n) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * away @ np.linalg.solve(c, away))
+        d = logs[1] - logs[0]
+        out[i] = 1 / (1 + np.exp(-np.sign(d) * np.log1p(abs(d))))
+    return out
+
+
+def test_quality_equals_densities_written_out(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in documents(spark, sf_dir).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    wanted = plain_quality(texts, labels)
+    out = quality.query(spark, sf_dir).collect()
+    assert len(out) == len(texts) and all(abs(r["score"] - wanted[r["doc_id"]]) < 1e-6 for r in out)
+
+
+def test_statistics_of_a_known_text():
+    x = dict(zip(quality.FEATURES, quality.statistics("The cat sat. The cat ran!!\nA | B 12"), strict=True))
+    logit = lambda p: np.log(p / (1 - p))
+    known = {"log_words": np.log(11), "word_length": np.log(26 / 10 + 1), "letters": logit(20 / 26), "upper": logit(4 / 20), "digits": logit(2 / 26), "bars": logit(1 / 10), "shouts": logit(1 / 10), "line_ends": logit(1 / 2), "top_word": logit(2 / 10), "bigram_ratio": logit(8 / 9)}
+    assert all(abs(x[k] - v) < 1e-9 for k, v in known.items())
+
+
+def test_a_bounded_sample_of_labels_is_enough(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    whole, part = (quality.score(docs, labels, most=most).orderBy("doc_id").collect() for most in (10**6, 300))
+    assert np.mean([a["predicted"] == b["predicted"] for a, b in zip(whole, part, strict=True)]) > 0.98
 
 
 def test_quality_on_odd_rows(spark, odd):
@@ -580,6 +625,71 @@ def test_skipped_payloads_are_not_inflated(tmp_path, monkeypatch):
 # language
 
 
+def plain_language(rows):
+    """rows: (declared, host, text), of Latin letters. Language and posterior of each by the formulas of the module, row by row."""
+
+    def grams(text):
+        s = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in (text or '').lower()).split())} "
+        out = []
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            if b != " ":
+                h = (ord(a) * 0x9E3779B1 & 0xFFFFFFFF) ^ (ord(b) * 0x85EBCA77 & 0xFFFFFFFF) ^ (ord(c) * 0xC2B2AE3D & 0xFFFFFFFF)
+                out.append(((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 18)
+        return out
+
+    names = sorted({d for d, _, _ in rows if d})
+    counts = {k: Counter() for k in names}
+    for d, _, t in rows:
+        if d:
+            counts[d].update(grams(t))
+    together = sum(counts.values(), Counter())
+    size = sum(together.values()) + (1 << 14)
+    share = lambda g: (together[g] + 1) / size
+    sums = {k: sum(counts[k].values()) for k in names}
+    log, best, many = [], [], []
+    for _, _, t in rows:
+        own = Counter(grams(t))
+        n = sum(own.values())
+        log.append([sum(m * np.log((counts[k][g] + 500 * share(g)) / (sums[k] + 500)) for g, m in own.items()) / (1 + n / 150) for k in names])
+        many.append(n)
+        best.append(int(np.argmax(log[-1])) if n else -1)
+    overall = np.array([best.count(i) for i in range(len(names))], float)
+    base = (overall + 1) / (overall.sum() + len(names))
+    out = []
+    for i, (d, host, _) in enumerate(rows):
+        prior = base
+        if host is not None:  # the domain of a host without a dot is the host
+            domain = lambda h: h if "." not in h else ".".join(h.split(".")[-2:])
+            for same in (lambda j: rows[j][1] is not None and domain(rows[j][1]) == domain(host), lambda j: rows[j][1] == host):
+                n = np.array([sum(1 for j in range(len(rows)) if j != i and same(j) and best[j] == x) for x in range(len(names))], float)
+                prior = (n + 8 * prior) / (n.sum() + 8)
+        z = np.array(log[i]) + np.log(prior)
+        if d:
+            n = np.array([sum(1 for j in range(len(rows)) if rows[j][0] == d and best[j] == x) for x in range(len(names))], float)
+            z = z + np.log((n + base) / (overall + 1))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        out.append((names[int(p.argmax())] if many[i] and p.max() >= 0.5 else "und", float(p.max()) if many[i] else 0.0))
+    return out
+
+
+def test_language_equals_the_formulas_row_by_row(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("source", F.when(F.col("doc_id") % 7 == 0, "a.example.com").when(F.col("doc_id") % 7 == 1, "b.example.com").when(F.col("doc_id") % 7 != 2, F.col("source")))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang"))).filter("doc_id < 150")
+    rows = sorted((r["doc_id"], r["lang"], r["source"], r["text"]) for r in docs.collect())
+    wanted = plain_language([r[1:] for r in rows])
+    out = {r["doc_id"]: r for r in language.identify_documents(docs).collect()}
+    assert len(out) == len(rows)
+    for (i, *_), (name, p) in zip(rows, wanted, strict=True):
+        assert out[i]["language"] == name and abs(out[i]["posterior"] - p) < 1e-3, i
+
+
+def test_long_texts_have_the_trigrams_of_their_pieces(monkeypatch):
+    text = "ein haus, two  words\tÜber 12 " * 40
+    whole = np.bincount(language.trigrams(text), minlength=language.BUCKETS)
+    monkeypatch.setattr(language, "PIECE", 37)
+    assert len(list(language.pieces(text))) > 20 and (language.trigram_counts(text) == whole).all()
+
+
 def test_language_of_documents_and_pages(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     for out in (language.query(spark, sf).toPandas(), language.pages_query(spark, sf).toPandas()):
