@@ -6,43 +6,28 @@ before the next reads it. SQL cannot express the fitted models and the tokenizer
 tested against plain versions of themselves.
 
 Null texts count as empty; empty texts have no language and go in the first stage. Columns that documents have besides pass through. An empty table gives no sequences.
+Every stage judges rows, not ids: of several texts under one id, or under none, each is kept or goes on its own. Language and quality judge a row where
+it is; the two stages that drop copies find rows by the file and place that they are stored in, which is what is joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import exact_dedup, language, packing, quality, simhash
-from loomline.llm.common import fresh, text_or_empty, written
+from loomline.llm.common import forget, written
 from loomline.llm.tokens import public_tokenizer
 
 
-def _sha(text) -> Column:
-    return F.unhex(F.sha2(text.cast("binary"), 256))
-
-
-def _without(docs: DataFrame, own: str, rejected: DataFrame) -> DataFrame:
-    """docs but for the rows whose own digest, a column of docs that is not kept, is rejected. Digests are of all that a verdict rests on, so rows that share one share the verdict."""
-    name = fresh(docs, "_gone")
-    gone = rejected.toDF(name).distinct()
-    return docs.join(gone, F.col(own) == F.col(name), "left_anti").drop(own)
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an identified language."""
-    own = fresh(docs, "_own")
-    part = lambda c: F.coalesce(F.sha2(F.col(c).cast("binary"), 256), F.lit("-"))
-    docs = docs.withColumn(own, _sha(F.concat(part("lang"), part("source"), text_or_empty("text"))))
-    return _without(docs, own, language.identify_documents(docs, own).filter("not accepted").select(own))
+    """Documents with an identified language; lang is what they declare, source is their host."""
+    return language.keep_identified(docs, "text", F.col("lang"), F.col("source"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from those of the labels that are not held out, takes for good."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    own = fresh(docs, "_own")
-    rejected = quality.score(docs, labels, digests=True).filter("predicted != 1").select("text_sha256")
-    return _without(docs.withColumn(own, _sha(text_or_empty("text"))), own, rejected)
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
