@@ -25,8 +25,11 @@ from .common import need_columns, ship, text_or_empty
 
 #: Pages from which the classifier learns, about so many, drawn by a hash of the page: a bound on the sample, whatever the input.
 LEARN_PAGES = 2000
+#: Rows that a worker has as Python objects at a time.
+SLICE = 64
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
+TAG_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+COMMENT_END, TAG_STOP = re.compile("--!?>"), re.compile("[>\"']")
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -69,11 +72,20 @@ UNIT = 1000
 NEXT_WEIGHT, TREE_WEIGHT = 0.6, 0.9
 
 
+class Node:
+    """An element that is no part of a line, and the one it is in."""
+
+    __slots__ = ("above", "depth")
+
+    def __init__(self, above: Node | None):
+        self.above, self.depth = above, above.depth + 1 if above else 0
+
+
 class Block:
-    __slots__ = ("text", "tag", "kind", "path", "links")
+    __slots__ = ("text", "tag", "kind", "node", "links")
 
-    def __init__(self, text: str, tag: str, kind: str, path: tuple, links: float):
-        self.text, self.tag, self.kind, self.path, self.links = text, tag, kind, path, links
+    def __init__(self, text: str, tag: str, kind: str, node: Node, links: float):
+        self.text, self.tag, self.kind, self.node, self.links = text, tag, kind, node, links
 
 
 def _kind(tag: str, attrs: str, above: str) -> str:
@@ -94,71 +106,124 @@ def _kind(tag: str, attrs: str, above: str) -> str:
     return kind
 
 
+def tokens(html: str) -> Iterator[tuple[str, bool, str]]:
+    """The text and the tags of a page in order: ("", False, text), or (name, whether it ends the element, attributes). Each character is passed a fixed number of times.
+
+    Comments end as HTML has it, also in --!>, and <!--> and <!---> are whole ones; one without an end goes on to the end of the page. A quote opens a value only after =.
+    A tag that would reach the end of the page inside a quoted value ends at the first > instead, and from there on all tags do. Where no > follows at all, the rest is text.
+    """
+    at = start = 0
+    last, careless = html.rfind(">"), False
+    unclosed: set[str] = set()
+    while (lt := html.find("<", at)) >= 0:
+        if lt > last:
+            break
+        if html.startswith("<!--", lt):
+            if html.startswith((">", "->"), lt + 4):
+                end = html.index(">", lt) + 1
+            else:
+                end = found.end() if (found := COMMENT_END.search(html, lt + 4)) else len(html)
+            name = None
+        elif found := TAG_NAME.match(html, lt):
+            name, end = found[1].lower(), -1
+            stop = found.end()
+            while not careless and end < 0:
+                mark = TAG_STOP.search(html, stop)
+                if mark is None:
+                    careless = True
+                elif mark[0] == ">":
+                    end = mark.end()
+                elif mark[0] in unclosed or not html[max(found.end(), mark.start() - 40) : mark.start()].rstrip().endswith("="):
+                    stop = mark.end()
+                elif (close := html.find(mark[0], mark.end())) < 0:
+                    unclosed.add(mark[0])
+                    stop = mark.end()
+                else:
+                    stop = close + 1
+            if end < 0:
+                end = html.index(">", found.end()) + 1
+        elif html.startswith(("<!", "<?", "</"), lt):
+            name, end = None, html.index(">", lt) + 1
+        else:
+            at = lt + 1
+            continue
+        if start < lt:
+            yield "", False, html[start:lt]
+        at = start = end
+        if name is None:
+            continue
+        ending, attrs = html[lt + 1] == "/", html[found.end() : end - 1]
+        yield name, ending, attrs
+        if name in RAW and not ending and not attrs.endswith("/"):
+            close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(html, at)
+            at = start = html.find(">", close.end()) + 1 or len(html) if close else len(html)
+    if start < len(html):
+        yield "", False, html[start:]
+
+
+class Open:
+    """The elements that are open at a place of a page; the nearest of given names is found without going through the others."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []  # tag, kind, node, no text, in a link, tag and kind of the nearest element that is no part of a line
+        self.places: dict[str, list[int]] = {}
+        self.push("", "none", Node(None), False, False)
+
+    def push(self, tag: str, kind: str, node: Node, silent: bool, linked: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        own = self.stack[-1][5] if tag in INLINE and self.stack else (tag, kind)
+        self.stack.append((tag, kind, node, silent, linked, own))
+
+    def _nearest(self, names: set[str]) -> int:
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def close(self, names: set[str], stop: set[str]) -> None:
+        """Closes the nearest element of the names and all in it, unless one of stop is nearer."""
+        at = self._nearest(names)
+        if at and at > self._nearest(stop):
+            for tag, *_ in self.stack[at:]:
+                self.places[tag].pop()
+            del self.stack[at:]
+
+
 def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page in page order. Whatever is malformed is read as far as it goes; nothing is left out for its length."""
+    """The text blocks of a page in page order. Whatever is malformed is read as far as it goes; nothing is left out for its length or depth."""
     out: list[Block] = []
-    stack: list[tuple] = [("", "none", (), False, False)]  # tag, kind, path, no text, in a link
+    open_ = Open()
+    stack = open_.stack
     parts: list[str] = []
-    linked = children = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                own = next((x for x in reversed(stack) if x[0] not in INLINE), stack[0])
-                out.append(Block(text, own[0], own[1], own[2], min(1.0, linked / len(text))))
+                out.append(Block(text, *stack[-1][5], stack[-1][2], min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
-    def add(text: str) -> None:
-        nonlocal linked
-        if text and not stack[-1][3]:
-            text = unescape(text)
-            parts.append(text)
-            if stack[-1][4]:
-                linked += len(text.strip())
-
-    def close(names: set[str], stop: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
-
-    at = 0
-    while found := TAG.search(html, at):
-        add(html[at : found.start()])
-        at = found.end()
-        ending, tag, attrs = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
-        if not tag:
+    for tag, ending, rest in tokens(html):
+        if not tag or tag == "br":
+            if not stack[-1][3]:
+                text = unescape(rest) if not tag else " "
+                parts.append(text)
+                if stack[-1][4]:
+                    linked += len(text.strip())
             continue
-        tag = tag.lower()
         inline = tag in INLINE
-        if tag == "br":
-            add(" ")
-            continue
         if not inline:
             flush()
         if ending:
-            close({tag}, SCOPES - {tag} if inline or tag == "p" else set())
+            open_.close({tag}, SCOPES - {tag} if inline or tag == "p" else set())
             continue
         if not inline:
-            close({"p"}, SCOPES)
+            open_.close({"p"}, SCOPES)
             if tag in CLOSED_BY:
-                close(CLOSED_BY[tag], {"table", "ul", "ol", "dl", "select"} - {tag})
-        if tag in RAW and not attrs.endswith("/"):
-            end = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            continue
-        if tag in EMPTY or attrs.endswith("/"):
+                open_.close(CLOSED_BY[tag], {"table", "ul", "ol", "dl", "select"} - {tag})
+        if tag in RAW or tag in EMPTY or rest.endswith("/"):  # of raw elements nothing comes
             continue
-        children += 1
-        top = stack[-1]
-        if tag == "body":
-            top = stack[0]
-        stack.append((tag, _kind(tag, attrs, top[1]), top[2] if inline else (*top[2], children), top[3] or tag in NO_TEXT, top[4] or tag == "a"))
-    add(html[at:])
+        top = stack[0] if tag == "body" else stack[-1]
+        open_.push(tag, _kind(tag, rest, top[1]), top[2] if inline else Node(top[2]), top[3] or tag in NO_TEXT, top[4] or tag == "a")
     flush()
     return out
 
@@ -270,27 +335,34 @@ def label(blocks: list[Block], classifier: Classifier) -> list[bool]:
         soft = math.log1p(math.exp(-abs(z)))
         costs.append((round(UNIT * (soft + max(0.0, -z))), round(UNIT * (soft + max(0.0, z)))))
     edges = []
-    last_of: dict[tuple, int] = {}
+    last_of: dict[Node, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            apart = _apart(blocks[i - 1].path, b.path)
+            apart = _apart(blocks[i - 1].node, b.node)
             edges.append((i - 1, i, round(UNIT * NEXT_WEIGHT / (1 + apart))))
-        for depth in (len(b.path) - 1, len(b.path) - 2):  # the last block with the same parent, or grandparent
-            if depth > 0 and (j := last_of.get(b.path[:depth])) is not None and j != i - 1:
-                edges.append((j, i, round(UNIT * TREE_WEIGHT / (1 + _apart(blocks[j].path, b.path)))))
-            if depth > 0:
-                last_of[b.path[:depth]] = i
+        around = b.node.above  # the last block with the same parent, or grandparent
+        for _ in range(2):
+            if around is None or around.depth == 0:
+                break
+            if (j := last_of.get(around)) is not None and j != i - 1:
+                edges.append((j, i, round(UNIT * TREE_WEIGHT / (1 + _apart(blocks[j].node, b.node)))))
+            last_of[around] = i
+            around = around.above
     return minimum_cut(costs, edges)
 
 
-def _apart(a: tuple, b: tuple) -> int:
-    """Elements on the way in the tree from one block to the other, but for the two themselves."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return max(0, len(a) - same - 1) + max(0, len(b) - same - 1)
+def _apart(a: Node, b: Node) -> int:
+    """Elements on the way in the tree from one block to the other, but for the two themselves.
+
+    For blocks that follow each other, these are elements that ended and began between them, so that all ways together are no longer than the page.
+    """
+    above_a = above_b = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a, above_a = a.above, above_a + 1
+        else:
+            b, above_b = b.above, above_b + 1
+    return max(0, above_a - 1) + max(0, above_b - 1)
 
 
 def main_text(html: str | None, classifier: Classifier) -> str:
@@ -300,17 +372,19 @@ def main_text(html: str | None, classifier: Classifier) -> str:
 
 
 def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most: int = LEARN_PAGES) -> Classifier:
-    """The classifier from about ``most`` pages, drawn by a hash of id and html; counts of feature values come back, no pages."""
+    """The classifier from about ``most`` pages, drawn by a hash of the id; counts of feature values come back, no pages.
+
+    Pages without an id, or under one id, are drawn together or not at all; if none is, fixed counts do.
+    """
     ship(pages.sparkSession)
     share = min(1.0, most / max(1, pages.count()))
-    html = text_or_empty(html_col)
-    sample = pages.filter(F.pmod(F.xxhash64(F.col(id_col), html), F.lit(1 << 20)) < int(share * (1 << 20))).select(html.alias("html"))
+    sample = pages.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(html_col).cast("string").alias("html"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
             for html in b.column(0).to_pylist():
-                for block in blocks_of(html):
+                for block in blocks_of(html or ""):
                     if (y := weak_label(block)) is not None:
                         seen.update((name, str(value), y) for name, value in features(block))
         names, values, ys = zip(*seen, strict=True) if seen else ((), (), ())
@@ -337,9 +411,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", c
     rows = pages.select(*kept, text_or_empty(html_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [main_text(html, classifier) for html in b.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*b.schema.names[:-1], "text", "n_chars"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                texts = [main_text(html, classifier) for html in b.column(len(kept)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*b.schema.names[:-1], "text", "n_chars"])
 
     return rows.mapInArrow(work, rows.withColumn("n_chars", F.lit(0).cast("long")).schema)
 
