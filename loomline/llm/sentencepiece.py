@@ -130,7 +130,7 @@ def build(m: Model, normalise: bool = True):
 
 
 class Codec:
-    """encode and decode whole texts; mismatches counts the distinct words whose ids the sentencepiece library has otherwise."""
+    """encode and decode whole texts, held against the sentencepiece library; bad has the words whose ids it has otherwise."""
 
     def __init__(self, path: str, verify: bool = True, threads: int = 2):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
@@ -147,6 +147,8 @@ class Codec:
         self.bad: set[str] = set()
         self.unit = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.simple = not m.charsmap and not m.remove_extra
+        # words can be held against the peer one by one if it does to a word alone what it does to it in a text
+        self.by_word = separable(m) and m.dummy_prefix and self.simple
         self.cache = WordCache(self._split, self._encode) if separable(m) else WordCache(lambda text: [text] if text else [], self._encode_whole)
 
     def normalised(self, text: str) -> str:
@@ -162,22 +164,23 @@ class Codec:
         if self.peer is not None:
             # the peer puts a marker before what it gets, so each word goes without its first one; words without one follow a word that ends in another character
             own = [w for w in words if w.startswith(MARK)]
-            theirs = dict(zip(own, self.peer.encode([w[1:].replace(MARK, " ") for w in own], num_threads=1), strict=True)) if self.model.dummy_prefix and self.simple else {}
+            theirs = dict(zip(own, self.peer.encode([w[1:].replace(MARK, " ") for w in own], num_threads=1), strict=True)) if self.by_word else {}
             self.bad.update(w for w, ids in zip(words, found, strict=True) if w in theirs and len(w) > 1 and theirs[w] != ids)
         return map(packed, found)
 
     def _encode_whole(self, texts: list[str]) -> Iterable[bytes]:
-        found = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.peer is not None:
-            self.bad.update(t for t, ids, theirs in zip(texts, found, self.peer.encode(texts, num_threads=1), strict=True) if ids != theirs)
-        return map(packed, found)
+        return (packed(e.ids) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4") for x in self.cache.ids(texts)]
 
-    def parity(self, text: str) -> bool:
-        """Whether no word of an encoded text was found to differ."""
-        return not self.bad or self.bad.isdisjoint(self.cache.split(text))
+    def parity(self, texts: list[str], ids: list[np.ndarray]) -> list[bool | None]:
+        """For each encoded text whether the peer has the same ids, by its words or as a whole; null if there is no peer."""
+        if self.peer is None:
+            return [None] * len(texts)
+        if self.by_word:
+            return [not self.bad or self.bad.isdisjoint(self.cache.split(t)) for t in texts]
+        return [theirs == x.tolist() for x, theirs in zip(ids, self.peer.encode(texts, num_threads=1), strict=True)]
 
     def decode(self, ids: Iterable[int]) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -191,7 +194,7 @@ def codec(path: str, verify: bool = True, threads: int = 2) -> Codec:
 
 
 def encode(df: DataFrame, model: str, text_col: str = "text", threads: int = 2) -> DataFrame:
-    """df with token_ids array<int>, parity and round_trip (decoding gives the normalised text back).
+    """df with token_ids array<int>, parity (the sentencepiece library gives the same ids) and round_trip (decoding gives the normalised text back).
 
     A null or empty text has no ids and both flags true. Whole texts, whatever their length; repeated rows stay. Of df's columns, those with the new
     names are replaced.
@@ -212,7 +215,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text", threads: int = 2)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32), pa.int32()))
                 same = [c.decode(x.tolist()) == _plain(c, t) for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array([c.parity(t) for t in texts]), pa.array(same)], [*kept, *new])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(c.parity(texts, ids), pa.bool_()), pa.array(same)], [*kept, *new])
 
     schema = df.select(*kept).withColumns({"token_ids": F.array().cast("array<int>"), "parity": F.lit(True), "round_trip": F.lit(True)}).schema
     return rows.mapInArrow(work, schema)

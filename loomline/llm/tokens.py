@@ -14,8 +14,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Words whose ids a worker keeps; beyond that it starts afresh.
-CACHED_WORDS = 1_200_000
+#: Bytes of words and their ids that a worker keeps, beyond which it starts afresh, and what an entry takes besides.
+CACHED_BYTES, ENTRY_BYTES = 64 << 20, 180
+#: Longer words (of texts without blanks, encoded data) hardly come again: they are not kept.
+LONGEST_KEPT = 64
 
 
 def packed(ids: Iterable[int]) -> bytes:
@@ -27,24 +29,32 @@ class WordCache:
     """ids(texts): for each text its ids, packed.
 
     split: the words of a text; encode: the packed ids of each of several words. It holds for any text that the ids of
-    the text are the ids of its words joined, which the caller vouches for.
+    the text are the ids of its words joined, which the caller vouches for. At most CACHED_BYTES are kept from one call to the next.
     """
 
-    def __init__(self, split: Callable[[str], list], encode: Callable[[list], Iterable[bytes]], most: int = CACHED_WORDS):
-        self.split, self.encode, self.most, self.known = split, encode, most, {}
+    def __init__(self, split: Callable[[str], list], encode: Callable[[list], Iterable[bytes]], most: int = CACHED_BYTES):
+        self.split, self.encode, self.most, self.known, self.held = split, encode, most, {}, 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [self.split(t) for t in texts]
-        new = set(chain.from_iterable(words)).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set(chain.from_iterable(words))
-        new = list(new)
+        new = list(set(chain.from_iterable(words)).difference(self.known))
+        passing = []
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self.known.update(zip(part, self.encode(part), strict=True))
+            for word, ids in zip(part, self.encode(part), strict=True):
+                self.known[word] = ids
+                if len(word) > LONGEST_KEPT:
+                    passing.append(word)
+                else:
+                    self.held += len(word) + len(ids) + ENTRY_BYTES
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        out = [b"".join(map(get, w)) for w in words]
+        if self.held > self.most:
+            self.known, self.held = {}, 0
+        else:
+            for word in passing:
+                del self.known[word]
+        return out
 
 
 #: Latin letters, then signs but the apostrophe: in a tokenizer that parts letters from signs, two words of one pre-token each.
@@ -57,15 +67,15 @@ class PartEncoder:
     """Packed ids of words; those of plain letters and signs by their two parts, each new part once."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.parts = tokenizer, {b"": b""}
+        self.tokenizer, self.parts, self.held = tokenizer, {b"": b""}, 0
         vocab = tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a pre-token
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
-        split = [m.groups() if (m := PLAIN.fullmatch(w)) else None for w in words]
-        if len(self.parts) > CACHED_WORDS // 2:
-            self.parts = {b"": b""}
+        split = [m.groups() if len(w) <= LONGEST_KEPT and (m := PLAIN.fullmatch(w)) else None for w in words]
+        if self.held > CACHED_BYTES // 2:
+            self.parts, self.held = {b"": b""}, 0
         new = list(set(chain.from_iterable(filter(None, split))).difference(self.parts))
         groups = [new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
@@ -74,6 +84,7 @@ class PartEncoder:
             if len(at) != len(group) + 1 or at[-1] != len(data):
                 raise AssertionError("each part is one pre-token")
             self.parts.update(zip(group, (data[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+            self.held += len(data) + sum(map(len, group)) + ENTRY_BYTES * len(group)
         odd = iter(self.tokenizer.encode_batch_fast([w.decode() for w, s in zip(words, split, strict=True) if s is None], add_special_tokens=False))
         return [packed(next(odd).ids) if s is None else self.parts[s[0]] + self.parts[s[1]] for s in split]
 
