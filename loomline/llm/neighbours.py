@@ -26,10 +26,15 @@ from .common import need_columns, salted_lookup, ship, written
 #: Vectors from which the estimates of success are fitted: a bound on the sample, whatever the input; all vectors are indexed.
 FIT_VECTORS, FIT_QUERIES = 16_000, 150
 TABLES, RECALL = 2, 0.97
-#: Vectors that a bucket, and a task's share of the index, should have on average; slot width in standard deviations.
-BUCKET, SHARE, WIDTH = 64, 3_000, 1.4
+#: Vectors that a bucket should have on average; slot width in standard deviations.
+BUCKET, WIDTH = 64, 1.4
+#: Vectors of the index that a task should have at least, where there are tasks enough, and those that it may have at most.
+SHARE, MOST_SHARE = 3_000, 100_000
 #: Combinations of slots that are held at a time, the best of them, and the chance below which a single slot is not tried.
 MOST_PROBES, LEAST_CHANCE = 20_000, 0.004
+#: Queries of the sample by which the number of projections is chosen, and the share of them whose probes must reach the wanted chance.
+TRIED, REACH = 24, 0.9
+NO_KEYS = np.empty(0, np.int64)
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
@@ -51,6 +56,7 @@ class Hashing:
     spread: float  # of what is left
     reach: tuple[int, int]  # slots from and to
     chance: float  # that a table should meet a neighbour
+    most: int = MOST_PROBES
 
     def lengthened(self, x: np.ndarray, query: bool) -> np.ndarray:
         """With the coordinate that makes all lengths equal; queries, whose length does not matter, are stretched instead."""
@@ -77,9 +83,10 @@ class Hashing:
             key ^= key >> np.uint64(29)
         return (key >> np.uint64(1)).astype(np.int64)
 
-    def probes(self, q: np.ndarray) -> list[np.ndarray]:
-        """For each query its buckets in all tables: in each, those of greatest estimated success whose chances sum to what is asked for."""
+    def probes(self, q: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each query its buckets in all tables, in each those of greatest estimated success whose chances sum to what is asked for, and the least sum of a table."""
         out: list[list[np.ndarray]] = [[] for _ in q]
+        reached = np.ones(len(q))
         slots = np.arange(self.reach[0], self.reach[1] + 1)
         sd = self.spread / self.width
         for t, projected in enumerate(self.project(q, True)):
@@ -94,21 +101,28 @@ class Hashing:
                     row, own = row[likely], slots[likely]
                     p = (p[:, None] * row).ravel()
                     found = np.column_stack([np.repeat(found, len(own), axis=0), np.tile(own, len(found))])
-                    if len(p) > MOST_PROBES:  # the best of all begin with the best of these
-                        best = np.argpartition(-p, MOST_PROBES)[:MOST_PROBES]
+                    if len(p) > self.most:  # the best of all begin with the best of these
+                        best = np.argpartition(-p, self.most)[: self.most]
                         p, found = p[best], found[best]
                 order = np.argsort(-p, kind="stable")
-                n = int(np.searchsorted(np.cumsum(p[order]), self.chance)) + 1
+                sums = np.cumsum(p[order])
+                n = int(np.searchsorted(sums, self.chance)) + 1
+                reached[i] = min(reached[i], sums[min(n, len(sums)) - 1])
                 out[i].append(self._key(t, found[order[:n]]))
-        return [np.concatenate(x) for x in out]
+        return [np.concatenate(x) for x in out], reached
 
 
-def fit(sample: np.ndarray, longest: float, count: int, k: int, tables: int = TABLES, recall: float = RECALL, seed: int = 7) -> Hashing:
-    """sample: vectors of the corpus, of which there are count; the fit costs the same whatever the count."""
+def fit(sample: np.ndarray, longest: float, count: int, k: int, tables: int = TABLES, recall: float = RECALL, most: int = MOST_PROBES, seed: int = 7) -> Hashing:
+    """sample: vectors of the corpus, of which there are count; the fit costs the same whatever the count.
+
+    There are as many projections as the count asks for, but no more than with which the probes of most queries still reach the wanted chance:
+    where neighbours are hardly nearer than others, buckets grow instead of being left out.
+    """
     rng = np.random.default_rng(seed)
     d = sample.shape[1] + 1
     projections = max(1, round(math.log2(max(2.0, count / BUCKET)) / 1.55))
-    h = Hashing(longest, np.zeros(d), rng.standard_normal((tables, projections, d)), rng.uniform(0, 1, (tables, projections)), 1.0, 1.0, 1.0, (-4, 3), 1 - (1 - recall) ** (1 / tables))
+    directions, shifts = rng.standard_normal((tables, projections, d)) / math.sqrt(d), rng.uniform(0, 1, (tables, projections))  # a Gaussian direction is sqrt(d) long
+    h = Hashing(longest, np.zeros(d), directions, shifts, 1.0, 1.0, 1.0, (-4, 3), 1 - (1 - recall) ** (1 / tables), most)
     x = h.lengthened(sample, False)
     h.centre = x.mean(0)
     x = x - h.centre
@@ -122,9 +136,9 @@ def fit(sample: np.ndarray, longest: float, count: int, k: int, tables: int = TA
         a, b = np.repeat(q, rank, axis=0), x[top.ravel()]
         h.slope = float((a * b).sum() / max(1e-12, (a * a).sum()))
         h.spread = max(1e-9 + 0.05 * h.width, math.sqrt(((b - h.slope * a) ** 2).sum(1).mean() / d))
-    scale = math.sqrt(d)  # a Gaussian direction is so long
-    h.directions /= scale
-    h.spread /= 1.0
+    while projections > 1 and (h.probes(sample[:TRIED])[1] >= h.chance).mean() < REACH:
+        projections -= 1
+        h.directions, h.shifts = directions[:, :projections], shifts[:, :projections]
     return h
 
 
@@ -135,11 +149,14 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(value, lambda v: v != 0), F.lit(False))
 
 
-def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, recall: float = RECALL) -> DataFrame:
-    """(query_id, rank, id, score) of the k rows found with the largest inner product to each query, in double precision, nearest first, ties to the smaller id.
+def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, most_probes: int = MOST_PROBES) -> DataFrame:
+    """(query_id, rank, id, score, expected_recall) of the k rows found with the largest inner product to each query, in double precision, nearest first, ties to the smaller id.
+
+    expected_recall: what the estimates say of the query's probes; a query whose probes could not reach ``recall`` is compared with every vector and has 1.
 
     queries: a condition on df; every row that meets it is a query, and all rows but those of its own id are its candidates. All candidates are
-    returned if there are fewer than k. Vectors that are null, zero, of another dimension than most or with components that are null or
+    returned if there are fewer than k. most_probes: combinations of slots that are held at a time for a query and table; fewer give larger buckets or
+    more queries that are compared with every vector, not less recall. Vectors that are null, zero, of another dimension than most or with components that are null or
     not finite, and rows without an id, take no part. Rows that repeat id and vector count once. Empty tables give no rows.
     """
     need_columns(df, id_col, vector_col)
@@ -147,7 +164,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     ship(spark)
     rows = df.filter(valid(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_vec"), F.coalesce(queries, F.lit(False)).alias("_asks"))
     sizes = rows.groupBy(F.size("_vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    schema = f"query_id long, rank int, {id_col} long, score double"
+    schema = f"query_id long, rank int, {id_col} long, score double, expected_recall double"
     if sizes is None:
         return spark.createDataFrame([], schema)
     rows = rows.filter(F.size("_vec") == sizes["d"])
@@ -165,18 +182,37 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
     if len(sample) < 2:
         sample = np.stack([r["_vec"] for r in points.select("_vec").limit(2).collect()])
     sample = np.asarray(sample, float)
-    hashing = spark.sparkContext.broadcast(fit(sample, longest, count, k, tables, recall))
+    hashing = spark.sparkContext.broadcast(fit(sample, longest, count, k, tables, recall, most_probes))
     reference = spark.sparkContext.broadcast(sample)
-    parts = max(1, math.ceil(count * tables / SHARE))
+    # every part is searched by most queries: no more parts than there are tasks at a time, unless they would be too large for one
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, math.ceil(count * tables / MOST_SHARE), min(math.ceil(count * tables / SHARE), tasks))
 
-    def index(batches):
+    def bucketed(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-            for t, key in enumerate(hashing.value.keys(x)):
-                part = pa.array((key % parts).astype(np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([part, pa.array(key), pa.array(np.full(len(key), t == 0)), *b.columns], ["_part", "_key", "_once", "_p", "_vec", "_least"])
+            if b.num_rows:
+                yield b, hashing.value.keys(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1))
+
+    def sizes_of_parts(batches):
+        held = np.zeros(parts, np.int64)
+        for _, keys in bucketed(batches):
+            held += np.bincount((keys % parts).ravel(), minlength=parts)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["part", "n"])
+
+    # a part with a bucket of very many near vectors is split by vector; its queries go to all of its splits
+    split = np.ones(parts, np.int64)
+    for r in points.select("_p", "_vec").mapInArrow(sizes_of_parts, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).collect():  # a row for each part at most
+        split[r["part"]] = max(1, round(r["n"] / max(SHARE, 2 * count * tables / parts)))
+    first = np.r_[0, np.cumsum(split)[:-1]]
+    every = int(split.sum())
+
+    def index(batches):
+        for b, keys in bucketed(batches):
+            own = b.column(0).to_numpy() * 0x9E3779B1 >> 7
+            for t, key in enumerate(keys):
+                part = key % parts
+                yield pa.RecordBatch.from_arrays([pa.array((first[part] + own % split[part]).astype(np.int32)), pa.array(key), pa.array(np.full(len(key), t == 0)), *b.columns], ["_part", "_key", "_once", "_p", "_vec", "_least"])
 
     def probe(batches):
         for whole in batches:
@@ -188,22 +224,28 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
                 known = x @ reference.value.T
                 enough = 2 * (k + 1)
                 bound = np.partition(known, -enough, axis=1)[:, -enough] if known.shape[1] >= enough else np.full(len(x), -np.inf)
-                for q, vec, keys, least in zip(b.column(0).to_pylist(), x, hashing.value.probes(x), bound, strict=True):
+                probes, reached = hashing.value.probes(x)
+                for q, vec, keys, least, chance in zip(b.column(0).to_pylist(), x, probes, bound, reached, strict=True):
+                    if chance < hashing.value.chance:
+                        rows += [(part, q, vec, least, NO_KEYS, 1.0) for part in range(every)]
+                        continue
                     of = keys % parts
                     order = np.argsort(of, kind="stable")
                     cut = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
-                    rows += [(int(of[g[0]]), q, vec, least, keys[g]) for g in np.split(order, cut[1:])]
-                part, q, vec, least, keys = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(q, pa.int64()), pa.array(vec, pa.list_(pa.float64())), pa.array(least, pa.float64()), pa.array(keys, pa.list_(pa.int64()))], ["_part", "_q", "_vec", "_bound", "_keys"])
+                    for g in np.split(order, cut[1:]):
+                        part = int(of[g[0]])
+                        rows += [(int(first[part]) + i, q, vec, least, keys[g], 1 - (1 - chance) ** tables) for i in range(split[part])]
+                part, q, vec, least, keys, chance = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(q, pa.int64()), pa.array(vec, pa.list_(pa.float64())), pa.array(least, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(chance, pa.float64())], ["_part", "_q", "_vec", "_bound", "_keys", "_chance"])
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Candidates in the shared buckets of one part, and of them the k + 1 best of each query."""
-        empty = pd.DataFrame({"_q": [], "_p": [], "_least": [], "_score": []}).astype({"_q": "int64", "_p": "int64", "_least": "int64", "_score": "float64"})
+        empty = pd.DataFrame({"_q": [], "_p": [], "_least": [], "_score": [], "_chance": []}).astype({"_q": "int64", "_p": "int64", "_least": "int64", "_score": "float64", "_chance": "float64"})
         if not len(left) or not len(right):
             return empty
         left = left.sort_values("_key", ignore_index=True)
         x, key, p, low = np.stack(left["_vec"].to_list()), left["_key"].to_numpy(), left["_p"].to_numpy(), left["_least"].to_numpy()
-        y, q, bound = np.stack(right["_vec"].to_list()), right["_q"].to_numpy(), right["_bound"].to_numpy()
+        y, q, bound, chance = np.stack(right["_vec"].to_list()), right["_q"].to_numpy(), right["_bound"].to_numpy(), right["_chance"].to_numpy()
         wanted = np.concatenate(right["_keys"].to_list())
         who = np.repeat(np.arange(len(q)), right["_keys"].map(len).to_numpy())
         full = np.flatnonzero(right["_keys"].map(len).to_numpy() == 0)  # these compare with every vector, once
@@ -219,13 +261,13 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
         out = []
         for span, mine in groups:
             for block in np.array_split(mine, max(1, len(mine) * (len(key) if len(full) else BUCKET) // 4_000_000)):
-                score, ids, names = y[block] @ x[span].T, low[span], p[span]
+                near, ids, names = y[block] @ x[span].T, low[span], p[span]
                 edge = bound[block, None]
-                if score.shape[1] > k + 1:
-                    edge = np.maximum(edge, -np.partition(-score, k, axis=1)[:, k : k + 1])
-                r, c = np.nonzero(score >= edge)  # with all ties at the edge
-                out.append((block[r], score[r, c], ids[c], names[c]))
-        if not out:
+                if near.shape[1] > k + 1:
+                    edge = np.maximum(edge, -np.partition(-near, k, axis=1)[:, k : k + 1])
+                r, c = np.nonzero(near >= edge - 1e-9 * np.abs(near).max(initial=0.0))  # with all ties at the edge, whatever products of blocks are rounded to
+                out.append((block[r], np.einsum("nd,nd->n", y[block[r]], x[span][c]), ids[c], names[c]))
+        if not sum(len(x[0]) for x in out):
             return empty
         who, score, ids, names = (np.concatenate(v) for v in zip(*out, strict=True))
         order = np.lexsort((names, ids, -score, who))
@@ -234,36 +276,36 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
         who, score, ids, names = who[fresh], score[fresh], ids[fresh], names[fresh]
         first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
         keep = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)])) <= k
-        return pd.DataFrame({"_q": q[who[keep]], "_p": names[keep], "_least": ids[keep], "_score": score[keep]})
+        return pd.DataFrame({"_q": q[who[keep]], "_p": names[keep], "_least": ids[keep], "_score": score[keep], "_chance": chance[who[keep]]})
 
     table = points.select("_p", "_vec", F.col("_ids")[0].alias("_least")).mapInArrow(index, "_part int, _key long, _once boolean, _p long, _vec array<double>, _least long")
-    held = table.repartition(parts, "_part").groupBy("_part")
+    held = table.repartition(every, "_part").groupBy("_part")
 
     def search(asks: DataFrame) -> DataFrame:
         """(_q, _found): the k + 1 best (score, id) of each query, merged over all parts."""
-        found = held.cogroup(asks.repartition(parts, "_part").groupBy("_part")).applyInPandas(rank, "_q long, _p long, _least long, _score double")
-        merged = found.groupBy("_q", "_p").agg(F.max("_score").alias("_score"), F.min("_least").alias("_least"))
+        found = held.cogroup(asks.repartition(every, "_part").groupBy("_part")).applyInPandas(rank, "_q long, _p long, _least long, _score double, _chance double")
+        merged = found.groupBy("_q", "_p").agg(F.max("_score").alias("_score"), F.min("_least").alias("_least"), F.min("_chance").alias("_chance"))
         best = F.row_number().over(W.partitionBy("_q").orderBy(F.desc("_score"), "_least"))
         few = merged.withColumn("_nth", best).filter(F.col("_nth") <= k + 1).join(points.select("_p", "_ids"), "_p")  # each stands for one id at least
         ids = F.flatten(F.collect_list(F.transform("_ids", lambda i: F.struct((-F.col("_score")).alias("far"), i.alias("id")))))
-        return few.groupBy("_q").agg(F.slice(F.array_sort(ids), 1, k + 1).alias("_found"))
+        return few.groupBy("_q").agg(F.slice(F.array_sort(ids), 1, k + 1).alias("_found"), F.min("_chance").alias("_chance"))
 
     # few bytes but much work: the number of partitions is given, so that they are not put together by their size
     dealt = asked.select("_q", "_vec").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = written(search(dealt.mapInArrow(probe, "_part int, _q long, _vec array<double>, _bound double, _keys array<long>")), "found")
+    found = written(search(dealt.mapInArrow(probe, "_part int, _q long, _vec array<double>, _bound double, _keys array<long>, _chance double")), "found")
     total = points.agg(F.sum(F.size("_ids"))).first()[0]
     enough = min(k + 1, total)
     # a query that met fewer than there are is compared with every vector
     poor = asked.join(found.filter(F.size("_found") >= enough), "_q", "left_anti").select("_q", "_vec")
     if not poor.isEmpty():
-        full = poor.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), "_q", "_vec", F.lit(float("-inf")).alias("_bound"), F.array().cast("array<long>").alias("_keys"))
+        full = poor.select(F.explode(F.sequence(F.lit(0), F.lit(every - 1))).alias("_part"), "_q", "_vec", F.lit(float("-inf")).alias("_bound"), F.array().cast("array<long>").alias("_keys"), F.lit(1.0).alias("_chance"))
         rest = written(search(full), "found")
         found = found.join(rest, "_q", "left_anti").unionByName(rest)
-    answers = asked.join(found, "_q").select("_vec", "_found")
+    answers = asked.join(found, "_q").select("_vec", "_found", "_chance")
     out = salted_lookup(rows.filter("_asks").select("_id", "_vec").distinct(), answers, "_vec", "_id")
     mine = F.slice(F.filter("_found", lambda x: x["id"] != F.col("_id")), 1, k)
-    out = out.select(F.col("_id").alias("query_id"), F.posexplode(mine).alias("_at", "_one"))
-    return out.select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_one.id").alias(id_col), (-F.col("_one.far")).alias("score"))
+    out = out.select(F.col("_id").alias("query_id"), "_chance", F.posexplode(mine).alias("_at", "_one"))
+    return out.select("query_id", (F.col("_at") + 1).cast("int").alias("rank"), F.col("_one.id").alias(id_col), (-F.col("_one.far")).alias("score"), F.col("_chance").alias("expected_recall"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
