@@ -116,7 +116,7 @@ def tokens(html: str) -> Iterator[tuple[str, bool, str]]:
     last, careless = html.rfind(">"), False
     unclosed: set[str] = set()
     while (lt := html.find("<", at)) >= 0:
-        if lt > last:
+        if lt > last and not html.startswith("<!--", lt):
             break
         if html.startswith("<!--", lt):
             if html.startswith((">", "->"), lt + 4):
