@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: Names of the days from Sunday on.
 WEEKDAYS = ("日", "月", "火", "水", "木", "金", "土")
+#: How long ago, and the days of a log.
+JUST_NOW, MINUTES_AGO, HOURS_AGO, DAYS_AGO, MONTHS_AGO = "今", "分前", "時間前", "日前", "ヶ月前"
+TODAY, YESTERDAY, YEAR, MONTH, DAY = "今日", "昨日", "年", "月", "日"
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -18,14 +21,15 @@ def minute_text(ts: Column) -> Column:
     return F.date_format(F.date_trunc("minute", ts), "yyyy-MM-dd HH:mm")
 
 
-def relative_time(ts: Column, now: Column) -> Column:
-    """How long ago: now, minutes, hours, days, or months of 30 days; empty for null."""
+def relative_time(ts: Column, now: Column, fallback: Column | None = None) -> Column:
+    """How long ago: now, minutes, hours, days, or months of 30 days, by another time where ts is null; empty if both are."""
+    ts = ts if fallback is None else F.coalesce(ts, fallback)
     minutes = F.floor(seconds_between(ts, now) / 60)
     hours, days = F.floor(seconds_between(ts, now) / 3600), F.floor(seconds_between(ts, now) / 86400)
     text = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
     return (
-        F.when(ts.isNull(), "").when(minutes < 1, "今").when(minutes < 60, text(minutes, "分前")).when(hours < 24, text(hours, "時間前")).when(days < 30, text(days, "日前"))
-        .otherwise(text(F.floor(days / 30), "ヶ月前"))
+        F.when(ts.isNull(), "").when(minutes < 1, JUST_NOW).when(minutes < 60, text(minutes, MINUTES_AGO)).when(hours < 24, text(hours, HOURS_AGO)).when(days < 30, text(days, DAYS_AGO))
+        .otherwise(text(F.floor(days / 30), MONTHS_AGO))
     )
 
 
@@ -33,8 +37,8 @@ def separator_label(ts: Column, now: Column) -> Column:
     """The day above its messages: today, yesterday, month and day, with the year if it is another."""
     day, today = F.to_date(ts), F.to_date(now)
     weekday = F.element_at(F.array(*[F.lit(w) for w in WEEKDAYS]), F.dayofweek(day))
-    label = F.concat(F.month(day), F.lit("月"), F.dayofmonth(day), F.lit("日 ("), weekday, F.lit(")"))
-    return F.when(day == today, "今日").when(day == F.date_sub(today, 1), "昨日").when(F.year(day) == F.year(today), label).otherwise(F.concat(F.year(day), F.lit("年"), label))
+    label = F.concat(F.month(day), F.lit(MONTH), F.dayofmonth(day), F.lit(f"{DAY} ("), weekday, F.lit(")"))
+    return F.when(day == today, TODAY).when(day == F.date_sub(today, 1), YESTERDAY).when(F.year(day) == F.year(today), label).otherwise(F.concat(F.year(day), F.lit(YEAR), label))
 
 
 def same_day(a: Column, b: Column) -> Column:

@@ -18,10 +18,14 @@ def metadata_text(metadata: Column) -> Column:
     return F.nullif(F.array_join(texts, ", "), F.lit(""))
 
 
+#: How an export calls a task that is done, one of which nothing is known, and one that is not done.
+DONE, NOT_KNOWN, NOT_DONE = "完了", "不明", "未完了"
+
+
 def completion_label(metadata: Column) -> Column:
     """Done, unknown or not done, as an export says it."""
     done = F.coalesce(value(metadata, "completed"), F.lit(""))
-    return F.when(F.lower(done).isin("t", "true", "1", "yes"), "完了").when(done == "", "不明").otherwise("未完了")
+    return F.when(F.lower(done).isin("t", "true", "1", "yes"), DONE).when(done == "", NOT_KNOWN).otherwise(NOT_DONE)
 
 
 def is_completed(metadata: Column) -> Column:
@@ -57,3 +61,8 @@ def kept_keys(metadata: Column, keys: list[str]) -> Column:
 def compact(*columns: Column) -> Column:
     """An object of the columns that are not null."""
     return F.to_json(F.struct(*columns))
+
+
+def with_new_ids(rows, name: str = "id"):
+    """rows with a random UUID where the id is null."""
+    return rows.withColumn(name, F.coalesce(F.col(name), F.uuid()))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.model import MAIN_LINE
+from loomline.operators.ordered import need_checkpoints
 
 WALK = """
 WITH RECURSIVE up (id, next_id, chain) AS (
@@ -25,10 +26,19 @@ SELECT id, max_by(struct(chain, next_id), size(chain)) AS walked FROM up GROUP B
 
 
 def _walk(lines: DataFrame, levels: int) -> DataFrame:
+    """Every look at a level joins the lines again: they are narrow and kept in the checkpoint folder, so that what made them is not run for each level."""
     spark = lines.sparkSession
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(levels))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # as many rows as there are lines and levels
-    return spark.sql(WALK, lines=lines)
+    need_checkpoints(spark)
+    lines = lines.checkpoint()
+    limits = {"spark.sql.cteRecursionLevelLimit": str(levels), "spark.sql.cteRecursionRowLimit": "-1"}  # as many rows as there are lines and levels
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        return spark.sql(WALK, lines=lines).checkpoint()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def ancestry(lines: DataFrame, levels: int = 1000) -> DataFrame:
@@ -163,3 +173,11 @@ def labels(messages: DataFrame, lines: DataFrame) -> DataFrame:
     t = branch_tree(messages, lines)
     count = F.when(F.col("message_count") > 0, F.concat(F.lit(" ("), F.col("message_count").cast("string"), F.lit(" msgs)"))).otherwise("")
     return t.select("id", "sort_path", F.concat(F.repeat(F.lit("  "), F.col("depth")), "name", count).alias("label"))
+
+
+def options(messages: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, sort_path, message_count, has_children, no_parent, no_deletion): of each line whether it can't be chosen as a parent, having no messages, or be deleted, being the main line or having children."""
+    t = branch_tree(messages, lines)
+    parents = child_counts(lines).select(F.col("parent_line_id").alias("id"), F.lit(True).alias("_has"))
+    held = t.join(parents, "id", "left").withColumn("has_children", F.coalesce("_has", F.lit(False)))
+    return held.select("id", "sort_path", "message_count", "has_children", (F.col("message_count") == 0).alias("no_parent"), ((F.col("id") == MAIN_LINE) | F.col("has_children")).alias("no_deletion"))

@@ -6,7 +6,10 @@ of its own, and a small table with a row per bucket carries what one bucket hand
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,3 +44,27 @@ def with_running_sum(df: DataFrame, value: Column, name: str, time: str, tie: st
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_bucket"]]
     joined = joined.alias("a").join(carried.alias("b"), on).select("a.*", "b._carried")
     return joined.select(*df.columns, (F.col("_within") + F.col("_carried")).alias(name))
+
+
+def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """df with the place of each row, from 1, in an order that leaves no ties.
+
+    Rows are sorted in ranges, a task for each, and the ranges counted; they are kept in the checkpoint folder meanwhile, as two looks at them must see the same ranges.
+    """
+    need_checkpoints(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row for each range
+    placed = ranged.withColumn("_nth", F.row_number().over(W.partitionBy("_range").orderBy(*order))).join(starts, "_range")
+    return placed.select(*df.columns, (F.col("_start") + F.col("_nth")).alias(name))
+
+
+def need_checkpoints(spark: SparkSession) -> str:
+    """The checkpoint folder, spark.checkpoint.dir; where all of Spark is one process and none is set, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    used = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not named and not used.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not used.isDefined():
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomline-"))
+    return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()

@@ -16,12 +16,14 @@ def changed_since(table: DataFrame, mark: Column, inclusive: bool = False) -> Da
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
     """Rows of both by key; where both have it the new row counts, whole. version: a column by which one of several new rows is chosen, the greatest.
 
+    Of several with the same version a hash of the row decides, so that the choice is the same each time. Rows without a key are no one's version: all stay.
     One aggregation by key: no join, no window.
     """
     both = old.withColumn("_side", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_side", F.lit(1)))
-    order = [F.col("_side"), *([F.col(version)] if version else [])]
+    order = [F.col("_side"), *([F.col(version)] if version else []), F.xxhash64(*old.columns)]
     row = F.struct(*[F.col(c) for c in old.columns])
-    return both.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct(*order)).alias("r")).select("r.*")
+    merged = both.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct(*order)).alias("r")).select("r.*")
+    return merged.unionByName(both.filter(F.col(key).isNull()).drop("_side"))
 
 
 def upsert_joined(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -63,3 +63,9 @@ def in_group_colour(tags: DataFrame, groups: DataFrame) -> DataFrame:
     """tags with the colour of their group where it has one, else their own or the default."""
     of = groups.select(F.col("id").alias("group_id"), F.col("color").alias("_group"))
     return tags.join(of, "group_id", "left").withColumn("color", F.coalesce("_group", "color", F.lit(DEFAULT_COLOUR))).select(*tags.columns)
+
+
+def flattened(tags: DataFrame, groups: DataFrame) -> DataFrame:
+    """(kind, id, name, group_id): the groups and their tags in one list; tags of no known group are left out."""
+    of_group = tags.join(groups.select(F.col("id").alias("group_id")), "group_id", "left_semi")
+    return groups.select(F.lit("group").alias("kind"), "id", "name", F.col("id").alias("group_id")).unionByName(of_group.select(F.lit("tag").alias("kind"), "id", "name", "group_id"))

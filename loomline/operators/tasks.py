@@ -112,3 +112,15 @@ def time_spent(metadata: Column, now: Column, clamp: bool = True) -> Column:
 
 def checked_out_at(start: Column, minutes: Column) -> Column:
     return F.timestamp_add("MINUTE", minutes, start)
+
+
+def session_totals(metadata: Column, now: Column) -> Column:
+    """struct(working, total, last, has_previous): minutes in all, those of the last session that has ended, and whether there was time before the present or last session."""
+    spent = F.coalesce(json.value(metadata, "timeSpent").try_cast("double"), F.lit(0.0))
+    moment = lambda key: json.value(metadata, key).try_cast("timestamp")
+    working = in_progress(metadata)
+    running = dates.duration_minutes(moment("checkedInAt"), now)
+    given = lambda key: F.coalesce(json.value(metadata, key) != "", F.lit(False))
+    last = F.when(~working & given("checkedInAt") & given("checkedOutAt"), dates.duration_minutes(moment("checkedInAt"), moment("checkedOutAt")))
+    before = F.when(working | last.isNull(), spent > 0).otherwise(spent > last)
+    return F.struct(working.alias("working"), (spent + F.when(working, running).otherwise(0)).alias("total"), last.alias("last"), before.alias("has_previous"))

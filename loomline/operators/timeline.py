@@ -56,20 +56,28 @@ def filtered(timeline: DataFrame, kind: str = "all", completion: str = "all", st
     return timeline.filter(has_type(kind) & has_completion(completion) & in_days(start, end) & has_tag(tag) & has_keyword(keyword))
 
 
-def page(timeline: DataFrame, number: int = 1, size: int = PAGE_SIZE, total: int | None = None) -> DataFrame:
+def page(timeline: DataFrame, number: int = 1, size: int = PAGE_SIZE, bucket: str = "day") -> DataFrame:
     """A page of messages in order, with index from 0; page 1 has the newest, the last page may be short.
 
-    The number is brought into the range of pages; there is one at least. Only the rows from the nearer end up to the page are sorted out.
+    The number is brought into the range of pages; there is one at least. Messages are counted by units of time (bucket) when this is called, a row for each unit;
+    then only the units that hold the page are read again and sorted.
     """
-    total = timeline.count() if total is None else total
-    pages = max(1, -(-total // size))
-    number = max(1, min(number, pages))
-    stop = total - (number - 1) * size
-    start = max(0, stop - size)
-    if number * size <= total / 2:
-        near = timeline.orderBy(F.desc("timestamp"), F.desc("id")).limit(number * size).orderBy("timestamp", "id").limit(stop - start)
-    else:
-        near = timeline.orderBy("timestamp", "id").limit(stop).orderBy(F.desc("timestamp"), F.desc("id")).limit(stop - start)
+    unit = F.date_trunc(bucket, "timestamp")
+    kind = dict(timeline.dtypes)["timestamp"]
+    counts = timeline.groupBy(unit.alias("at")).agg(F.count("*").alias("n")).orderBy(F.desc_nulls_last("at")).select(F.col("at").cast("string").alias("unit"), "n").collect()  # a row for each unit of time
+    total = sum(r["n"] for r in counts)
+    number = max(1, min(number, -(-total // size)))
+    newer, units, skipped = (number - 1) * size, [], 0
+    for r in counts:
+        if skipped + r["n"] <= newer and not units:
+            skipped += r["n"]
+        elif skipped + sum(u["n"] for u in units) < newer + size:
+            units.append(r)
+    if not units:
+        return timeline.limit(0).withColumn("index", F.lit(0))
+    inside = unit.between(F.lit(units[-1]["unit"]).cast(kind), F.lit(units[0]["unit"]).cast(kind)) if None not in (units[0]["unit"], units[-1]["unit"]) else F.lit(True)
+    wanted = min(total - newer, size)
+    near = timeline.filter(inside).orderBy(F.desc("timestamp"), F.desc("id")).limit(newer - skipped + wanted).orderBy("timestamp", "id").limit(wanted)
     return near.withColumn("index", F.row_number().over(W.orderBy("timestamp", "id")) - 1)  # one page of rows
 
 
@@ -126,16 +134,17 @@ def newest(timeline: DataFrame, count: int) -> DataFrame:
 
 
 def copied_rows(timeline: DataFrame) -> DataFrame:
-    """(id, timestamp, row): messages with content as lines of a copied log."""
+    """(id, timestamp, line_id if there is one, row): messages with content as lines of a copied log."""
     c = F.col
     extra = F.when(c("metadata").isNotNull(), F.concat(F.lit(', "'), F.replace(c("metadata"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise("")
     row = F.concat(F.lit("* "), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.lit(", "), text.quoted(c("content")), F.lit(", "), F.coalesce("type", F.lit("text")), extra)
-    return timeline.filter(F.length("content") > 0).select("id", "timestamp", row.alias("row"))
+    kept = ["line_id"] if "line_id" in timeline.columns else []
+    return timeline.filter(F.length("content") > 0).select("id", "timestamp", *kept, row.alias("row"))
 
 
 def copied_document(timeline: DataFrame, heading: Column) -> DataFrame:
     """(line_id, document): the heading and the copied rows of each line in order."""
-    rows = copied_rows(timeline).join(timeline.select("id", "line_id"), "id")
+    rows = copied_rows(timeline)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "id", "row"))), lambda r: r["row"])
     return rows.groupBy("line_id").agg(F.concat(F.lit("## "), heading, F.lit("\n"), F.array_join(texts, "\n")).alias("document"))
 
@@ -150,3 +159,9 @@ def line_flags(timeline: DataFrame, lines: DataFrame, current: str, bucket: str
 def kinds(messages: DataFrame) -> DataFrame:
     """messages with kind, the type by which they are shown; none is text."""
     return messages.withColumn("kind", F.coalesce("type", F.lit("text")))
+
+
+def newest_of_lines(timeline: DataFrame, count: int) -> DataFrame:
+    """The newest ``count`` messages of each line."""
+    place = F.row_number().over(W.partitionBy("line_id").orderBy(F.desc("timestamp"), F.desc("id")))
+    return timeline.withColumn("_place", place).filter(F.col("_place") <= count).drop("_place")

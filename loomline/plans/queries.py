@@ -105,9 +105,12 @@ def deletable_lines(spark, d):
     return hierarchy.deletable(view(spark, d, "lines")).select("id")
 
 
-@register("cycle_check", duckdb("lines") + " SELECT id FROM lines WHERE id = parent_line_id")
+@register("cycle_check", duckdb("lines") + " SELECT id FROM lines WHERE id IN ('C1', 'C2', 'C3', 'N3', 'N4') OR parent_line_id IN ('N3', 'N4') ")
 def cycle_check(spark, d):
-    return hierarchy.cycles(view(spark, d, "lines")).select("id")
+    # a line under itself, two under each other, and two above each other with all that is below them
+    rows = view(spark, d, "lines")
+    turned = F.when(F.col("id") == "C1", "C1").when(F.col("id") == "C2", "C3").when(F.col("id") == "C3", "C2").when(F.col("id") == "N3", "N4").when(F.col("id") == "N4", "N3").otherwise(F.col("parent_line_id"))
+    return hierarchy.cycles(rows.withColumn("parent_line_id", turned)).select("id")
 
 
 @register(
@@ -165,9 +168,10 @@ def line_display_info(spark, d):
     return lines.display_info(view(spark, d, "messages"), view(spark, d, "lines"), now())
 
 
-@register("branching_lines", duckdb("lines", "messages") + " SELECT id FROM lines WHERE parent_line_id IN (SELECT line_id FROM messages WHERE id = 'E1')")
+@register("branching_lines", duckdb("lines", "messages") + " SELECT id FROM lines WHERE parent_line_id = (SELECT 'N' || substr(line_id, 2)::INT % 25 FROM messages WHERE id = 'E1')")
 def branching_lines(spark, d):
-    return lines.branching_from(view(spark, d, "messages"), view(spark, d, "lines"), "E1").select("id")
+    on_nations = view(spark, d, "messages").withColumn("line_id", F.concat(F.lit("N"), (F.substring("line_id", 2, 20).cast("int") % 25).cast("string")))
+    return lines.branching_from(on_nations, view(spark, d, "lines"), "E1").select("id")
 
 
 # timeline
@@ -246,11 +250,11 @@ def first_after_day(spark, d):
 
 @register(
     "copied_rows",
-    duckdb("talk") + """ SELECT id, '* ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ', "' || replace(replace(CASE WHEN length(content) > 200 THEN left(content, 100) || '...' ELSE content END, chr(10), '\\n'), '"', '""') || '", text' AS "row" FROM talk WHERE length(content) > 0""",
+    duckdb("messages") + """ SELECT id, '* ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ', "' || replace(replace(CASE WHEN length(content) > 200 THEN left(content, 100) || '...' ELSE content END, chr(10), '\\n'), '"', '""') || '", ' || coalesce(type, 'text')
+    || coalesce(', "' || replace(metadata, '"', '""') || '"', '') AS "row" FROM messages WHERE length(content) > 0""",
 )
 def copied_rows(spark, d):
-    rows = view(spark, d, "talk").withColumns({"type": F.lit(None).cast("string"), "metadata": F.lit(None).cast("string")})
-    return timeline.copied_rows(rows).select("id", "row")
+    return timeline.copied_rows(view(spark, d, "messages")).select("id", "row")
 
 
 @register("display_text", duckdb("messages") + """ SELECT id, CASE WHEN type = 'task' THEN content || ' - task - ' || CASE WHEN json_extract_string(metadata, '$.completed') IN ('true', 'yes') THEN '完了' WHEN json_extract_string(metadata, '$.completed') IS NULL THEN '不明' ELSE '未完了' END
@@ -287,16 +291,22 @@ def task_totals(spark, d):
     return tasks.totals(task_rows(spark, d))
 
 
-@register(
-    "task_sorted",
-    duckdb("lines", "orders_as_tasks") + _TASKS + " SELECT id, row_number() OVER (ORDER BY CASE priority WHEN 'urgent' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, id)::INT AS position FROM t QUALIFY position <= 100",
-)
-def task_sorted(spark, d):
-    from pyspark.sql import Window as W
+_BY = {
+    "priority": ("CASE priority WHEN 'urgent' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC", True),
+    "content": ("content", False),
+    "completed": ("completed", False),
+    "line_name": ("line_name DESC", True),
+    "created_at": ("created_at DESC", True),
+    "updated_at": ("updated_at NULLS FIRST", False),
+}
+
 
-    order = tasks.sort_columns("priority", descending=True)
-    first = task_rows(spark, d).orderBy(*order).limit(100)  # the hundred rows that a screen shows
-    return first.select("id", F.row_number().over(W.orderBy(*order)).alias("position"))
+def _task_order(key: str, descending: bool):
+    return lambda spark, d: ordered.with_position(task_rows(spark, d), tasks.sort_columns(key, descending, None)).select("id", F.col("position").cast("int"))
+
+
+for _key, (_order, _descending) in _BY.items():
+    register("task_sorted" if _key == "priority" else f"task_sorted_by_{_key}", duckdb("lines", "orders_as_tasks") + _TASKS + f" SELECT id, row_number() OVER (ORDER BY {_order}, id)::INT AS position FROM t")(_task_order(_key, _descending))
 
 
 @register(
@@ -655,3 +665,6 @@ def ids_not_found(spark, d):
     UNION ALL SELECT 'self_reference', count(*) FROM lines WHERE id = parent_line_id UNION ALL SELECT 'cycle', 0""")
 def integrity_report(spark, d):
     return integrity.report(view(spark, d, "messages"), view(spark, d, "lines"))
+
+
+from loomline.plans import more_queries  # noqa: E402, F401  the rest, which use what is above

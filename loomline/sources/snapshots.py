@@ -15,9 +15,12 @@ DOCUMENT = f"messages map<string,{_MESSAGE}>, lines array<{_LINE}>, tags map<str
 TABLES = {"messages": MESSAGES, "lines": LINES, "tags": TAGS, "tag_groups": TAG_GROUPS}
 
 
-def from_json(spark: SparkSession, path: str) -> Snapshot:
-    """JSON documents with all four tables, in the present or the old form, where lines name their parent parentLineId and lack a time of creation."""
-    document = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+def from_json(spark: SparkSession, path: str, lines: bool = False) -> Snapshot:
+    """JSON documents with all four tables, in the present or the old form, where lines name their parent parentLineId and lack a time of creation.
+
+    A document is a file, which one task reads whole; lines: it is a line of a file, and files are split.
+    """
+    document = spark.read.schema(DOCUMENT).option("multiLine", not lines).json(path)
     moment = lambda c: F.try_to_timestamp(F.col(c))
     m = document.select(F.explode(F.map_values("messages")).alias("r")).select("r.*")
     messages = m.select("id", "content", moment("timestamp").alias("timestamp"), moment("updatedAt").alias("updated_at"), F.col("lineId").alias("line_id"), "tags", F.col("hasBookmark").alias("has_bookmark"), "author", "images", "type", "metadata", "deleted", moment("deletedAt").alias("deleted_at"))
@@ -68,7 +71,8 @@ def open_(spark: SparkSession, kind: str, path: str, fallbacks: list[tuple[str,
             raise ValueError(f"unknown source {name}; there are {sorted(SOURCES)}")
         try:
             found = SOURCES[name](spark, place)
-            found.lines.head(1)
+            for table in found.tables().values():
+                table.head(1)
             return found
         except Exception as error:  # whatever a source fails with, the next one is tried and all are told
             failed.append(f"{name} {place}: {str(error)[:200]}")

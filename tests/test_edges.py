@@ -115,7 +115,7 @@ def test_pages_from_the_newest(spark, count):
     for asked in (0, 1, 2, pages, pages + 1):
         number = max(1, min(asked, pages))
         stop = count - (number - 1) * 200
-        got = timeline.page(m, asked, total=count).orderBy("index").collect()
+        got = timeline.page(m, asked).orderBy("index").collect()
         assert [r["id"] for r in got] == [f"m{i:03d}" for i in range(max(0, stop - 200), stop)]
         assert [r["index"] for r in got] == list(range(len(got)))
     assert timeline.page_info(count, 99)["current_page"] == pages
