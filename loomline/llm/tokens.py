@@ -14,8 +14,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Bytes of words and their ids that a worker keeps, beyond which it starts afresh, and what an entry takes besides.
-CACHED_BYTES, ENTRY_BYTES = 64 << 20, 180
+#: Bytes of words and their ids that a worker keeps, beyond which those met longest ago go, and what an entry takes besides.
+CACHED_BYTES, ENTRY_BYTES = 128 << 20, 180
 #: Longer words (of texts without blanks, encoded data) hardly come again: they are not kept.
 LONGEST_KEPT = 64
 
@@ -29,31 +29,39 @@ class WordCache:
     """ids(texts): for each text its ids, packed.
 
     split: the words of a text; encode: the packed ids of each of several words. It holds for any text that the ids of
-    the text are the ids of its words joined, which the caller vouches for. At most CACHED_BYTES are kept from one call to the next.
+    the text are the ids of its words joined, which the caller vouches for. At most CACHED_BYTES are kept from one call to the next: the words met
+    last, and those met before them, of which one that is met again stays.
     """
 
     def __init__(self, split: Callable[[str], list], encode: Callable[[list], Iterable[bytes]], most: int = CACHED_BYTES):
-        self.split, self.encode, self.most, self.known, self.held = split, encode, most, {}, 0
+        self.split, self.encode, self.most = split, encode, most
+        self.known, self.before, self.held = {}, {}, 0
+
+    def _keep(self, word, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += len(word) + len(ids) + ENTRY_BYTES
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [self.split(t) for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(self.known))
+        new = set(chain.from_iterable(words)).difference(self.known)
+        for word in new & self.before.keys():
+            self._keep(word, self.before.pop(word))
+        new = list(new.difference(self.known))
         passing = []
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for word, ids in zip(part, self.encode(part), strict=True):
-                self.known[word] = ids
                 if len(word) > LONGEST_KEPT:
                     passing.append(word)
+                    self.known[word] = ids
                 else:
-                    self.held += len(word) + len(ids) + ENTRY_BYTES
+                    self._keep(word, ids)
         get = self.known.__getitem__
         out = [b"".join(map(get, w)) for w in words]
-        if self.held > self.most:
-            self.known, self.held = {}, 0
-        else:
-            for word in passing:
-                del self.known[word]
+        for word in passing:
+            del self.known[word]
+        if self.held > self.most // 2:
+            self.known, self.before, self.held = {}, self.known, 0
         return out
 
 
