@@ -78,13 +78,22 @@ def ancestor_ids(lines: DataFrame, dangling: bool = True) -> DataFrame:
 
 
 def with_sibling_rank(lines: DataFrame, orphans: str = "root") -> DataFrame:
-    """lines with sibling_rank from 1, is_last_child and is_root. Siblings are in order of created_at and id; among roots the main line is first."""
+    """lines with sibling_rank from 1, is_last_child and is_root. Siblings are in order of created_at and id; among roots the main line is first.
+
+    Siblings are ranked by the day of created_at, none before all, and the days of a parent are counted: neither a parent of very many lines nor the roots are one task's.
+    """
     parents = lines.select(F.col("id").alias("_parent")).distinct()
     held = lines.join(parents, F.col("parent_line_id") == F.col("_parent"), "left")
     rootless = F.col("parent_line_id").isNull() | (F.col("parent_line_id") == "")
-    held = held.withColumn("is_root", rootless | F.col("_parent").isNull() if orphans == "root" else rootless)
-    place = W.partitionBy(F.when(~F.col("is_root"), F.col("parent_line_id"))).orderBy(F.when(F.col("is_root") & (F.col("id") == MAIN_LINE), 0).otherwise(1), "created_at", "id")
-    return held.drop("_parent").withColumn("sibling_rank", F.row_number().over(place)).withColumn("is_last_child", F.lead("id").over(place).isNull())
+    held = held.withColumn("is_root", rootless | F.col("_parent").isNull() if orphans == "root" else rootless).drop("_parent")
+    day = F.when(F.col("is_root") & (F.col("id") == MAIN_LINE), "").otherwise(F.coalesce(F.to_date("created_at").cast("string"), F.lit("0")))
+    held = held.withColumn("_of", F.when(F.col("is_root"), "").otherwise(F.col("parent_line_id"))).withColumn("_day", day)
+    siblings = W.partitionBy("_of")
+    before = F.sum("_n").over(siblings.orderBy("_day").rowsBetween(W.unboundedPreceding, -1))
+    days = held.groupBy("_of", "_day").agg(F.count("*").alias("_n")).select("_of", "_day", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(siblings).alias("_all"))
+    nth = F.row_number().over(W.partitionBy("_of", "_day").orderBy("created_at", "id"))
+    ranked = held.withColumn("_nth", nth).join(days, ["_of", "_day"]).withColumn("sibling_rank", (F.col("_nth") + F.col("_before")).cast("int"))
+    return ranked.select(*lines.columns, "is_root", "sibling_rank", (F.col("sibling_rank") == F.col("_all")).alias("is_last_child"))
 
 
 def tree(lines: DataFrame, orphans: str = "root") -> DataFrame:

@@ -32,7 +32,11 @@ def upsert_joined(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(*old.columns))
+    """Old rows, and the new ones whose key no old row has. Of several new rows with one key a hash of the row decides; rows without a key all come."""
+    row = F.struct(*[F.col(c) for c in old.columns])
+    once = new.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.xxhash64(*old.columns)).alias("r")).select("r.*")
+    absent = once.join(old.select(key), key, "left_anti").select(*old.columns)
+    return old.unionByName(absent).unionByName(new.filter(F.col(key).isNull()).select(*old.columns))
 
 
 def without_deleted(messages: DataFrame) -> DataFrame:

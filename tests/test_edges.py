@@ -27,6 +27,26 @@ def ids(df, column="id"):
     return {r[column] for r in df.collect()}
 
 
+def test_siblings_are_ranked_over_days_and_ties(spark):
+    hours = [None, 30, 30, 3, 200, 200, 27, 75, None, 4]
+    rows = [(f"k{n}", f"K{n}", "main", None, None if h is None else T0 + dt.timedelta(hours=h), None) for n, h in enumerate(hours)]
+    rows += [("early", "Early", None, None, T0 - dt.timedelta(days=9), None), ("main", "Main", None, None, T0, None), ("undated", "Undated", "gone", None, None, None)]
+    made = spark.createDataFrame(rows, model.LINES)
+    wanted = ["k0", "k8", "k3", "k9", "k6", "k1", "k2", "k7", "k4", "k5"]
+    ranked = {r["id"]: (r["sibling_rank"], r["is_last_child"], r["is_root"]) for r in hierarchy.with_sibling_rank(made).collect()}
+    assert {i: ranked[i] for i in wanted} == {i: (n, n == 10, False) for n, i in enumerate(wanted, 1)}
+    assert [ranked[i] for i in ("main", "undated", "early")] == [(1, False, True), (2, False, True), (3, True, True)]
+    dropped = {r["id"]: (r["sibling_rank"], r["is_last_child"], r["is_root"]) for r in hierarchy.with_sibling_rank(made, "drop").collect()}
+    assert dropped["undated"] == (1, True, False) and dropped["early"] == (2, True, True) and len(dropped) == len(rows)
+
+
+def test_insert_leaves_old_rows_and_takes_a_key_once(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "id string, n int")
+    new = spark.createDataFrame([("a", 9), ("c", 4), ("c", 5), (None, 6), (None, 6)], "id string, n int")
+    found = [(r["id"], r["n"]) for r in sync.insert_if_absent(old, new).collect()]
+    assert sorted(found, key=str) in [sorted([("a", 1), ("b", 2), (None, 3), ("c", c), (None, 6), (None, 6)], key=str) for c in (4, 5)]
+
+
 def test_paths_by_policy_for_orphans(tree):
     found = {r["id"]: r["full_path"] for r in hierarchy.paths(tree).collect()}
     assert found == {"first": "First", "main": "Main", "a": "Main -> A", "b": "Main -> B", "aa": "Main -> A -> AA"}
