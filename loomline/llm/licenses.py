@@ -94,8 +94,8 @@ def rule_pattern(ids: list[str]) -> str:
 
 #: A sentence ends at a full stop and the like before white space, or at an empty line; a single line break does not end it, nor does "v." before a number.
 CUT = r"((?<!\bv)[.!?]|(?<=\bv)[.](?!\s+[0-9])|(?<=\bv)[!?])\s+|\n\s*\n"
-#: As the SQL has it, without "v.": its patterns can't look around.
-SQL_CUT = r"([.!?])\s+|\n\s*\n"
+#: As the SQL has it, whose patterns can't look around: the full stop of a "v." before a number is made a space, which normalising does anyway; then any other cuts.
+SQL_VERSION, SQL_CUT = r"\b(v)\.(\s+[0-9])", r"([.!?])\s+|\n\s*\n"
 MARK = "\x1e"
 
 
@@ -152,8 +152,8 @@ def _oracle() -> str:
     known = ", ".join(f"CASE WHEN regexp_matches(s, {_quoted(p)}) THEN {_quoted(n)} END" for n, p in SENTENCES)
     first = f"""
     WITH a AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-    b AS (SELECT doc_id, CASE WHEN regexp_matches(t, {_quoted(HINT)}) THEN list_filter(string_split(regexp_replace(t, {_quoted(SQL_CUT)}, '\\1' || chr(30), 'g'), chr(30)), lambda s: regexp_matches(s, {_quoted(HINT)})) ELSE [] END AS cut FROM a),
-    c AS (SELECT doc_id, list_transform(cut, lambda s: regexp_replace(' ' || trim(regexp_replace(regexp_replace(s, '[^a-z0-9.]+', ' ', 'g'), '\\.+( |$)|(^| )\\.+', ' ', 'g')) || ' ', ' +', ' ', 'g')) AS clean FROM b),
+    b AS (SELECT doc_id, CASE WHEN regexp_matches(t, {_quoted(RAW_HINT)}) THEN list_filter(string_split(regexp_replace(regexp_replace(t, {_quoted(SQL_VERSION)}, '\\1 \\2', 'g'), {_quoted(SQL_CUT)}, '\\1' || chr(30), 'g'), chr(30)), lambda s: regexp_matches(s, {_quoted(RAW_HINT)})) ELSE [] END AS cut FROM a),
+    c AS (SELECT doc_id, list_filter(list_transform(cut, lambda s: regexp_replace(' ' || trim(regexp_replace(regexp_replace(s, '[^a-z0-9.]+', ' ', 'g'), '\\.+( |$)|(^| )\\.+', ' ', 'g')) || ' ', ' +', ' ', 'g')), lambda s: regexp_matches(s, {_quoted(HINT)})) AS clean FROM b),
     d AS (SELECT doc_id, list_transform(clean, lambda s: list_filter([{known}], lambda x: x IS NOT NULL)) AS hits FROM c),
     r0 AS (SELECT doc_id, array_to_string(flatten(hits), ',') AS sentence_ids, len(list_filter(hits, lambda h: len(h) = 0)) AS unknown_sentences,
                   ',' || array_to_string(flatten(hits), ',') || ',' AS rest, []::VARCHAR[] AS names FROM d)"""

@@ -539,6 +539,20 @@ def test_a_version_after_v_stays_in_its_sentence(spark):
     assert out[1]["licenses"] == ["MPL-2.0"] and [out[i]["unknown_sentences"] for i in (1, 2, 3, 4)] == [0, 0, 1, 0]
 
 
+def test_licence_sql_on_versions_and_comments(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(7)
+    words = ["Licensed under the", "subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License, v.", "2.0.", "2.0. If a copy", "all rights\n// reserved.", "# public\n# domain", "CC\nBY 4.0", "creative\n * commons", "MIT License", "v.", "3", "\n\n", "x", "v!", "GPL v.", "rights reserved?"]
+    texts = [None, "", MIT, *(" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(400))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = c.sql(licenses.ORACLE).df()
+    assert (wanted["licenses"] != "").sum() > 100 and "mpl2_named" in set(",".join(wanted["sentence_ids"]).split(","))
+    same(licenses.query(spark, str(tmp_path)), wanted)
+
+
 def test_known_sentences_in_comments(spark):
     import re
 
