@@ -408,8 +408,12 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to a session and lets it push predicates down to Python sources."""
+    """Makes the format known to a session and lets it push predicates down to Python sources.
+
+    Spark looks a Python source up in the session that is active in the calling thread: so this one is made active, for threads that have none yet.
+    """
     ship(spark)
+    spark._jvm.SparkSession.setActiveSession(spark._jsparkSession)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 

@@ -7,6 +7,7 @@ import time
 import tracemalloc
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -880,3 +881,14 @@ def test_language_on_odd_rows(odd):
     out = language.identify_documents(odd).collect()
     assert len(out) == len(ROWS) and all(not r["accepted"] for r in out if r["n_trigrams"] == 0)
     assert language.identify_documents(empty(odd)).count() == 0
+
+
+def test_archives_from_a_thread_without_an_active_session(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/1", "x"), (2, "http://a/2", "x")], "page_id long, url string, html string")
+
+    def work():
+        warc.archive_pages(pages, f"file://{tmp_path}/w")
+        return sorted((r["record_id"], r["record_type"]) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect())
+
+    with ThreadPoolExecutor(1) as pool:
+        assert pool.submit(work).result() == [("urn:page:1", "revisit"), ("urn:page:2", "response")]
