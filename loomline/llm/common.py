@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Tasks over which the rows of one key are dealt at least; on a cluster with more shuffle partitions, over as many as these.
@@ -126,6 +127,35 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, *salt_by: str) ->
     return salted.join(found, on, "left").drop("_key", "_slot", "_salt")
 
 
+def in_ranges(df: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """df sorted into ranges, a task for each, with the number of the range as _range; written, so that all looks at it see the same ranges.
+
+    order: it has to tell rows apart, or those that it does not tell apart are one task's.
+    """
+    return written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()), label)
+
+
+def numbered(df: DataFrame, by: str, order: list[Column], label: str) -> DataFrame:
+    """df with _group, the place of its group among the groups (rows equal in ``by``, null first), _at, the place of the row within it, both from 0, and _n, the rows of the group.
+
+    Rows are sorted in ranges over all groups, so a large group is many tasks'; what is added up over ranges is a row for each range and group in it.
+    """
+    ranged = in_ranges(df, [F.col(by).asc_nulls_first(), *order], label)
+    counts = written(ranged.groupBy("_range", by).agg(F.count("*").alias("_c")), f"{label}-counts")
+    group = W.partitionBy(by)
+    earlier = F.coalesce(F.sum("_c").over(group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select("_range", by, earlier.alias("_start"), F.sum("_c").over(group).alias("_n"))
+    # a group is counted in the range in which it begins
+    nth = F.sum(F.when(F.col("_start") == 0, 1).otherwise(0)).over(W.partitionBy("_range").orderBy(F.col(by).asc_nulls_first()))
+    begun = placed.filter("_start = 0").groupBy("_range").agg(F.count("*").alias("_begun"))
+    ranges = counts.select("_range").distinct().join(begun, "_range", "left")
+    before = ranges.select("_range", F.coalesce(F.sum("_begun").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_groups"))  # a row for each range
+    starts = placed.withColumn("_nth", nth).join(before, "_range").select(F.col("_range").alias("_r"), F.col(by).alias("_of"), "_start", "_n", (F.col("_groups") + F.col("_nth") - 1).alias("_group"))
+    place = F.row_number().over(W.partitionBy("_range", by).orderBy(*order)) - 1
+    joined = ranged.withColumn("_place", place).join(starts, (F.col("_range") == F.col("_r")) & F.col(by).eqNullSafe(F.col("_of")))
+    return joined.select(*df.columns, "_group", (F.col("_start") + F.col("_place")).alias("_at"), "_n")
+
+
 @functools.cache
 def _package() -> str:
     root = Path(__file__).resolve().parents[1]

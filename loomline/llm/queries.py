@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language, licenses, neighbours, packing, quality, sentencepiece, simhash, warc
+from . import exact_dedup, html_extract, language, licenses, merkle, neighbours, packing, quality, sentencepiece, simhash, warc
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_warc": warc.query,
     "op10_language_id": language.query,
+    "op11_merkle_manifest": merkle.query,
     "language_id_pages": language.pages_query,
 }
 
@@ -22,4 +23,5 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op7_license_scan": licenses.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
