@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_extract, language, licenses, merkle, neighbours, packing, quality, sentencepiece, simhash, warc
+from . import exact_dedup, filter_audit, html_extract, language, licenses, merkle, neighbours, packing, quality, sentencepiece, simhash, token_files, warc
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_warc": warc.query,
     "op10_language_id": language.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_token_files": token_files.query,
+    "op13_filter_audit": filter_audit.query,
     "language_id_pages": language.pages_query,
 }
 
@@ -24,4 +26,5 @@ ORACLES = {
     "op7_license_scan": licenses.ORACLE,
     "op9_warc": warc.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
