@@ -111,15 +111,32 @@ class Forest:
         return self.in_blocks(nodes.select("_group", "_at", "_n", "_node")).mapInArrow(work, "_group long, _at long, _n long, _node binary")
 
     def ways(self, nodes: DataFrame) -> dict | DataFrame:
-        """For each node, by (_group, _at), its steps to the top of its tree, and the top: as a dictionary if there are at most ``most`` nodes, else as a written table (_group, _at, _steps, _top)."""
+        """For each node, by (_group, _at), its steps to the top of its tree, and the top: as a dictionary if there are at most ``most`` nodes, else as a written table (_group, _at, _steps, _top).
+
+        Trees of which one node is left are done, however many they are; only the others' nodes are gone on with.
+        """
+        few = self._few(nodes)
+        if few is not None:
+            return few
+        spark = nodes.sparkSession
+        done, left = nodes.filter("_n = 1").select("_group", "_at", F.array().cast(STEPS).alias("_steps"), F.lower(F.hex("_node")).alias("_top")), nodes.filter("_n > 1")
+        few = self._few(left)
+        if few is not None:
+            rest = spark.createDataFrame([(*key, *way) for key, way in few.items()], f"_group long, _at long, _steps {STEPS}, _top string")
+        else:
+            above = self.ways(written(self.reduced(left), "nodes"))
+            rest = self.finished(left, above).select("_group", "_at", F.col("proof").alias("_steps"), F.col("top").alias("_top"))
+        return written(done.unionByName(rest), "ways")
+
+    def _few(self, nodes: DataFrame) -> dict | None:
+        """The ways of at most ``most`` nodes, worked out by the driver; none if there are more."""
         few = nodes.select("_group", "_at", "_node").limit(self.most + 1).collect()
-        if len(few) <= self.most:
-            trees: dict[int, list] = {}
-            for r in sorted(few, key=lambda r: (r["_group"], r["_at"])):
-                trees.setdefault(r["_group"], []).append(r["_node"].hex())
-            return self.built(trees)
-        above = self.ways(written(self.reduced(nodes), "nodes"))
-        return written(self.finished(nodes, above).select("_group", "_at", F.col("proof").alias("_steps"), F.col("top").alias("_top")), "ways")
+        if len(few) > self.most:
+            return None
+        trees: dict[int, list] = {}
+        for r in sorted(few, key=lambda r: (r["_group"], r["_at"])):
+            trees.setdefault(r["_group"], []).append(r["_node"].hex())
+        return self.built(trees)
 
     def built(self, trees: dict[int, list[str]]) -> dict:
         out = {}
