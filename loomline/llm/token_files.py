@@ -1,7 +1,7 @@
 """Token ids in files: Arrow streams of sequences of one length, with masks, that are read in place.
 
 A folder holds shards. ``<name>.ids`` is an Arrow stream whose batches have the same number of rows but for the last, each row a fixed-size list of ids and
-one of a mask (1: an id, 0: filling at a shard's end). All batches take the same number of bytes, so the place of any sequence in the file follows from its
+one of a mask, a bit for each place (1: an id, 0: filling at a shard's end). All batches take the same number of bytes, so the place of any sequence in the file follows from its
 number: a reader maps the file, or reads one range of it, and sees ids and masks without decoding or copying. Documents follow each other without gaps, across
 sequences. ``<name>.docs`` is an Arrow stream with the identifier, start and length of each document, in order. The Parquet table ``shards`` lists the
 shards that count, in order, with the number of ids before each.
@@ -12,9 +12,12 @@ task has left is in no table and is deleted at the end.
 
 from __future__ import annotations
 
+import os
 import uuid
+import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ SHARD = "number int, name string, documents long, tokens long, sequences long"
 
 def _sequences(length: int, width: int, batch: int) -> pa.Schema:
     kind = {2: pa.uint16(), 4: pa.uint32()}[width]
-    return pa.schema([pa.field("ids", pa.list_(kind, length), False), pa.field("mask", pa.list_(pa.uint8(), length), False)], {"sequences": str(batch)})
+    return pa.schema([pa.field("ids", pa.list_(kind, length), False), pa.field("mask", pa.list_(pa.bool_(), length), False)], {"sequences": str(batch)})
 
 
 class ShardWriter:
@@ -71,8 +74,8 @@ class ShardWriter:
     def _flush(self) -> None:
         rows = -(-self.used // self.length)
         self.held[self.used :] = 0
-        mask = np.zeros(rows * self.length, np.uint8)
-        mask[: self.used] = 1
+        mask = np.zeros(rows * self.length, bool)
+        mask[: self.used] = True
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(values), type=f.type) for values, f in zip((self.held[: rows * self.length], mask), self.schema, strict=True)]
         self.ids_out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.sequences, self.used = self.sequences + rows, 0
@@ -102,7 +105,6 @@ class TokenFile:
         stream = pa.ipc.open_stream(self.file)
         self.schema, self.first = stream.schema, self.file.tell()
         self.length, self.batch = self.schema.field("ids").type.list_size, int(self.schema.metadata[b"sequences"])
-        self.kind = self.schema.field("ids").type.value_type.to_pandas_dtype()
         try:
             self.file.seek(self.first)
             pa.ipc.read_message(self.file)
@@ -124,12 +126,13 @@ class TokenFile:
                 raise IndexError(f"batch {number} of {self.path}") from None
         return self.held[1]
 
-    def sequence(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of a sequence, as views."""
+    def sequence(self, number: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of a sequence, as views: the mask's bits stay bits."""
         b, row = self._batch(number // self.batch), number % self.batch
         if number < 0 or row >= b.num_rows:
             raise IndexError(f"sequence {number} of {self.path}")
-        return tuple(b.column(c).flatten().to_numpy(zero_copy_only=True)[row * self.length : (row + 1) * self.length] for c in (0, 1))
+        at = row * self.length
+        return b.column(0).flatten().to_numpy(zero_copy_only=True)[at : at + self.length], b.column(1).flatten().slice(at, self.length)
 
     def ids(self, start: int, length: int) -> Iterator[np.ndarray]:
         """The ids from a place on, as views, one for each batch that they lie in."""
@@ -151,6 +154,17 @@ class TokenFile:
         self.file.close()
 
 
+@contextmanager
+def one_thread() -> Iterator[None]:
+    """The tokenizers library without threads of its own: every core has a task already."""
+    name, before = "TOKENIZERS_PARALLELISM", os.environ.get("TOKENIZERS_PARALLELISM")
+    os.environ[name] = "false"
+    try:
+        yield
+    finally:
+        os.environ.pop(name) if before is None else os.environ.__setitem__(name, before)
+
+
 def id_bytes(tokenizer: str, end: int | None) -> int:
     """Two bytes for each id if all ids of a tokenizer fit, else four."""
     from tokenizers import Tokenizer
@@ -184,7 +198,9 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                for i, r, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), cache.ids(b.column(1).to_pylist()), strict=True):
+                with one_thread():
+                    encoded = cache.ids(b.column(1).to_pylist())
+                for i, r, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), encoded, strict=True):
                     if shard is None:
                         shard, number = ShardWriter(target, f"{place}/{name}", b.column(0).type, length, batch, width), r
                     shard.add(i, np.frombuffer(ids + last, "<u4"))
@@ -211,37 +227,43 @@ def _by_shard(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return shards.repartition(max(1, shards.count()))  # dealt in turn from the one file of the table
 
 
-def read_documents(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+def read_documents(spark: SparkSession, path: str, id_type: str = "long", digest: bool = False) -> DataFrame:
     """(id, start, n_tokens, ids) of every document in the shards: start is the number of ids before it in the whole folder, ids are little-endian unsigned 32-bit numbers.
 
-    id_type: the type of the ids that were written.
+    id_type: the type of the ids that were written. digest: instead of ids, ids_crc32, the unsigned CRC-32 of these bytes, worked out where they are read.
     """
     ship(spark)
+    name, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = file_system(path)
+    def batch(rows: list[tuple], of_id: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (of_id, pa.int64(), pa.int64(), kind), strict=True)], ["id", "start", "n_tokens", name])
 
-        def batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, pa.int64(), pa.int64(), pa.binary()), strict=True)], ["id", "start", "n_tokens", "ids"])
+    def value(parts: Iterator[np.ndarray]) -> int | bytes:
+        if not digest:
+            return b"".join(p.astype("<u4").tobytes() for p in parts)
+        crc = 0
+        for p in parts:
+            crc = zlib.crc32(p.astype("<u4"), crc)
+        return crc
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = file_system(path)
         for b in batches:
-            for name, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                shard = TokenFile(system, f"{folder}/{name}.ids")
-                rows, held = [], 0
+            for shard_name, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                shard = TokenFile(system, f"{folder}/{shard_name}.ids")
                 for docs in shard.documents():
-                    kind = docs.schema.field(0).type
+                    rows, held = [], 0
                     for i, start, length in zip(*(docs.column(c).to_pylist() for c in range(3)), strict=True):
-                        rows.append((i, before + start, length, b"".join(part.astype("<u4").tobytes() for part in shard.ids(start, length))))
-                        held += 4 * length + 100
+                        rows.append((i, before + start, length, value(shard.ids(start, length))))
+                        held += 0 if digest else 4 * length
                         if held > HANDED_ON:
-                            yield batch(rows, kind)
+                            yield batch(rows, docs.schema.field(0).type)
                             rows, held = [], 0
                     if rows:
-                        yield batch(rows, kind)
-                        rows, held = [], 0
+                        yield batch(rows, docs.schema.field(0).type)
                 shard.close()
 
-    return _by_shard(spark, path, "start").mapInArrow(work, f"id {id_type}, start long, n_tokens long, ids binary")
+    return _by_shard(spark, path, "start").mapInArrow(work, f"id {id_type}, start long, n_tokens long, {name} {'long' if digest else 'binary'}")
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -256,16 +278,16 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, sequences, shard.batch):
                     ids, mask = zip(*(shard.sequence(i) for i in range(at, min(sequences, at + shard.batch))), strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([number] * len(ids), pa.int32()), pa.array(range(at, at + len(ids)), pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([x.astype(np.int8) for x in mask], pa.list_(pa.int8()))],
+                        [pa.array([number] * len(ids), pa.int32()), pa.array(range(at, at + len(ids)), pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([x.to_pylist() for x in mask], pa.list_(pa.bool_()))],
                         ["shard", "sequence", "ids", "mask"],
                     )
                 shard.close()
 
-    return _by_shard(spark, path, "number", "sequences").mapInArrow(work, "shard int, sequence long, ids array<int>, mask array<tinyint>")
+    return _by_shard(spark, path, "number", "sequences").mapInArrow(work, "shard int, sequence long, ids array<int>, mask array<boolean>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op12: the ids of all documents, written and read back."""
     path = new_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizer("word_bpe_49k.json"))
-    return read_documents(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_documents(spark, path, digest=True).withColumnRenamed("id", "doc_id")
