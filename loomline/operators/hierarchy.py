@@ -1,7 +1,7 @@
 """The tree of lines: paths, ancestors, depth-first order, cycles and what may be moved where.
 
-All is derived from one upward walk, ``ancestry``: a recursive query with a guard against cycles. A line whose parent id is not in
-the table is an orphan; an empty parent id means none, except where said.
+Ways up are walked by pointer doubling (``doubling``); what needs no list of ancestors, such as depths and whether a line is below another, comes from sums and from
+the intervals of ``intervals``. A line whose parent id is not in the table is an orphan; an empty parent id means none, except where said. Ids are unique and not null.
 """
 
 from __future__ import annotations
@@ -11,49 +11,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.model import MAIN_LINE
-from loomline.operators.ordered import need_checkpoints
-
-WALK = """
-WITH RECURSIVE up (id, next_id, chain) AS (
-    SELECT id, nullif(parent_line_id, ''), CAST(array() AS ARRAY<STRUCT<id: STRING, name: STRING, rank: STRING>>) FROM {lines}
-    UNION ALL
-    SELECT up.id, nullif(l.parent_line_id, ''), array_prepend(up.chain, named_struct('id', l.id, 'name', l.name, 'rank', l._rank))
-    FROM up JOIN {lines} l ON l.id = up.next_id
-    WHERE l.id <> up.id AND NOT exists(up.chain, c -> c.id = l.id)
-)
-SELECT id, max_by(struct(chain, next_id), size(chain)) AS walked FROM up GROUP BY id
-"""
+from loomline.operators import doubling
+from loomline.operators.stored import all_of, own_name
 
 
-def _walk(lines: DataFrame, levels: int) -> DataFrame:
-    """Every look at a level joins the lines again: they are narrow and kept in the checkpoint folder, so that what made them is not run for each level."""
-    spark = lines.sparkSession
-    need_checkpoints(spark)
-    lines = lines.checkpoint()
-    limits = {"spark.sql.cteRecursionLevelLimit": str(levels), "spark.sql.cteRecursionRowLimit": "-1"}  # as many rows as there are lines and levels
-    before = {k: spark.conf.get(k, None) for k in limits}
-    try:
-        for k, v in limits.items():
-            spark.conf.set(k, v)
-        return spark.sql(WALK, lines=lines).checkpoint()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def next_line() -> Column:
+    """The parent's id, null for none."""
+    return F.nullif(F.col("parent_line_id"), F.lit(""))
 
 
-def ancestry(lines: DataFrame, levels: int = 1000) -> DataFrame:
+def ancestry(lines: DataFrame) -> DataFrame:
     """lines with chain (ancestors that exist, root first, without the line itself), depth, and how the walk ended.
 
     ended: "root", "orphan" (missing_id is the parent that is not there) or "cycle" (the next parent was met already). A line that
-    leads into a cycle counts as ended by it. Trees deeper than ``levels`` raise an error.
+    leads into a cycle counts as ended by it. Chains are as long as the lines are deep; see depths for what needs none.
     """
-    ranked = lines if "_rank" in lines.columns else lines.withColumn("_rank", F.lit(None).cast("string"))
-    walked = _walk(ranked.select("id", "name", "parent_line_id", "_rank"), levels)
-    chain, rest = F.col("walked.chain"), F.col("walked.next_id")
-    met = (rest == F.col("id")) | F.exists(chain, lambda c: c["id"] == rest)
-    ended = F.when(rest.isNull(), "root").when(met, "cycle").otherwise("orphan")
-    found = walked.select("id", chain.alias("chain"), F.size(chain).alias("depth"), ended.alias("ended"), F.when(ended == "orphan", rest).alias("missing_id"))
-    return lines.join(found, "id")
+    rank = F.col("_rank") if "_rank" in lines.columns else F.lit(None).cast("string")
+    found = doubling.chains(lines.select("id", next_line().alias("next"), "name", rank.alias("rank")), ["name", "rank"])
+    return lines.join(found.select("id", "chain", F.size("chain").alias("depth"), "ended", "missing_id"), "id")
+
+
+def depths(lines: DataFrame) -> DataFrame:
+    """(id, depth, root_id, ended, missing_id) without chains; root_id is the last ancestor that exists, or the line itself. Of lines that ended in a cycle depth and root_id are null."""
+    found = doubling.totals(lines.select("id", next_line().alias("next"), F.lit(1).alias("one")), {"levels": "one"}, {})
+    whole = F.col("ended") != "cycle"
+    return found.select("id", F.when(whole, F.col("levels") - 1).cast("int").alias("depth"), F.when(whole, F.col("top")).alias("root_id"), "ended", "missing_id")
 
 
 def paths(lines: DataFrame, joiner: str = " -> ", orphans: str = "drop") -> DataFrame:
@@ -127,10 +109,20 @@ def cycles(lines: DataFrame) -> DataFrame:
 
 
 def would_cycle(lines: DataFrame, moves: DataFrame) -> DataFrame:
-    """moves (source, target) with circular: whether the source is the target, is above it, or the target is in a cycle already."""
-    above = ancestry(lines).select(F.col("id").alias("target"), F.transform("chain", lambda c: c["id"]).alias("_above"), (F.col("ended") == "cycle").alias("_loops"))
-    circular = (F.col("source") == F.col("target")) | F.coalesce(F.array_contains("_above", F.col("source")), F.lit(False)) | F.coalesce("_loops", F.lit(False))
-    return moves.join(above, "target", "left").select(*moves.columns, circular.alias("circular"))
+    """moves (source, target) with circular: whether the source is the target, is above it, or the target is in a cycle already or leads into one.
+
+    A source is above a target if its interval has the target's number. Within a cycle there are no numbers: every target there is circular whatever the source.
+    """
+    from loomline.operators.intervals import number
+
+    places = number(lines)
+    first, at, second, start, stop, known = (own_name(moves, n) for n in ("_target", "_at", "_source", "_from", "_to", "_known"))
+    target = lines.select(F.col("id").alias(first)).join(places.select(F.col("id").alias(first), F.col("entry").alias(at), F.lit(True).alias(known)), first, "left")
+    source = places.select(F.col("id").alias(second), F.col("entry").alias(start), F.col("exit").alias(stop))
+    held = moves.join(target, F.col("target") == F.col(first), "left").join(source, F.col("source") == F.col(second), "left")
+    above = F.coalesce(F.col(at).between(F.col(start), F.col(stop)), F.lit(False))
+    loops = F.col(first).isNotNull() & F.col(known).isNull()
+    return held.select(*all_of(moves), (F.coalesce(F.col("source") == F.col("target"), F.lit(False)) | above | loops).alias("circular"))
 
 
 def connections(lines: DataFrame, moves: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def last_messages(messages: DataFrame) -> DataFrame:
 
 def statistics(messages: DataFrame, lines: DataFrame) -> DataFrame:
     """One row: total_lines, total_messages, total_branches, max_depth, avg_messages_per_line (0 without lines)."""
-    depths = hierarchy.tree(lines).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+    depths = hierarchy.depths(lines).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
     of_lines = lines.agg(F.count("*").alias("total_lines"), F.count_if(F.col("parent_line_id").isNotNull() & (F.col("parent_line_id") != "")).alias("total_branches"))
     joined = of_lines.crossJoin(messages.agg(F.count("*").alias("total_messages"))).crossJoin(depths)  # one row each
     average = F.coalesce(F.try_divide(F.col("total_messages").cast("double"), F.col("total_lines").cast("double")), F.lit(0.0))
@@ -43,7 +43,7 @@ def statistics(messages: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def by_depth(lines: DataFrame) -> DataFrame:
-    return hierarchy.tree(lines).groupBy("depth").agg(F.count("*").alias("lines"))
+    return hierarchy.depths(lines).filter("depth IS NOT NULL").groupBy("depth").agg(F.count("*").alias("lines"))
 
 
 def recent(lines: DataFrame, current: str | None = None, count: int = 30) -> DataFrame:

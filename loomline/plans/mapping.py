@@ -1,7 +1,7 @@
 """The data model over the test tables: views in SQL that Spark and DuckDB both read, but for how they write times.
 
 lines: region, nation and customer as a tree of three levels; messages: events, on the line of their user; tasks: orders; tagged: parts
-as lines whose tags are the words of their names, in groups by brand; notes: documents; talk: conversations.
+as lines whose tags are the words of their names, in groups by brand; threads: orders as lines in twenty deep chains; notes: documents; talk: conversations.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ VIEWS = {
     "tagged": (["part"], "SELECT 'P' || p_partkey AS id, p_name AS name, {words[p_name]} AS tag_ids FROM part"),
     "tags": (["part"], "SELECT id, id AS name, CAST(NULL AS STRING) AS color, CASE WHEN length(id) % 3 = 0 THEN CAST(NULL AS STRING) ELSE min(p_brand) END AS group_id FROM (SELECT {each}({words[p_name]}) AS id, p_brand FROM part) AS w GROUP BY id"),
     "tag_groups": (["part"], """SELECT DISTINCT p_brand AS id, 'group ' || p_brand AS name, CAST(substr(p_brand, 7) AS INT) AS "order", CAST(NULL AS STRING) AS color FROM part"""),
+    "threads": (["orders"], "SELECT 'O' || o_orderkey AS id, 'order ' || o_orderkey AS name, 'O' || lag(o_orderkey) OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS parent_line_id, o_orderdate AS created_at, {none} AS updated_at FROM orders"),
     "notes": (["documents"], "SELECT 'D' || doc_id AS id, text AS content, source AS line_id, lang AS author FROM documents"),
     "talk": (["conversations"], "SELECT 'V' || conv_id || '-' || turn AS id, 'V' || conv_id AS line_id, role AS author, text AS content, {minutes[conv_id * 3 + turn * 11]} AS timestamp FROM conversations"),
 }
