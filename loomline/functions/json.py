@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,33 @@ def value(metadata: Column, key: str) -> Column:
     return F.get_json_object(metadata, f"$.{key}")
 
 
+def parsed(metadata: Column) -> Column:
+    """The object as VARIANT, so that any number of keys costs one parse; null for what is no JSON, or has a key twice."""
+    return F.try_parse_json(metadata)
+
+
+def field(variant: Column, key: str, kind: str = "string") -> Column:
+    """A top-level value of a parsed object; null if it is missing, null or not of the kind. As text, values are as in JSON, texts without their quotes."""
+    return F.try_variant_get(variant, f"$['{key}']", kind)
+
+
+def entries(df: DataFrame, metadata: str) -> DataFrame:
+    """df with a row for each entry of an object, its key and its value as text (null for null); rows whose metadata is no object have none."""
+    held = df.withColumn("_parsed", parsed(F.col(f"`{metadata}`")))
+    each = held.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_parsed").outer()))
+    return each.filter(F.col("key").isNotNull()).withColumn("value", F.col("value").try_cast("string")).drop("_parsed", "pos")
+
+
+def kept_values(variant: Column, keys: list[str]) -> Column:
+    """An object with these keys only, their values as they were: numbers stay numbers. Null if it has none of them; null values are left out."""
+    value = lambda k: F.try_variant_get(variant, f"$['{k}']", "variant")
+    there = [value(k).isNotNull() & ~F.is_variant_null(value(k)) for k in keys]
+    some = there[0]
+    for t in there[1:]:
+        some = some | t
+    return F.when(some, F.to_json(F.struct(*[F.when(t, value(k)).alias(k) for k, t in zip(keys, there, strict=True)])))
+
+
 def metadata_text(metadata: Column) -> Column:
     """"k: v" of all entries in key order, joined by commas; null for none. Null values are left out."""
     entries = F.array_sort(F.map_entries(F.from_json(metadata, "map<string,string>")))

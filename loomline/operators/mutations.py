@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomline.functions import json
 from loomline.model import MAIN_LINE, Snapshot
 from loomline.operators import hierarchy
+from loomline.operators.stored import all_of, own_name
 
 
 def create(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -15,23 +16,31 @@ def create(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True).select(*table.columns)
 
 
-def update(table: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:
+def update(table: DataFrame, changes: DataFrame, now: Column | None = None, order: str | None = None) -> DataFrame:
     """changes: id, and for each column c to be changed the new c and a boolean set_c; where it is false or null the old value stays, so null can be set.
 
-    updated_at of changed rows becomes now where there is such a column, whatever the changes say.
+    Of several changes of one id the last counts, by the column ``order`` of changes if it is given, else by a hash of the change; the others are left out whole, and no row is doubled. updated_at of changed rows
+    becomes now where there is such a column, whatever the changes say.
     """
     columns = [c for c in changes.columns if c != "id" and f"set_{c}" in changes.columns]
-    patch = changes.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns], *[F.coalesce(f"set_{c}", F.lit(False)).alias(f"_set_{c}") for c in columns])
-    out = table.join(patch, "id", "left").withColumns({c: F.when(F.col(f"_set_{c}"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns})
+    key, patch = own_name(table, "_of"), own_name(table, "_patch")
+    fields = [F.col(f"`{c}`").alias(f"new{n}") for n, c in enumerate(columns)] + [F.coalesce(F.col(f"`set_{c}`"), F.lit(False)).alias(f"set{n}") for n, c in enumerate(columns)]
+    place = F.struct(*([F.col(f"`{order}`")] if order else []), F.xxhash64(*all_of(changes)))
+    once = changes.groupBy(F.col("id").alias(key)).agg(F.max_by(F.struct(*fields, F.lit(True).alias("hit")), place).alias(patch))
+    p = F.col(patch)
+    out = table.join(once, F.col("id") == F.col(key), "left")
+    values = {c: F.when(p[f"set{n}"], p[f"new{n}"]).otherwise(F.col(f"`{c}`")) for n, c in enumerate(columns)}
     if now is not None and "updated_at" in table.columns:
-        out = out.withColumn("updated_at", F.when(F.col("_hit"), now).otherwise(F.col("updated_at")))
-    return out.select(*table.columns)
+        values["updated_at"] = F.when(p["hit"], now).otherwise(F.col("updated_at"))
+    return out.select(*[values[c].alias(c) if c in values else x for c, x in zip(table.columns, all_of(table), strict=True)])
 
 
 def touch(table: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """updated_at of the rows with these ids."""
-    hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
-    return table.join(hit, "id", "left").withColumn("updated_at", F.when(F.col("_hit"), now).otherwise(F.col("updated_at"))).select(*table.columns)
+    key = own_name(table, "_of")
+    hit = ids.select(F.col("id").alias(key)).distinct()
+    changed = F.when(F.col(key).isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at")
+    return table.join(hit, F.col("id") == F.col(key), "left").select(*[changed if c == "updated_at" else x for c, x in zip(table.columns, all_of(table), strict=True)])
 
 
 def delete(table: DataFrame, ids: DataFrame) -> DataFrame:
@@ -74,11 +83,19 @@ def reorder_groups(groups: DataFrame, ordered_ids: list[str]) -> DataFrame:
 
 def move_messages(snapshot: Snapshot, ids: DataFrame, target: str, now: Column) -> Snapshot:
     """Messages to another line; the lines that they leave and the target count as changed. Messages already there stay as they are."""
-    hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
-    held = snapshot.messages.join(hit, "id", "left").withColumn("_moves", F.coalesce("_hit", F.lit(False)) & (F.col("line_id") != target))
-    touched = held.filter("_moves").select(F.explode(F.array("line_id", F.lit(target))).alias("id")).distinct()
-    moved = held.withColumn("line_id", F.when(F.col("_moves"), F.lit(target)).otherwise(F.col("line_id"))).withColumn("updated_at", F.when(F.col("_moves"), now).otherwise(F.col("updated_at")))
-    return snapshot.with_(messages=moved.select(*snapshot.messages.columns), lines=touch(snapshot.lines, touched, now))
+    return _moved(snapshot, ids.select("id").distinct().withColumn("line_id", F.lit(target)), now)
+
+
+def _moved(snapshot: Snapshot, places: DataFrame, now: Column) -> Snapshot:
+    """Messages to lines by places (id, line_id; an id once); both lines of each that moves count as changed."""
+    messages = snapshot.messages
+    key, to = own_name(messages, "_of"), own_name(messages, "_to")
+    held = messages.join(places.select(F.col("id").alias(key), F.col("line_id").alias(to)), F.col("id") == F.col(key), "left")
+    moves = F.coalesce(F.col(to) != F.col("line_id"), F.lit(False))
+    touched = held.filter(moves).select(F.explode(F.array("line_id", to)).alias("id")).distinct()
+    values = {"line_id": F.when(moves, F.col(to)).otherwise(F.col("line_id")), "updated_at": F.when(moves, now).otherwise(F.col("updated_at"))}
+    moved = held.select(*[values[c].alias(c) if c in values else x for c, x in zip(messages.columns, all_of(messages), strict=True)])
+    return snapshot.with_(messages=moved, lines=touch(snapshot.lines, touched, now))
 
 
 def affected_lines(messages: DataFrame, ids: DataFrame, target: str) -> DataFrame:
@@ -118,9 +135,5 @@ def create_message_with_line_update(snapshot: Snapshot, rows: DataFrame, now: Co
 
 
 def undo_move(snapshot: Snapshot, before: DataFrame, now: Column) -> Snapshot:
-    """Messages back to the lines that they have in ``before`` (id, line_id); both lines of each count as changed."""
-    back = before.select("id", F.col("line_id").alias("_back"))
-    held = snapshot.messages.join(back, "id", "left").withColumn("_moves", F.col("_back").isNotNull() & (F.col("_back") != F.col("line_id")))
-    touched = held.filter("_moves").select(F.explode(F.array("line_id", "_back")).alias("id")).distinct()
-    moved = held.withColumn("line_id", F.when(F.col("_moves"), F.col("_back")).otherwise(F.col("line_id"))).withColumn("updated_at", F.when(F.col("_moves"), now).otherwise(F.col("updated_at")))
-    return snapshot.with_(messages=moved.select(*snapshot.messages.columns), lines=touch(snapshot.lines, touched, now))
+    """Messages back to the lines that they have in ``before`` (id, line_id); both lines of each count as changed. Of several lines for an id the first by name counts."""
+    return _moved(snapshot, before.groupBy("id").agg(F.min("line_id").alias("line_id")), now)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import dates, json, text
 from loomline.model import PRIORITY_RANK
+from loomline.operators import ordered
 
 SORT_KEYS = ("content", "completed", "priority", "line_name", "created_at", "updated_at", "completed_at")
 
@@ -23,13 +24,14 @@ def rows(messages: DataFrame, lines: DataFrame) -> DataFrame:
 
     Unknown and missing priorities are medium, a line without a name is called by its id.
     """
-    tasks = messages.filter((F.col("type") == "task") & ~F.coalesce(F.col("deleted"), F.lit(False)))
+    tasks = messages.filter((F.col("type") == "task") & ~F.coalesce(F.col("deleted"), F.lit(False))).withColumn("_fields", json.parsed(F.col("metadata")))
     named = tasks.join(lines.select(F.col("id").alias("line_id"), F.col("name").alias("_name")), "line_id", "left")
-    priority = json.value(F.col("metadata"), "priority")
+    field = lambda key: json.field(F.col("_fields"), key)
+    priority, completed = field("priority"), F.coalesce(field("completed") == "true", F.lit(False))
     kind = dict(messages.dtypes)["timestamp"]
     return named.select(
-        "id", "content", json.is_completed(F.col("metadata")).alias("completed"), F.when(priority.isin(*PRIORITY_RANK), priority).otherwise("medium").alias("priority"), "line_id",
-        F.coalesce("_name", "line_id").alias("line_name"), F.col("timestamp").alias("created_at"), "updated_at", json.value(F.col("metadata"), "completedAt").try_cast(kind).alias("completed_at"),
+        "id", "content", completed.alias("completed"), F.when(priority.isin(*PRIORITY_RANK), priority).otherwise("medium").alias("priority"), "line_id",
+        F.coalesce("_name", "line_id").alias("line_name"), F.col("timestamp").alias("created_at"), "updated_at", field("completedAt").try_cast(kind).alias("completed_at"),
     )
 
 
@@ -65,6 +67,14 @@ def sorted_(tasks: DataFrame, key: str, descending: bool = False, collation: str
     return tasks.orderBy(*sort_columns(key, descending, collation))
 
 
+def with_position(tasks: DataFrame, key: str, descending: bool = False, collation: str | None = "ja", name: str = "position") -> DataFrame:
+    """tasks with their place, from 1, in the order by a key: a number to sort and page by afterwards, without the collation.
+
+    The place is worked out in sorted ranges, so a large table is no single task's.
+    """
+    return ordered.with_position(tasks, sort_columns(key, descending, collation), name)
+
+
 def counts_by_priority(tasks: DataFrame) -> DataFrame:
     """(priority, tasks) for each of the priorities, 0 where there are none."""
     spark: SparkSession = tasks.sparkSession

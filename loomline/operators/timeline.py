@@ -111,6 +111,15 @@ def display_groups(timeline: DataFrame, minutes: int = 10, bucket: str = "day")
     return with_running_sum(held, F.when(joins, 0).otherwise(1), "group", "timestamp", "id", bucket=bucket).drop("prev_timestamp", "prev_line_id")
 
 
+def groups_of_lines(timeline: DataFrame, minutes: int = 10, bucket: str = "day") -> DataFrame:
+    """(line_id, start, end, messages, first_id) of the display groups that each line has by itself: less than ``minutes`` from each message to the next."""
+    held = with_previous(timeline.select("id", "line_id", "timestamp"), "timestamp", "id", ["timestamp"], ["line_id"], bucket)
+    joins = F.coalesce(dates.seconds_between(F.col("prev_timestamp"), F.col("timestamp")) < minutes * 60, F.lit(False))
+    grouped = with_running_sum(held, F.when(joins, 0).otherwise(1), "group", "timestamp", "id", ["line_id"], bucket)
+    first = F.min_by("id", F.struct("timestamp", "id"))
+    return grouped.groupBy("line_id", "group").agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.count("*").alias("messages"), first.alias("first_id")).drop("group")
+
+
 def date_separators(timeline: DataFrame, bucket: str = "day") -> DataFrame:
     """The first message of each day shown, with the day."""
     held = with_previous(timeline.select("id", "timestamp"), "timestamp", "id", ["timestamp"], bucket=bucket)
@@ -149,6 +158,14 @@ def copied_document(timeline: DataFrame, heading: Column) -> DataFrame:
     return rows.groupBy("line_id").agg(F.concat(F.lit("## "), heading, F.lit("\n"), F.array_join(texts, "\n")).alias("document"))
 
 
+def copied_chunks(timeline: DataFrame, heading: Column, size: int = 10_000, bucket: str = "day") -> DataFrame:
+    """(line_id, chunk, document): the document of a line in pieces of so many rows, numbered from 0, which joined by line breaks are copied_document's. No row is as large as a whole line."""
+    rows = with_running_sum(copied_rows(timeline), F.lit(1), "_nth", "timestamp", "id", ["line_id"], bucket)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "id", "row"))), lambda r: r["row"])
+    made = rows.withColumn("chunk", F.floor((F.col("_nth") - 1) / size).cast("long")).groupBy("line_id", "chunk").agg(F.array_join(texts, "\n").alias("rows"))
+    return made.select("line_id", "chunk", F.concat(F.when(F.col("chunk") == 0, F.concat(F.lit("## "), heading, F.lit("\n"))).otherwise(""), "rows").alias("document"))
+
+
 def line_flags(timeline: DataFrame, lines: DataFrame, current: str, bucket: str = "day") -> DataFrame:
     """(id, line_id, line_name, starts_line, on_current_line): whether a message is the first of a stretch of its line, and whether that is the current one."""
     held = with_previous(timeline.select("id", "timestamp", "line_id"), "timestamp", "id", ["line_id"], bucket=bucket)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from loomline.functions import dates, json, text
 from loomline.model import ALL_LINES, Snapshot
-from loomline.operators import hierarchy, integrity, lines, mutations, ordered, sessions, sync, tags, tasks, timeline
+from loomline.operators import hierarchy, integrity, lines, mutations, ordered, sessions, sync, tag_trees, tags, tasks, timeline
+from loomline.operators.stored import new_path
 from loomline.plans.mapping import duckdb, view
 from loomline.plans.registry import register
 from loomline.sources import csv, snapshots
@@ -37,7 +36,7 @@ def whole(spark, d) -> Snapshot:
 
 
 def folder(spark, label: str) -> str:
-    return f"{ordered.need_checkpoints(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return new_path(spark, label)
 
 
 # exchange
@@ -113,11 +112,15 @@ def epoch_pairs(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", as_text(snapshots.epoch_pair(pair, F.lit(NOW).cast("timestamp"))).alias("at"))
 
 
-@register("catalog_tables", "SELECT 'loomline_lines' AS name UNION ALL SELECT 'loomline_messages'")
+@register("catalog_tables", duckdb("lines", "messages") + " SELECT 'loomline_lines' AS name, count(*) AS rows FROM lines UNION ALL SELECT 'loomline_messages', count(*) FROM messages")
 def catalog_tables(spark, d):
+    out = None
     for name in ("lines", "messages"):
         view(spark, d, name).createOrReplaceTempView(f"loomline_{name}")
-    return spark.createDataFrame([(x,) for x in snapshots.tables_in(spark) if x.startswith("loomline_")], "name string")
+    for name in (x for x in snapshots.tables_in(spark) if x in ("loomline_lines", "loomline_messages")):
+        row = spark.table(name).agg(F.lit(name).alias("name"), F.count("*").alias("rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @register("pulled_messages", duckdb("messages") + " SELECT id, CASE WHEN updated_at >= TIMESTAMP '2024-01-20' THEN 'new ' ELSE '' END || content AS content FROM messages WHERE NOT coalesce(deleted, false) AND (updated_at >= TIMESTAMP '2024-01-20' OR timestamp <= TIMESTAMP '2024-01-25')")
@@ -216,6 +219,13 @@ def copied_documents(spark, d):
     return timeline.copied_document(rows, F.concat(F.lit("of "), F.col("line_id")))
 
 
+@register("copied_chunks", duckdb("talk") + """, r AS (SELECT line_id, timestamp, id, '* ' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || ', "' || replace(replace(CASE WHEN length(content) > 200 THEN left(content, 100) || '...' ELSE content END, chr(10), '\\n'), '"', '""') || '", text' AS shown,
+    (row_number() OVER (PARTITION BY line_id ORDER BY timestamp, id) - 1) // 2 AS chunk FROM talk WHERE length(content) > 0) SELECT line_id, chunk, CASE WHEN chunk = 0 THEN '## of ' || line_id || chr(10) ELSE '' END || string_agg(shown, chr(10) ORDER BY timestamp, id) AS document FROM r GROUP BY line_id, chunk""")
+def copied_chunks(spark, d):
+    rows = view(spark, d, "talk").withColumns({"type": F.lit(None).cast("string"), "metadata": F.lit(None).cast("string")})
+    return timeline.copied_chunks(rows, F.concat(F.lit("of "), F.col("line_id")), 2)
+
+
 @register("tag_filter", duckdb("tagged") + " SELECT id FROM tagged WHERE len(list_filter(tag_ids, lambda x: contains(lower(x), 'ma'))) > 0")
 def tag_filter(spark, d):
     return view(spark, d, "tagged").withColumn("tags", F.col("tag_ids")).filter(timeline.has_tag("MA")).select("id")
@@ -373,3 +383,96 @@ def times_spent(spark, d):
     moment = lambda t: F.lit(f"2024-02-10 {t}").cast("timestamp")
     changed = dates.new_time_spent(spent, moment("10:00:00"), moment("10:35:00"), moment("09:00:00"), moment("09:20:00"))
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", totals["working"].alias("working"), totals["total"].cast("long").alias("total"), totals["last"].alias("last"), totals["has_previous"].alias("has_previous"), tasks.time_spent(m, at).cast("long").alias("spent"), changed.cast("long").alias("changed"))
+
+
+# parsed metadata
+
+_FIELDS = """, f AS (SELECT id, metadata, unnest(json_keys(metadata)) AS key FROM messages WHERE metadata IS NOT NULL)"""
+
+
+@register("metadata_entries", duckdb("messages") + _FIELDS + " SELECT id, key, json_extract_string(metadata, '$.' || key) AS value FROM f")
+def metadata_entries(spark, d):
+    return json.entries(view(spark, d, "messages").select("id", "metadata"), "metadata").select("id", "key", "value")
+
+
+@register("metadata_fields", duckdb("messages") + " SELECT id, json_extract_string(metadata, '$.priority') AS priority, json_extract_string(metadata, '$.completed') AS completed, TRY_CAST(json_extract_string(metadata, '$.timeSpent') AS INT) AS spent, CASE WHEN json_type(metadata, '$.completed') = 'BOOLEAN' THEN CAST(json_extract_string(metadata, '$.completed') AS BOOLEAN) END AS done FROM messages")
+def metadata_fields(spark, d):
+    m = view(spark, d, "messages").select("id", json.parsed(F.col("metadata")).alias("v"))
+    v = F.col("v")
+    done = F.when(F.schema_of_variant(json.field(v, "completed", "variant")) == "BOOLEAN", json.field(v, "completed", "boolean"))
+    return m.select("id", json.field(v, "priority").alias("priority"), json.field(v, "completed").alias("completed"), json.field(v, "timeSpent", "int").alias("spent"), done.alias("done"))
+
+
+@register("kept_values", duckdb("messages") + """ SELECT id, CASE WHEN priority IS NOT NULL OR spent IS NOT NULL THEN '{' || concat_ws(',', '"priority":"' || priority || '"', '"timeSpent":' || spent) || '}' END AS kept FROM (SELECT id, json_extract_string(metadata, '$.priority') AS priority, json_extract_string(metadata, '$.timeSpent') AS spent FROM messages)""")
+def kept_values(spark, d):
+    return view(spark, d, "messages").select("id", json.kept_values(json.parsed(F.col("metadata")), ["priority", "timeSpent"]).alias("kept"))
+
+
+# orders of tasks
+
+_JA = duckdb("orders_as_tasks", "lines") + """, t AS (SELECT m.id, m.content, coalesce(l.name, m.line_id) AS line_name, CASE WHEN m.metadata LIKE '%"completed":true%' THEN m.timestamp + to_days((substr(m.id, 2)::BIGINT % 7)::INT) END AS completed_at FROM orders_as_tasks m LEFT JOIN lines l ON l.id = m.line_id)"""
+#: Texts of three scripts in front of contents, so that the collation has something to tell.
+_SCRIPTS = ("あ", "ア", "い", "亜", "日", "a", "A", "b", "1", "が", "か")
+
+
+def _completed(spark, d):
+    m = view(spark, d, "orders_as_tasks")
+    days = (F.substring("id", 2, 20).cast("long") % 7).cast("int")
+    at = F.date_format(F.timestamp_add("DAY", days, F.col("timestamp")), "yyyy-MM-dd'T'HH:mm:ss")
+    done = json.is_completed(F.col("metadata"))
+    return m.withColumn("metadata", F.when(done, F.concat(F.lit('{"completed":true,"completedAt":"'), at, F.lit('"}'))).otherwise(F.lit('{"completed":false}')))
+
+
+@register("task_sorted_completed_at", _JA + " SELECT id, row_number() OVER (ORDER BY completed_at DESC NULLS LAST, id) AS position FROM t")
+def task_sorted_completed_at(spark, d):
+    return tasks.with_position(tasks.rows(_completed(spark, d), view(spark, d, "lines")), "completed_at", descending=True).select("id", "position")
+
+
+@register("task_sorted_ja", _JA + f", s AS (SELECT id, {list(_SCRIPTS)!r}[1 + substr(id, 2)::BIGINT % {len(_SCRIPTS)}] || content AS content FROM t) SELECT id, row_number() OVER (ORDER BY content COLLATE ja, id) AS position FROM s")
+def task_sorted_ja(spark, d):
+    script = F.element_at(F.array(*[F.lit(x) for x in _SCRIPTS]), (1 + F.substring("id", 2, 20).cast("long") % len(_SCRIPTS)).cast("int"))
+    rows = tasks.rows(view(spark, d, "orders_as_tasks"), view(spark, d, "lines")).withColumn("content", F.concat(script, "content"))
+    return tasks.with_position(rows, "content").select("id", "position")
+
+
+@register("task_sorted_ja_lines", _JA + " SELECT id, row_number() OVER (ORDER BY line_name COLLATE ja DESC, id) AS position FROM t")
+def task_sorted_ja_lines(spark, d):
+    return tasks.with_position(tasks.rows(view(spark, d, "orders_as_tasks"), view(spark, d, "lines")), "line_name", descending=True).select("id", "position")
+
+
+# nested tags
+
+_TREES = """WITH top AS (SELECT DISTINCT 'R' || r_regionkey AS tree, 'N' || n_nationkey AS id, n_name AS name FROM region JOIN nation ON n_regionkey = r_regionkey),
+    low AS (SELECT DISTINCT 'R' || n_regionkey AS tree, 'N' || c_nationkey AS parent, c_mktsegment AS id, lower(c_mktsegment) AS name FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+def _trees(spark, d):
+    """A row for each region: its nations as tags, below them the segments of their customers."""
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    low = read("customer").select(F.concat(F.lit("N"), "c_nationkey").alias("id"), F.struct(F.col("c_mktsegment").alias("id"), F.lower("c_mktsegment").alias("name")).alias("tag")).groupBy("id").agg(F.array_sort(F.collect_set("tag")).alias("subtags"))
+    top = read("nation").select(F.concat(F.lit("R"), "n_regionkey").alias("tree"), F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_name").alias("name")).join(low, "id", "left")
+    return top.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("id", "name", "subtags"))).alias("tags"))
+
+
+def _tag(i, name, *below):
+    tags = [F.struct(F.lit(a).alias("id"), F.lit(b).alias("name")) for a, b in below]
+    return F.struct(F.lit(i).alias("id"), F.lit(name).alias("name"), *([F.array(*tags).alias("subtags")] if tags else []))
+
+
+@register("tag_tree_updated", _TREES + """ SELECT tree, id AS path, id, CASE id WHEN 'N3' THEN 'three' ELSE name END AS name FROM top
+    UNION ALL SELECT tree, parent || '/' || id, id, CASE id WHEN 'BUILDING' THEN 'changed' ELSE name END FROM low WHERE parent <> 'N3' UNION ALL SELECT tree, 'N3/x', 'x', 'an x' FROM top WHERE id = 'N3'""")
+def tag_tree_updated(spark, d):
+    changed = tag_trees.update(_trees(spark, d), "tags", _tag("BUILDING", "changed"))
+    return tag_trees.flattened(tag_trees.update(changed, "tags", _tag("N3", "three", ("x", "an x"))), "tags", ["tree"])
+
+
+@register("tag_tree_deleted", _TREES + " SELECT tree, id AS path, id, name FROM top WHERE id <> 'N5' UNION ALL SELECT tree, parent || '/' || id, id, name FROM low WHERE parent <> 'N5' AND id <> 'MACHINERY'")
+def tag_tree_deleted(spark, d):
+    return tag_trees.flattened(tag_trees.delete(tag_trees.delete(_trees(spark, d), "tags", "N5"), "tags", "MACHINERY"), "tags", ["tree"])
+
+
+@register("tag_tree_added", _TREES + """ SELECT tree, id AS path, id, name FROM top UNION ALL SELECT tree, parent || '/' || id, id, name FROM low UNION ALL SELECT tree, 'N7/new', 'new', 'a new one' FROM top WHERE id = 'N7'
+    UNION ALL SELECT DISTINCT tree, 'last', 'last', 'at the end' FROM top""")
+def tag_tree_added(spark, d):
+    more = tag_trees.add_below(tag_trees.add(_trees(spark, d), "tags", _tag("last", "at the end")), "tags", F.lit("N7"), _tag("new", "a new one"))
+    return tag_trees.flattened(more, "tags", ["tree"])

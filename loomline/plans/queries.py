@@ -667,4 +667,4 @@ def integrity_report(spark, d):
     return integrity.report(view(spark, d, "messages"), view(spark, d, "lines"))
 
 
-from loomline.plans import more_queries  # noqa: E402, F401  the rest, which use what is above
+from loomline.plans import more_queries, tree_queries, kept_queries  # noqa: E402, F401, I001  the rest, which use what is above

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from loomline.model import LINES, MESSAGES, TAG_GROUPS, TAGS, Snapshot
 from loomline.operators.sync import insert_if_absent
+from loomline.sources import csv_records
 
 #: Columns of each file; images are not exported.
 COLUMNS = {
@@ -59,9 +60,8 @@ def summary(snapshot: Snapshot) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All columns as texts; quoted line breaks and doubled quotes are understood, blank lines and rows of another width are dropped."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "DROPMALFORMED").option("enforceSchema", True).csv(path)
+    """All columns as texts; quoted line breaks and doubled quotes are understood, blank lines and rows of another width are dropped. Files are read in blocks, by many tasks each."""
+    return csv_records.rows(spark, path, columns)
 
 
 def from_text(column: Column, kind: T.DataType) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.model import LINES, MESSAGES, TAG_GROUPS, TAGS, Snapshot
+from loomline.sources import published
 
 _MESSAGE = "struct<id:string,content:string,timestamp:string,updatedAt:string,lineId:string,tags:array<string>,hasBookmark:boolean,author:string,images:array<string>,type:string,metadata:string,deleted:boolean,deletedAt:string>"
 _LINE = "struct<id:string,name:string,parent_line_id:string,parentLineId:string,tagIds:array<string>,created_at:string,updated_at:string>"
@@ -42,14 +43,24 @@ def epoch_pair(pair, now):
     return F.coalesce(F.timestamp_micros(pair["_seconds"] * F.lit(1_000_000) + F.floor(pair["_nanoseconds"] / 1000)), now)
 
 
-def save(snapshot: Snapshot, path: str) -> None:
-    """Parquet, a folder per table, replacing what is there."""
+def save(snapshot: Snapshot, path: str, keep: int = 2) -> None:
+    """Parquet, a folder per table, in place of what is there: all four tables are written first and published together by one rename.
+
+    Readers see the tables of one version, before or after, and a snapshot may be made from the one that it replaces. keep: versions that stay for readers that have begun.
+    """
+    spark = snapshot.messages.sparkSession
+    at = published.draft(path)
     for name, table in snapshot.tables().items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        table.write.parquet(f"{at}/{name}")
+    published.publish(spark, at, path, max(published.numbers(spark, path), default=-1) + 1)
+    published.drop_old(spark, path, keep)
 
 
 def load(spark: SparkSession, path: str) -> Snapshot:
-    return Snapshot(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()})
+    """The newest version of a snapshot; a folder with the tables in it is read as it is."""
+    numbers = published.numbers(spark, path)
+    at = published.place(path, numbers[-1]) if numbers else path
+    return Snapshot(**{name: spark.read.schema(schema).parquet(f"{at}/{name}") for name, schema in TABLES.items()})
 
 
 def save_mark(mark: DataFrame, path: str) -> None:

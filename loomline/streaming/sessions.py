@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomline.operators.sync import upsert
+from loomline.sources.parts import PARTS, Parts
 
 
 def session_counts(stream: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
@@ -20,16 +20,15 @@ def session_counts(stream: DataFrame, gap: str = "30 minutes", lateness: str = "
     return counted.select("line_id", F.col("session_window.start").alias("start"), "end", "messages")
 
 
-def keep_snapshot(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Upserts each batch of changed messages into versions of a Parquet table under the path; deleted ones go. Finishes with what is there.
+def keep_snapshot(stream: DataFrame, path: str, checkpoint: str, parts: int = PARTS) -> StreamingQuery:
+    """Merges each batch of changed messages into a table of parts under the path, which Parts(spark, path).read() gives; deleted ones go. Finishes with what is there.
 
-    A batch that is run again writes the same version again, so failures do no harm.
+    A batch rewrites the parts that its ids fall in, and no others; one that is run again is left out, so failures do no harm.
     """
-    spark = stream.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.drop("_corrupt_record")
-        old = spark.read.parquet(f"{path}/version={number - 1}") if number else new.limit(0)
-        upsert(old, new, version="updated_at").filter(~F.coalesce(F.col("deleted"), F.lit(False))).write.mode("overwrite").parquet(f"{path}/version={number}")
+        rows = batch.drop("_corrupt_record")
+        table = Parts(batch.sparkSession, path) if Parts.there(batch.sparkSession, path) else Parts.create(rows.limit(0), path, parts=parts)
+        table.merge(rows, number, gone=F.col("deleted"))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
