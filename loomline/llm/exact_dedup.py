@@ -1,9 +1,9 @@
 """Exact deduplication by a tree merge of sorted digest runs, with DataFrame functions only.
 
-Rows are dealt over runs. A leaf run, merged by sorting, has one entry for each digest: the row that stays so far and the number of
+Rows are dealt over runs, and a run is a partition: the number of a run says which. A leaf run, sorted by digest, has one entry for each digest: the row that stays so far and the number of
 rows. In each round the runs of a group of partners, whose numbers differ in one digit, exchange entries: each partner takes
-those whose digest has its own digit in that place and merges what all of them send, keeping the verified best row of each digest. A digit is two
-binomial steps at once. After as many rounds as a run's number has digits, every digest is in a single run, and no run
+those whose digest has its own digit in that place and merges what all of them send, keeping the verified best row of each digest. A round is one exchange, by the number of the run
+alone. A digit is two binomial steps at once, as four partners are two pairs of pairs. After as many rounds as a run's number has digits, every digest is in a single run, and no run
 has ever had more than its share. The answers go back to the leaf runs and from there to the rows: a digest has one entry in a leaf run, so
 however many rows share a text, no task gets more of them than one leaf run holds.
 """
@@ -41,22 +41,28 @@ def _digit(run: Column, place: int) -> Column:
     return F.pmod(F.floor(run / place), F.lit(FAN_IN))
 
 
+def _merge(entries: DataFrame, runs: int, *values: Column) -> DataFrame:
+    """Each run of entries in the partition of its number, sorted, with one entry for each digest: a merge needs no other exchange than this one."""
+    return entries.repartitionById(runs, F.col("_run").cast("int")).sortWithinPartitions("_run", *KEY).groupBy("_run", *KEY).agg(*values)
+
+
 def merged(rows: DataFrame, keep: str, runs: int | None = None) -> DataFrame:
     """rows, a written table from digest_rows, with _keep, the entry (has, wish, row) that stays, and _size, both null for a text that no other row has."""
     if keep not in ("max", "min"):
         raise ValueError("keep is 'max' or 'min'")
     partitions = runs or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rounds = max(1, math.ceil(math.log(max(2, partitions), FAN_IN) - 1e-9))
-    rows = rows.withColumn("_run", F.pmod(F.xxhash64("_row", "_id"), F.lit(FAN_IN**rounds)).cast("long"))
+    count = FAN_IN**rounds
+    rows = rows.withColumn("_run", F.pmod(F.xxhash64("_row", "_id"), F.lit(count)).cast("int"))
 
     # the largest (preference, row) wins; a null id is less than any other
     wish = F.col("_id") if keep == "max" else -F.col("_id")
     entry = F.struct(F.col("_id").isNotNull().alias("has"), wish.alias("wish"), F.col("_row").alias("row"))
-    leaves = written(rows.groupBy("_run", *KEY).agg(F.max(entry).alias("_best"), F.count("*").alias("_n")), "leaf-runs")
+    leaves = written(_merge(rows, count, F.max(entry).alias("_best"), F.count("*").alias("_n")), "leaf-runs")
     level = leaves
     for place in (FAN_IN**k for k in range(rounds)):
-        partner = F.col("_run") + (_digit(F.pmod("_check", F.lit(FAN_IN**rounds)), place) - _digit(F.col("_run"), place)) * place
-        level = level.withColumn("_run", partner.cast("long")).groupBy("_run", *KEY).agg(F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
+        partner = F.col("_run") + (_digit(F.pmod("_check", F.lit(count)), place) - _digit(F.col("_run"), place)) * place
+        level = _merge(level.withColumn("_run", partner.cast("int")), count, F.max("_best").alias("_best"), F.sum("_n").alias("_n"))
 
     # back only with what occurs more than once: single rows keep themselves
     answers = level.filter("_n > 1").select(*KEY, F.col("_best").alias("_keep"), F.col("_n").alias("_size"))
