@@ -30,15 +30,16 @@ SLICE = 64
 
 TAG_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 COMMENT_END, TAG_STOP = re.compile("--!?>"), re.compile("[>\"']")
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["']""")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # fixed values of HTML: elements whose content is no text, elements without content, elements within a line of text
 NO_TEXT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "head", "title", "textarea", "select", "datalist"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+HEAD = {"html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}  # what a head may have; anything else ends it
+INLINE = {"audio", "canvas", "datalist", "embed", "input", "math", "meter", "object", "optgroup", "option", "output", "param", "picture", "progress", "select", "source", "svg", "track", "video"} | {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"thead", "tr"}, "tfoot": {"tbody", "tr"}}
 SCOPES = {"table", "ul", "ol", "dl", "article", "section", "div", "main", "body", "nav", "aside", "footer", "header", "form"}
 
@@ -55,12 +56,16 @@ KIND_OF_WORD = (
     | dict.fromkeys(("comment", "comments", "commentlist", "disqus", "respond", "replies", "reply", "discussion"), "comment")
     | dict.fromkeys(("article", "articlebody", "entry", "story", "post", "main"), "body")
 )
+#: Words that make a name one of a state or of what something has, not of what it is: "has-sidebar", "comments-open".
+STATES = {"has", "with", "without", "no", "not", "is", "open", "opened", "closed", "enabled", "disabled", "active", "hide", "show"}
+#: Attributes whose words name a part.
+NAMED_BY = ("class", "id", "role", "itemprop", "aria-label")
 BOILER = {"nav", "foot", "side", "form", "notice", "ad", "comment", "hidden"}
 
 # fixed pseudo-counts (content, boilerplate) of the feature values; others start at one each
 PRIOR = {
-    ("kind", "body"): (400, 20), ("kind", "none"): (60, 60), ("kind", "head"): (8, 120), ("kind", "nav"): (1, 400), ("kind", "foot"): (1, 400), ("kind", "side"): (1, 300),
-    ("kind", "form"): (1, 300), ("kind", "notice"): (1, 300), ("kind", "ad"): (1, 300), ("kind", "comment"): (1, 300), ("kind", "hidden"): (1, 300),
+    ("kind", "body"): (400, 20), ("kind", "none"): (60, 60), ("kind", "head"): (2, 400), ("kind", "nav"): (0.2, 400), ("kind", "foot"): (0.2, 400), ("kind", "side"): (0.2, 300),
+    ("kind", "form"): (0.2, 300), ("kind", "notice"): (0.2, 300), ("kind", "ad"): (0.2, 300), ("kind", "comment"): (0.2, 300), ("kind", "hidden"): (0.2, 300),
     ("links", 0): (300, 120), ("links", 1): (40, 20), ("links", 2): (10, 60), ("links", 3): (3, 300),
     ("words", -1): (40, 40), ("words", 0): (5, 40), ("words", 1): (10, 60), ("words", 2): (20, 50), ("words", 3): (60, 40), ("words", 4): (120, 25), ("words", 5): (120, 8),
     ("stop", None): (60, 60), ("stop", True): (300, 100), ("stop", False): (60, 240), ("tag", "p"): (300, 60), ("tag", "heading"): (60, 30), ("tag", "li"): (30, 150), ("tag", "other"): (60, 120),
@@ -82,30 +87,70 @@ class Node:
 
 
 class Block:
-    __slots__ = ("text", "tag", "kind", "node", "links")
+    __slots__ = ("text", "tag", "part", "kind", "node", "links")
 
-    def __init__(self, text: str, tag: str, kind: str, node: Node, links: float):
-        self.text, self.tag, self.kind, self.node, self.links = text, tag, kind, node, links
+    def __init__(self, text: str, tag: str, part: Part | None, node: Node, links: float):
+        self.text, self.tag, self.part, self.node, self.links, self.kind = text, tag, part, node, links, "none"
 
 
-def _kind(tag: str, attrs: str, above: str) -> str:
-    """What part of the page an element is, given what it is in."""
-    if above in BOILER:
-        return above
+def attributes(text: str) -> dict[str, str]:
+    """Names, in small letters, and values without their quotes; of an attribute that is there twice the first counts, as in HTML."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        if m[1]:
+            value = m[2] or ""
+            out.setdefault(m[1].lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return out
+
+
+def _own_kind(tag: str, text: str) -> str | None:
+    """What part of the page an element is by its own name and attributes. The words of body and html tell of the whole page, not of a part."""
     kind = KIND_OF_TAG.get(tag)
-    if attrs:
-        if HIDDEN.search(attrs):
-            return "hidden"
-        for value in NAMES.findall(attrs):
-            for word in WORD.findall(value):
-                found = KIND_OF_WORD.get(word.lower())
-                if found in BOILER or (found and kind is None):
-                    kind = found
-    if kind == "head" and above == "body" or kind is None:  # the heading of an article is part of it
-        return above
+    if not text or tag in ("html", "body"):
+        return kind
+    given = attributes(text)
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or UNSEEN.search(given.get("style", "")):
+        return "hidden"
+    for name in NAMED_BY:
+        for token in given.get(name, "").split():
+            words = [w.lower() for w in WORD.findall(token)]
+            if STATES.isdisjoint(words):
+                for found in map(KIND_OF_WORD.get, words):
+                    if found in BOILER or (found and kind is None):
+                        kind = found
     return kind
 
 
+class Part:
+    """An element that says what part of the page it is, the nearest such one around it, and what it holds: characters, and whether there are signs of the page's own text in it."""
+
+    __slots__ = ("kind", "tag", "above", "size", "main", "said")
+
+    def __init__(self, kind: str, tag: str, above: Part | None):
+        self.kind, self.tag, self.above, self.size, self.main, self.said = kind, tag, above, 0, False, "none"
+
+
+def settle(blocks: list[Block], parts: list[Part]) -> None:
+    """Gives each block its kind: the outermost boilerplate part that it is in, else the nearest other one. parts: each after the one that it is in.
+
+    A boilerplate part that holds over half of the page's text and, unless it is a form, a first heading, an article or a main element too, is the page's wrapper: its kind says nothing.
+    """
+    whole = sum(len(b.text) for b in blocks)
+    for b in blocks:
+        if b.part is not None:
+            b.part.size += len(b.text)
+    for p in reversed(parts):
+        if p.above is not None:
+            p.above.size += p.size
+            p.above.main |= p.main
+    for p in parts:
+        around = p.above.said if p.above is not None else "none"
+        wraps = p.kind in BOILER and 2 * p.size > whole and (p.main or p.tag == "form")
+        p.said = around if around in BOILER or wraps or p.kind == "head" and around == "body" else p.kind  # the heading of an article is part of it
+    for b in blocks:
+        b.kind = b.part.said if b.part is not None else "none"
+
+
 def tokens(html: str) -> Iterator[tuple[str, bool, str]]:
     """The text and the tags of a page in order: ("", False, text), or (name, whether it ends the element, attributes). Each character is passed a fixed number of times.
 
@@ -165,14 +210,14 @@ class Open:
     """The elements that are open at a place of a page; the nearest of given names is found without going through the others."""
 
     def __init__(self):
-        self.stack: list[tuple] = []  # tag, kind, node, no text, in a link, tag and kind of the nearest element that is no part of a line
+        self.stack: list[tuple] = []  # tag, part, node, no text, in a link, tag and part of the nearest element that is no piece of a line
         self.places: dict[str, list[int]] = {}
-        self.push("", "none", Node(None), False, False)
+        self.push("", None, Node(None), False, False)
 
-    def push(self, tag: str, kind: str, node: Node, silent: bool, linked: bool) -> None:
+    def push(self, tag: str, part: Part | None, node: Node, silent: bool, linked: bool) -> None:
         self.places.setdefault(tag, []).append(len(self.stack))
-        own = self.stack[-1][5] if tag in INLINE and self.stack else (tag, kind)
-        self.stack.append((tag, kind, node, silent, linked, own))
+        own = self.stack[-1][5] if tag in INLINE and self.stack else (tag, part)
+        self.stack.append((tag, part, node, silent, linked, own))
 
     def _nearest(self, names: set[str]) -> int:
         return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
@@ -187,8 +232,12 @@ class Open:
 
 
 def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page in page order. Whatever is malformed is read as far as it goes; nothing is left out for its length or depth."""
+    """The text blocks of a page in page order, with their kinds. Whatever is malformed is read as far as it goes; nothing is left out for its length or depth.
+
+    A head that is not closed ends where an element or a text comes that a head can't have.
+    """
     out: list[Block] = []
+    kinds: list[Part] = []
     open_ = Open()
     stack = open_.stack
     parts: list[str] = []
@@ -203,6 +252,8 @@ def blocks_of(html: str) -> list[Block]:
         linked = 0
 
     for tag, ending, rest in tokens(html):
+        if stack[-1][0] == "head" and (tag not in HEAD if tag else not rest.isspace()):
+            open_.close({"head"}, set())
         if not tag or tag == "br":
             if not stack[-1][3]:
                 text = unescape(rest) if not tag else " "
@@ -210,11 +261,11 @@ def blocks_of(html: str) -> list[Block]:
                 if stack[-1][4]:
                     linked += len(text.strip())
             continue
-        inline = tag in INLINE
+        inline = tag in INLINE or stack[-1][3]  # within a drawing, a choice or the like nothing ends the line around it
         if not inline:
             flush()
         if ending:
-            open_.close({tag}, SCOPES - {tag} if inline or tag == "p" else set())
+            open_.close({tag}, SCOPES - {tag} if tag in INLINE or tag == "p" else set())
             continue
         if not inline:
             open_.close({"p"}, SCOPES)
@@ -223,8 +274,15 @@ def blocks_of(html: str) -> list[Block]:
         if tag in RAW or tag in EMPTY or rest.endswith("/"):  # of raw elements nothing comes
             continue
         top = stack[0] if tag == "body" else stack[-1]
-        open_.push(tag, _kind(tag, rest, top[1]), top[2] if inline else Node(top[2]), top[3] or tag in NO_TEXT, top[4] or tag == "a")
+        part, own = top[1], _own_kind(tag, rest)
+        if part is not None and (own == "body" or tag == "h1"):
+            part.main = True
+        if own:
+            part = Part(own, tag, part)
+            kinds.append(part)
+        open_.push(tag, part, top[2] if inline else Node(top[2]), top[3] or tag in NO_TEXT, top[4] or tag == "a")
     flush()
+    settle(out, kinds)
     return out
 
 
