@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from loomline.operators.stored import forget, lookup, stored
 
 
-def _moving(state: DataFrame) -> int:
-    return state.filter("next IS NOT NULL").count()
+def _counts(state: DataFrame) -> tuple[int, int]:
+    """All rows, and those that have not come to their end."""
+    return tuple(state.agg(F.count("*"), F.count("next")).first())
 
 
 def totals(nodes: DataFrame, above: dict[str, str], below: dict[str, str]) -> DataFrame:
@@ -27,7 +28,7 @@ def totals(nodes: DataFrame, above: dict[str, str], below: dict[str, str]) -> Da
     columns = [*above, *below]
     start = nodes.select("id", F.when(F.col("next") != F.col("id"), F.col("next")).alias("next"), F.col("id").alias("top"), F.when(F.col("next") == F.col("id"), "cycle").when(F.col("next").isNull(), "root").alias("ended"), F.lit(None).cast("string").alias("missing_id"), *[F.col(v).alias(k) for k, v in (above | below).items()])
     state = stored(start, "walk")
-    size, left = state.count(), _moving(state)
+    size, left = _counts(state)
     while left:
         moving = state.filter("next IS NOT NULL")
         reached = state.select(F.col("id").alias("next"), F.lit(True).alias("_there"), F.col("next").alias("_next"), F.col("top").alias("_top"), F.col("ended").alias("_ended"), F.col("missing_id").alias("_missing"), *[F.col(c).alias(f"_{c}") for c in above])
@@ -43,7 +44,7 @@ def totals(nodes: DataFrame, above: dict[str, str], below: dict[str, str]) -> Da
             out = out.join(gathered, "id", "left").select("id", "next", "top", "ended", "missing_id", *above, *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in below])
         new = stored(out, "walk")
         forget(state)
-        state, before, left = new, left, _moving(new)
+        state, before, left = new, left, _counts(new)[1]
         if left == before:  # each level of a tree has rows that end in the round that reaches it: only cycles go on
             break
     ended = F.coalesce("ended", F.lit("cycle"))
@@ -59,7 +60,7 @@ def chains(nodes: DataFrame, carried: list[str]) -> DataFrame:
     none = F.array().cast(nodes.select(F.array(own).alias("a")).schema["a"].dataType)
     loops = F.col("next") == F.col("id")
     state = stored(nodes.select("id", F.when(~loops, F.col("next")).alias("next"), own.alias("own"), none.alias("chain"), F.when(F.col("next").isNull(), "root").when(loops, "cycle").alias("ended"), F.lit(None).cast("string").alias("missing_id")), "walk")
-    size, left = state.count(), _moving(state)
+    size, left = _counts(state)
     ids = lambda c: F.transform(c, lambda x: x["id"])
     while left:
         reached = state.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.array_prepend("chain", F.col("own")).alias("_more"), F.col("ended").alias("_ended"), F.col("missing_id").alias("_missing"))
@@ -74,5 +75,5 @@ def chains(nodes: DataFrame, carried: list[str]) -> DataFrame:
         )
         new = stored(moved.unionByName(state.filter("next IS NULL")), "walk")
         forget(state)
-        state, left = new, _moving(new)
+        state, left = new, _counts(new)[1]
     return state.select("id", F.reverse("chain").alias("chain"), "ended", "missing_id")

@@ -152,15 +152,18 @@ def deletable(lines: DataFrame) -> DataFrame:
 
 
 def expanded_by_default(lines: DataFrame, current: str) -> DataFrame:
-    """(id): the roots and the ancestors of the current line."""
-    up = ancestor_ids(lines, dangling=False).filter(F.col("id") == current).select(F.explode("ancestors").alias("id"))
+    """(id): the roots and the ancestors of the current line; of one in or under a cycle the roots alone."""
+    from loomline.operators.intervals import number, way_to
+
+    up = way_to(number(lines), current).filter(F.col("id") != current).select("id")
     return lines.filter("parent_line_id is null or parent_line_id = ''").select("id").union(up).distinct()
 
 
 def path_to(lines: DataFrame, line_id: str) -> DataFrame:
     """(position, id): the way from the root to a line; nothing for a line that no root leads to."""
-    way = ancestry(lines).filter((F.col("id") == line_id) & (F.col("ended") == "root"))
-    return way.select(F.posexplode(F.array_append(F.transform("chain", lambda c: c["id"]), F.col("id"))).alias("position", "id"))
+    from loomline.operators.intervals import number, way_to
+
+    return way_to(number(lines, "drop"), line_id).select(F.col("depth").alias("position"), "id")
 
 
 def short_ancestry(lines: DataFrame) -> DataFrame:

@@ -58,9 +58,9 @@ def counts(messages: DataFrame) -> DataFrame:
 
 def report(messages: DataFrame, lines: DataFrame) -> DataFrame:
     """(check, rows): how many rows break each rule; all are 0 in a sound snapshot."""
-    from loomline.operators.hierarchy import cycles
+    from loomline.operators.hierarchy import depths
 
-    checks = {"message_without_line": orphan_messages(messages, lines), "line_without_parent": dangling_parents(lines), "self_reference": self_references(lines), "cycle": cycles(lines)}
+    checks = {"message_without_line": orphan_messages(messages, lines), "line_without_parent": dangling_parents(lines), "self_reference": self_references(lines), "cycle": depths(lines).filter("ended = 'cycle'")}
     out = None
     for name, found in checks.items():
         row = found.agg(F.lit(name).alias("check"), F.count("*").alias("rows"))

@@ -16,7 +16,7 @@ from loomline.plans.registry import register
 from loomline.sources import changes, csv_records
 from loomline.sources.directory import Directory
 from loomline.sources.parts import Parts
-from loomline.streaming import groups
+from loomline.streaming import groups, sessions
 
 _LIVE = ", live AS (SELECT * FROM messages WHERE NOT coalesce(deleted, false))"
 _AT = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -157,3 +157,33 @@ def streamed_line_groups(spark, d):
     stream = spark.readStream.schema(T.StructType(m.schema.fields)).option("maxFilesPerTrigger", 4).parquet(source)
     groups.line_groups(stream, lateness="40000 hours").writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("line_id", as_text("start").alias("start"), as_text("end").alias("end"), "messages", "first_id")
+
+
+@register("streamed_sessions", duckdb("messages") + """, g AS (SELECT line_id, timestamp, lag(timestamp) OVER w AS prev, id FROM messages WINDOW w AS (PARTITION BY line_id ORDER BY timestamp, id)),
+    s AS (SELECT *, sum(CASE WHEN prev IS NULL OR timestamp - prev > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY timestamp, id) AS grp FROM g)
+    SELECT line_id, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS end, count(*) AS messages FROM s GROUP BY line_id, grp""")
+def streamed_sessions(spark, d):
+    """The second half of the messages first, all of them, then the first half and a third of the others again."""
+    source, out, marks = (new_path(spark, label) for label in ("messages", "sessions", "marks"))
+    m = stamped(view(spark, d, "messages")).select("id", "line_id", "timestamp")
+    k = F.substring("id", 2, 20).cast("long")
+    m.filter(k % 2 == 1).write.parquet(source)
+    m.filter((k % 2 == 0) | (k % 3 == 0)).write.mode("append").parquet(source)
+    last = m.agg(F.max("timestamp")).first()[0]
+    spark.createDataFrame([("end", "the end", last + dt.timedelta(days=1700))], m.schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(T.StructType(m.schema.fields)).option("maxFilesPerTrigger", 4).parquet(source)
+    sessions.session_counts(stream, lateness="40000 hours").writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("line_id", as_text("start").alias("start"), as_text("end").alias("end"), "messages")
+
+
+@register("streamed_snapshot", duckdb("messages") + _CHANGED + " SELECT id, CASE WHEN k % 90 = 5 THEN 'second ' ELSE '' END || content AS content FROM n WHERE NOT coalesce(deleted, false) AND k % 90 <> 6")
+def streamed_snapshot(spark, d):
+    """All messages, then changed and deleted ones as another batch, which is offered once more."""
+    source, out, marks = (new_path(spark, label) for label in ("messages", "snapshot", "marks"))
+    m, k = _messages(spark, d), F.substring("id", 2, 20).cast("long") % 90
+    late = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    for batch in (m, m.filter(k.isin(5, 6)).withColumns({"content": F.concat(F.lit("second "), "content"), "updated_at": late, "deleted": F.coalesce("deleted", F.lit(False)) | (k == 6)}), m.limit(0)):
+        batch.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(T.StructType(m.schema.fields)).parquet(source)
+        sessions.keep_snapshot(stream, out, marks, parts=16).awaitTermination()
+    return Parts(spark, out).read().select("id", "content")

@@ -33,6 +33,11 @@ def _at() -> Column:
     return F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(-(1 << 63)))
 
 
+def _id(schema: T.StructType) -> Column:
+    """The id; of a row without one a text made of all that it holds."""
+    return F.coalesce(F.col("id"), F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(f"`{f.name}`") for f in schema]).cast("string")))
+
+
 def _key(r: Row, end: str) -> tuple[int, str]:
     return r[f"{end}_at"], r[f"{end}_id"]
 
@@ -74,7 +79,7 @@ class Directory:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/rows/{r['folder']}" for r in ranges])
 
     def append(self, rows: DataFrame, keep: int = 2) -> int:
-        """Adds messages, of any times; gives the number of ranges that were written again. A message with the id and time of one that is there takes its place; of several such in rows a hash decides.
+        """Adds messages, of any times; gives the number of ranges that were written again. A message with the id and time of one that is there takes its place; of several such in rows a hash decides. Rows without an id are told apart by what they hold.
 
         The last range is filled up before new ones begin. keep: versions that stay readable.
         """
@@ -89,18 +94,18 @@ class Directory:
                 of = [len(starts) if end is not None and p > end else max(0, bisect_right(starts, p) - 1) for p in places]
                 yield b.append_column("_of", pa.array(of, pa.int32()))
 
-        new = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema])
-        new = new.select(F.struct(*columns).alias("_row"), _at().alias("_at"), F.coalesce(F.col("id"), F.lit("")).alias("_id"))
-        placed = stored(new.mapInArrow(work, T.StructType([*new.schema, T.StructField("_of", T.IntegerType())])), "placed")
+        def keyed(df: DataFrame) -> DataFrame:
+            """Rows as (_row, _at, _id, _of): their place, and the number of the range that it is in."""
+            named = df.select(F.struct(*columns).alias("_row"), _at().alias("_at"), _id(self.schema).alias("_id"))
+            return named.mapInArrow(work, T.StructType([*named.schema, T.StructField("_of", T.IntegerType())]))
+
+        placed = stored(keyed(rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema])), "placed")
         counts = {r["_of"]: r["count"] for r in placed.groupBy("_of").count().collect()}  # a row for each range at most
         if not counts:
             forget(placed)
             return 0
         touched = [n for n in counts if n < len(ranges)]
-        old = placed.limit(0).withColumn("_new", F.lit(0))
-        for n in touched:
-            mine = self._read([ranges[n]]).select(F.struct(*columns).alias("_row"), _at().alias("_at"), F.coalesce(F.col("id"), F.lit("")).alias("_id"), F.lit(n).cast("int").alias("_of"), F.lit(0).alias("_new"))
-            old = old.unionByName(mine)
+        old = keyed(self._read([ranges[n] for n in touched])).withColumn("_new", F.lit(0))
         once = old.unionByName(placed.withColumn("_new", F.lit(1))).groupBy("_of", "_at", "_id").agg(F.max_by("_row", F.struct("_new", F.xxhash64("_row"))).alias("_row"))
         tasks = sum(max(1, -(-(counts[n] + (ranges[n]["rows"] if n < len(ranges) else 0)) // self.size)) for n in counts)
         order = [F.col("_of"), F.col("_at"), F.col("_id")]
@@ -111,7 +116,7 @@ class Directory:
         ranged.select("_row.*", "_of", "_range").write.partitionBy("_of", "_range").parquet(f"{self.path}/rows/{writing}")
         forget(placed)
         made = self.spark.read.schema(T.StructType([*self.schema, T.StructField("_of", T.IntegerType()), T.StructField("_range", T.IntegerType())])).parquet(f"{self.path}/rows/{writing}")
-        place = F.struct(_at().alias("at"), F.coalesce(F.col("id"), F.lit("")).alias("id"))
+        place = F.struct(_at().alias("at"), _id(self.schema).alias("id"))
         ends = made.groupBy("_of", "_range").agg(F.count("*").alias("rows"), F.min(place).alias("f"), F.max(place).alias("l")).collect()  # a row for each new range
         fresh = [(f"{writing}/_of={r['_of']}/_range={r['_range']}", r["rows"], *r["f"], *r["l"]) for r in ends]
         self._publish([*(tuple(r) for n, r in enumerate(ranges) if n not in set(touched)), *fresh], number)
@@ -145,7 +150,7 @@ class Directory:
                 wanted.append(r)
                 skipped = passed if len(wanted) == 1 else skipped
             passed += r["rows"]
-        rows = self._read(wanted).withColumns({"_at": _at(), "_id": F.coalesce(F.col("id"), F.lit(""))})
+        rows = self._read(wanted).withColumns({"_at": _at(), "_id": _id(self.schema)})
         near = rows.orderBy(F.desc("_at"), F.desc("_id")).limit(stop - skipped).orderBy("_at", "_id").limit(stop - newer)
         return near.withColumn("index", F.row_number().over(W.orderBy("_at", "_id")) - 1).drop("_at", "_id")  # one page of rows
 
@@ -155,7 +160,7 @@ class Directory:
         before = 0
         for r in self.ranges():
             if r["last_at"] >= start:
-                rows = self._read([r]).withColumns({"_at": _at(), "_id": F.coalesce(F.col("id"), F.lit(""))})
+                rows = self._read([r]).withColumns({"_at": _at(), "_id": _id(self.schema)})
                 place = F.row_number().over(W.orderBy("_at", "_id")) - 1 + before  # one range of rows
                 return rows.withColumn("place", place).filter(F.col("_at") >= start).orderBy("_at", "_id").limit(1).drop("_at", "_id")
             before += r["rows"]
