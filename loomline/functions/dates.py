@@ -21,16 +21,18 @@ def minute_text(ts: Column) -> Column:
     return F.date_format(F.date_trunc("minute", ts), "yyyy-MM-dd HH:mm")
 
 
-def relative_time(ts: Column, now: Column, fallback: Column | None = None) -> Column:
-    """How long ago: now, minutes, hours, days, or months of 30 days, by another time where ts is null; empty if both are."""
+def relative_time(ts: Column, now: Column, fallback: Column | None = None, whole_days: bool = False) -> Column:
+    """How long ago: now, minutes, hours, days, or months of 30 days, by another time where ts is null; empty if both are.
+
+    whole_days: nothing finer than days; less than a day is 0 days, times to come are negative days.
+    """
     ts = ts if fallback is None else F.coalesce(ts, fallback)
     minutes = F.floor(seconds_between(ts, now) / 60)
     hours, days = F.floor(seconds_between(ts, now) / 3600), F.floor(seconds_between(ts, now) / 86400)
     text = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
-    return (
-        F.when(ts.isNull(), "").when(minutes < 1, JUST_NOW).when(minutes < 60, text(minutes, MINUTES_AGO)).when(hours < 24, text(hours, HOURS_AGO)).when(days < 30, text(days, DAYS_AGO))
-        .otherwise(text(F.floor(days / 30), MONTHS_AGO))
-    )
+    given = F.when(ts.isNull(), "")
+    finer = given if whole_days else given.when(minutes < 1, JUST_NOW).when(minutes < 60, text(minutes, MINUTES_AGO)).when(hours < 24, text(hours, HOURS_AGO))
+    return finer.when(days < 30, text(days, DAYS_AGO)).otherwise(text(F.floor(days / 30), MONTHS_AGO))
 
 
 def separator_label(ts: Column, now: Column) -> Column:

@@ -183,6 +183,26 @@ def test_date_functions(spark):
     assert one(spark, dates.edited_label(ts("2024-01-01 10:00:00"), ts("2024-01-01 11:05:00"))) == "11:05"
 
 
+def test_relative_times_of_late_lines_equal_their_sql(spark, sf_dir, tmp_path):
+    """Customers whose keys put their times within the last day, and after the present."""
+    import shutil
+
+    import duckdb
+    from compare import same
+
+    from loomline.plans.queries import ORACLES, QUERIES
+
+    for t in ("region", "nation"):
+        shutil.copy(f"{sf_dir}/{t}.parquet", tmp_path)
+    late = duckdb.connect()
+    late.sql(f"COPY (SELECT * REPLACE (715000 + c_custkey * 101 AS c_custkey) FROM '{sf_dir}/customer.parquet' UNION ALL SELECT * REPLACE (720000 - 10 * c_custkey AS c_custkey) FROM '{sf_dir}/customer.parquet') TO '{tmp_path}/customer.parquet'")
+    for t in ("region", "nation", "customer"):
+        late.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    wanted = late.sql(ORACLES["relative_times"]).df()
+    assert {"-1日前", "0日前"} <= set(wanted["relative_time"])
+    same(QUERIES["relative_times"](spark, str(tmp_path)), wanted)
+
+
 def test_metadata_functions(spark):
     assert one(spark, json.metadata_text(F.lit('{"b":1,"a":true,"c":null}'))) == "a: true, b: 1" and one(spark, json.metadata_text(F.lit(None).cast("string"))) is None
     assert one(spark, json.ids_of(F.lit('["a","b"]'))) == ["a", "b"] and one(spark, json.ids_of(F.lit("a"))) == ["a"]
