@@ -1,7 +1,7 @@
 """Numbers of an Euler tour: each line has an entry number, and the lines below it have the numbers from there to its exit.
 
 "Is below" is then a comparison of numbers, a subtree a range of them, and what a subtree adds up to a difference of running sums: no list of ancestors is made or
-read. Numbers come from subtree sizes, running sums over siblings and sums along the way up, each by pointer doubling.
+read. Numbers come from subtree sizes, running sums over siblings and sums along the way up (see doubling).
 """
 
 from __future__ import annotations
@@ -13,32 +13,37 @@ from pyspark.sql import functions as F
 from loomline.model import MAIN_LINE
 from loomline.operators import doubling
 from loomline.operators.hierarchy import next_line
-from loomline.operators.stored import all_of, own_name, stored
+from loomline.operators.stored import all_of, forget, own_name, stored
+
+#: Children beyond which those of a parent are no single task's.
+BROOD = 100_000
 
 
 def number(lines: DataFrame, orphans: str = "root") -> DataFrame:
     """(id, parent_line_id, depth, root_id, entry, exit) of lines in depth-first order, entry from 1 without gaps; a stored table.
 
     Siblings are in order of created_at (none first) and id; among roots the main line is first. orphans: "root" has them as roots, "drop" leaves them and what is below out. Lines in
-    or under cycles have no numbers. A parent of very many lines is summed up by days of created_at, so that it is no single task's.
+    or under cycles have no numbers. A parent of more than BROOD lines is summed up by days of created_at, so that it is no single task's.
     """
     if orphans not in ("root", "drop"):
         raise ValueError("orphans is 'root' or 'drop'")
     nodes = lines.select("id", next_line().alias("next"), F.col("created_at").alias("at"), F.lit(1).cast("long").alias("one"))
-    sized = doubling.totals(nodes, {"levels": "one"}, {"size": "one"})
+    sized = doubling.totals(nodes, {"levels": "one"}, {"size": "one"}, ["next", "at"])
     kept = sized.filter("ended <> 'cycle'" if orphans == "root" else "ended = 'root'")
-    held = nodes.join(kept.select("id", "levels", "size", "top"), "id")
     root = F.col("levels") == 1
     day = F.when(root & (F.col("id") == MAIN_LINE), "").otherwise(F.coalesce(F.to_date("at").cast("string"), F.lit("0")))
-    dated = stored(held.select("id", F.when(root, "").otherwise(F.col("next")).alias("of"), day.alias("day"), "at", "size", "levels", "top"), "siblings")
+    dated = kept.select("id", F.when(root, "").otherwise(F.col("next")).alias("of"), day.alias("day"), "at", "size", "levels")
 
     earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    days = dated.groupBy("of", "day").agg(F.sum("size").alias("size")).select("of", "day", earlier(W.partitionBy("of").orderBy("day")).alias("before"))
-    weighed = dated.withColumn("within", earlier(W.partitionBy("of", "day").orderBy("at", "id"))).join(days, ["of", "day"])
-    step = stored(weighed.select("id", F.nullif("of", F.lit("")).alias("next"), (F.col("before") + F.col("within") + 1).alias("weight"), "size", "levels", "top"), "weights")
-    placed = doubling.totals(step.select("id", "next", "weight"), {"entry": "weight"}, {})
-    out = step.join(placed.select("id", "entry"), "id")
-    return stored(out.select("id", F.col("next").alias("parent_line_id"), (F.col("levels") - 1).cast("int").alias("depth"), F.col("top").alias("root_id"), "entry", (F.col("entry") + F.col("size") - 1).alias("exit")), "numbered")
+    large = stored(dated.groupBy("of").count().filter(F.col("count") > BROOD).select("of", F.lit(True).alias("_large")), "broods")
+    cut = dated.join(F.broadcast(large), "of", "left").withColumn("unit", F.when(F.col("_large"), F.col("day")).otherwise("")).drop("_large")  # at most a row for each BROOD lines
+    days = cut.join(F.broadcast(large), "of", "left_semi").groupBy("of", "unit").agg(F.sum("size").alias("size")).select("of", "unit", earlier(W.partitionBy("of").orderBy("unit")).alias("before"))
+    weighed = cut.withColumn("within", earlier(W.partitionBy("of", "unit").orderBy("day", "at", "id"))).join(days, ["of", "unit"], "left")
+    step = stored(weighed.select("id", F.nullif("of", F.lit("")).alias("next"), (F.coalesce("before", F.lit(0)) + F.col("within") + 1).alias("weight"), "size", "levels"), "weights")
+    placed = doubling.totals(step, {"entry": "weight"}, {}, ["next", "size", "levels"])
+    for table in (sized, large, step):
+        forget(table)
+    return placed.select("id", F.col("next").alias("parent_line_id"), (F.col("levels") - 1).cast("int").alias("depth"), F.col("top").alias("root_id"), "entry", (F.col("entry") + F.col("size") - 1).alias("exit"))
 
 
 def save(numbered: DataFrame, path: str) -> None:

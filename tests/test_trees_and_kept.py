@@ -122,6 +122,35 @@ def test_a_long_cycle_and_what_leads_into_it(spark):
     assert {r["id"] for r in intervals.number(lines).collect()} == {"free", "under"}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_contracted_trees_equal_walks(spark, seed, monkeypatch):
+    """Many small parts, several contractions and hot parents, on forests with orphans, cycles and chains of mixed names."""
+    parents = random_forest(seed, 120) | {f"c{i * 37 % 101}": f"c{(i + 1) * 37 % 101}" if i < 100 else None for i in range(101)} | {f"s{i}": "s" for i in range(20)} | {"s": "n3"} | {f"r{i}": f"r{(i + 1) % 9}" for i in range(9)}
+    for module, name, value in ((doubling, "SMALL", 60), (doubling, "PART", 25), (doubling, "HOT", 5), (intervals, "BROOD", 4)):
+        monkeypatch.setattr(module, name, value)
+    steps, whole = [], doubling._parts
+    monkeypatch.setattr(doubling, "_parts", lambda state, size, step: steps.append((step, size)) or whole(state, size, step))
+    lines = made_lines(spark, parents)
+    depths = {r["id"]: (r["depth"], r["root_id"], r["ended"], r["missing_id"]) for r in hierarchy.depths(lines).collect()}
+    ways = {i: plain_way(parents, i) for i in parents}
+    assert depths == {i: (len(way), (way or [i])[-1], *ended) if ended[0] != "cycle" else (None, None, *ended) for i, (way, ended) in ways.items()}
+    assert max(step for step, _ in steps) >= 2
+    numbered = intervals.number(lines)
+    assert {r["id"]: (r["depth"], r["root_id"], r["entry"], r["exit"]) for r in numbered.collect()} == plain_numbers(parents, "root")
+
+
+def test_a_deep_chain_is_walked_in_its_parts(spark, monkeypatch):
+    """300,000 lines in one chain: what is left after the parts have contracted it is a row or so for each part, so tables of the walk hold few rows beyond those of the lines."""
+    made = []
+    monkeypatch.setattr(doubling, "stored", lambda df, label: made.append((label, stored_tables.stored(df, label))) or made[-1][1])
+    monkeypatch.setattr(doubling, "forget", lambda table: None)
+    n = 300_000
+    lines = spark.range(n).select(F.format_string("k%07d", "id").alias("id"), F.when(F.col("id") > 0, F.format_string("k%07d", F.col("id") - 1)).alias("parent_line_id"))
+    found = hierarchy.depths(lines)
+    assert found.filter(F.col("depth") != F.substring("id", 2, 7).cast("int")).count() == 0 and found.count() == n
+    assert sum(t.count() for _, t in made) < 3.1 * n
+
+
 def test_no_lines(spark):
     none = spark.createDataFrame([], model.LINES)
     assert hierarchy.depths(none).count() == hierarchy.ancestry(none).count() == intervals.number(none).count() == 0
