@@ -13,6 +13,7 @@ import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
@@ -23,8 +24,8 @@ from loomline.model import PAGE_SIZE
 from loomline.operators.stored import delete, forget, stored
 from loomline.sources import published
 
-#: Rows of a range, about.
-RANGE = 100_000
+#: Rows of a range, about, and rows that a task sorts where there are more ranges than tasks.
+RANGE, TASK = 100_000, 250_000
 VERSION = "folder string, rows long, first_at long, first_id string, last_at long, last_id string"
 
 
@@ -42,11 +43,32 @@ def _key(r: Row, end: str) -> tuple[int, str]:
     return r[f"{end}_at"], r[f"{end}_id"]
 
 
+def _cut(size: int):
+    """A task's sorted rows with _range: those of an old range (_of) in even runs of at most ``size`` rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held, first = list(batches), TaskContext.get().partitionId() << 32  # about TASK rows
+        if not held:
+            return
+        of = np.concatenate([b.column(b.schema.get_field_index("_of")).to_numpy() for b in held])
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        n = np.diff(np.append(starts, len(of)))
+        nth, all_ = np.arange(len(of)) - np.repeat(starts, n), np.repeat(n, n)
+        number, at = first + nth * -(-all_ // size) // all_, 0
+        for b in held:
+            yield b.append_column("_range", pa.array(number[at : at + b.num_rows], pa.int64()))
+            at += b.num_rows
+
+    return work
+
+
 class Directory:
     """The timeline in a folder: rows with id and timestamp, in the order of both. A range is a row of the list that the driver reads, so the list has as many rows as there are files."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self._listed = spark, path, {}
         self.schema = T.StructType.fromJson(json.loads(spark.read.parquet(f"{path}/settings").first()["columns"]))
         self.size = spark.read.parquet(f"{path}/settings").first()["size"]
 
@@ -70,8 +92,11 @@ class Directory:
 
     def ranges(self, number: int | None = None) -> list[Row]:
         """The ranges of a version in order."""
-        found = self.spark.read.schema(VERSION).parquet(published.place(f"{self.path}/versions", self.number() if number is None else number)).collect()
-        return sorted(found, key=lambda r: _key(r, "first"))
+        number = self.number() if number is None else number
+        if number not in self._listed:  # a version never changes once it is published
+            found = self.spark.read.schema(VERSION).parquet(published.place(f"{self.path}/versions", number)).collect()
+            self._listed[number] = sorted(found, key=lambda r: _key(r, "first"))
+        return list(self._listed[number])
 
     def _read(self, ranges: list[Row]) -> DataFrame:
         if not ranges:
@@ -107,15 +132,21 @@ class Directory:
         touched = [n for n in counts if n < len(ranges)]
         old = keyed(self._read([ranges[n] for n in touched])).withColumn("_new", F.lit(0))
         once = old.unionByName(placed.withColumn("_new", F.lit(1))).groupBy("_of", "_at", "_id").agg(F.max_by("_row", F.struct("_new", F.xxhash64("_row"))).alias("_row"))
-        tasks = sum(max(1, -(-(counts[n] + (ranges[n]["rows"] if n < len(ranges) else 0)) // self.size)) for n in counts)
+        rows_of = {n: c + (ranges[n]["rows"] if n < len(ranges) else 0) for n, c in counts.items()}
+        tasks = sum(max(1, -(-c // self.size)) for c in rows_of.values())
         order = [F.col("_of"), F.col("_at"), F.col("_id")]
-        ranged = once.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+        some = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(rows_of.values()) // TASK))
+        ranged = once.repartitionByRange(min(tasks, some), *order).sortWithinPartitions(*order)
+        if tasks <= some:
+            ranged = ranged.withColumn("_range", F.spark_partition_id().cast("long"))
+        else:  # a task writes several ranges: a task for each would send the driver its sample, its report and its sizes
+            ranged = ranged.mapInArrow(_cut(self.size), T.StructType([*ranged.schema, T.StructField("_range", T.LongType())]))
 
         number = self.number() + 1
         writing = f"{number:010d}-{uuid.uuid4().hex}"
         ranged.select("_row.*", "_of", "_range").write.partitionBy("_of", "_range").parquet(f"{self.path}/rows/{writing}")
         forget(placed)
-        made = self.spark.read.schema(T.StructType([*self.schema, T.StructField("_of", T.IntegerType()), T.StructField("_range", T.IntegerType())])).parquet(f"{self.path}/rows/{writing}")
+        made = self.spark.read.schema(T.StructType([*self.schema, T.StructField("_of", T.IntegerType()), T.StructField("_range", T.LongType())])).parquet(f"{self.path}/rows/{writing}")
         place = F.struct(_at().alias("at"), _id(self.schema).alias("id"))
         ends = made.groupBy("_of", "_range").agg(F.count("*").alias("rows"), F.min(place).alias("f"), F.max(place).alias("l")).collect()  # a row for each new range
         fresh = [(f"{writing}/_of={r['_of']}/_range={r['_range']}", r["rows"], *r["f"], *r["l"]) for r in ends]
@@ -130,7 +161,9 @@ class Directory:
 
     def _clean(self, keep: int) -> None:
         """Deletes old versions, and writings that no version has any rows of."""
-        used = {r["folder"].split("/")[0] for n in published.drop_old(self.spark, f"{self.path}/versions", keep) for r in self.ranges(n)}
+        left = published.drop_old(self.spark, f"{self.path}/versions", keep)
+        used = {r["folder"].split("/")[0] for n in left for r in self.ranges(n)}
+        self._listed = {n: r for n, r in self._listed.items() if n in left}
         for writing in published.names(self.spark, f"{self.path}/rows"):
             if writing not in used:
                 delete(self.spark, f"{self.path}/rows/{writing}")

@@ -381,6 +381,17 @@ def test_a_page_opens_few_files_and_appends_rewrite_few_ranges(spark, tmp_path):
     assert book.append(messages_at(spark, [5], first=3000).limit(0)) == 0
 
 
+def test_many_ranges_are_few_tasks(spark, tmp_path):
+    """4,000 rows in ranges of 20: some 200 ranges, written by as many tasks as there are shuffle partitions."""
+    book = Directory.create(messages_at(spark, range(4000)), str(tmp_path / "d"), size=20)
+    book.append(messages_at(spark, range(0, 4000, 40), first=5000))
+    ranges = book.ranges()
+    assert len(ranges) >= 200 and max(r["rows"] for r in ranges) <= 20 and sum(r["rows"] for r in ranges) == book.total() == 4100
+    assert all((a["last_at"], a["last_id"]) < (b["first_at"], b["first_id"]) for a, b in zip(ranges, ranges[1:], strict=False))
+    writes = [len(p) for p in [{f.name.split("-")[1] for f in (tmp_path / "d/rows").glob(f"{w}-*/*/*/*.parquet")} for w in ("0000000001", "0000000002")] if p]
+    assert writes and max(writes) <= 4
+
+
 def test_an_empty_directory(spark, tmp_path):
     book = Directory.create(messages_at(spark, [1]).limit(0), str(tmp_path / "d"))
     assert book.total() == 0 and book.page().count() == 0 and book.first_after("2024-01-01").count() == 0 and book.page_of("2024-01-01") == 1
