@@ -64,17 +64,19 @@ def duration_minutes(start: Column, end: Column) -> Column:
 
 def parse_date_time(text: Column) -> Column:
     """YYYY/MM/DD HH:MM; the 29th to 31st of a shorter month run over into the next one, other impossible parts give null."""
-    pattern = r"^(\d{4})/(\d{1,2})/(\d{1,2})\s+(\d{1,2}):(\d{2})$"
-    part = lambda i: F.try_to_number(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")), F.lit("9999")).cast("int")
-    year, month, day, hour, minute = (part(i) for i in range(1, 6))
+    fits = text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}\s+\d{1,2}:\d{2}$")
+    plain = F.trim(F.translate(text, "\t\n\u000b\f\r\u0085\u2028\u2029:", "        /"))  # parts without a further pattern: what is between slashes and white space
+    date, time = F.substring_index(plain, " ", 1), F.substring_index(plain, " ", -1)
+    part = lambda t, i: F.when(fits, F.split_part(t, F.lit("/"), F.lit(i))).cast("int")
+    year, month, day, hour, minute = (part(t, i) for t, i in ((date, 1), (date, 2), (date, 3), (time, 1), (time, 2)))
     fine = month.between(1, 12) & day.between(1, 31) & hour.between(0, 23) & minute.between(0, 59)
     first = F.try_make_timestamp_ntz(year, month, F.lit(1), hour, minute, F.lit(0))
     return F.when(fine, F.timestamp_add("DAY", day - 1, first))
 
 
-def session_times_status(start_text: Column, end_text: Column) -> Column:
-    """ok, bad_start, bad_end or end_not_after_start for two texts; an empty one counts as not given."""
-    start, end = parse_date_time(start_text), parse_date_time(end_text)
+def session_times_status(start_text: Column, end_text: Column, start: Column | None = None, end: Column | None = None) -> Column:
+    """ok, bad_start, bad_end or end_not_after_start for two texts; an empty one counts as not given. start, end: what parse_date_time gave for them, if that is at hand."""
+    start, end = parse_date_time(start_text) if start is None else start, parse_date_time(end_text) if end is None else end
     given = lambda t: F.coalesce(t != "", F.lit(False))
     return F.when(given(start_text) & start.isNull(), "bad_start").when(given(end_text) & end.isNull(), "bad_end").when(start >= end, "end_not_after_start").otherwise("ok")
 

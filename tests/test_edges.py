@@ -183,6 +183,16 @@ def test_date_functions(spark):
     assert one(spark, dates.edited_label(ts("2024-01-01 10:00:00"), ts("2024-01-01 11:05:00"))) == "11:05"
 
 
+def test_date_texts_are_matched_once(spark, sf_dir):
+    from loomline.plans.queries import QUERIES
+
+    texts = ["2024/2/30 1:05", "2024/02/03 \t04:05", "2024/02/03 04:05\n", "2024/02/03\u000b04:05", "2024/13/01 04:05", "2024/02/03 24:00", "2024/02/03", "a2024/02/03 04:05", "", None]
+    got = [one(spark, F.date_format(dates.parse_date_time(F.lit(t).cast("string")), "MM-dd HH:mm")) for t in texts]
+    assert got == ["03-01 01:05", "02-03 04:05", "02-03 04:05", "02-03 04:05", None, None, None, None, None, None]
+    plan = QUERIES["parsed_date_times"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "try_to_number" not in plan
+
+
 def test_relative_times_of_late_lines_equal_their_sql(spark, sf_dir, tmp_path):
     """Customers whose keys put their times within the last day, and after the present."""
     import shutil
