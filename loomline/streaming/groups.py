@@ -1,73 +1,23 @@
 """Display groups over a stream: messages of a line with less than so many minutes from each to the next, closed as the watermark passes.
 
-``session_window`` would join messages exactly that far apart, which the groups of a timeline do not, so the groups are kept as state of each line.
+``session_window`` joins messages that are exactly its gap apart, which the groups of a timeline do not; times are whole microseconds, so its gap is one less.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-GROUPS = "line_id string, start timestamp, end timestamp, messages long, first_id string"
-
-
-class _Groups(StatefulProcessor):
-    """Of a line: the messages whose group may still grow, by id; a timer for each group says when it can't any more."""
-
-    def __init__(self, gap: int):
-        self.gap = gap  # microseconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getMapState("held", "id string", "at long")
-
-    def _groups(self) -> list[list[tuple[int, str]]]:
-        out: list[list[tuple[int, str]]] = []
-        for at, i in sorted((value[0], key[0]) for key, value in self.held.iterator()):
-            if out and at - out[-1][-1][0] < self.gap:
-                out[-1].append((at, i))
-            else:
-                out.append([(at, i)])
-        return out
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark, added = timerValues.getCurrentWatermarkInMs() * 1000, False
-        for r in rows:
-            if r.at >= watermark and not self.held.containsKey((r.id,)):  # earlier ones are late, or replayed after their group was closed
-                self.held.updateValue((r.id,), (r.at,))
-                added = True
-        if added:
-            timers = set(self.handle.listTimers())
-            wanted = {-(-(g[-1][0] + self.gap) // 1000) for g in self._groups()}
-            for t in timers - wanted:
-                self.handle.deleteTimer(t)
-            for t in wanted - timers:
-                self.handle.registerTimer(t)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        for g in self._groups():
-            if g[-1][0] + self.gap <= watermark:
-                for _, i in g:
-                    self.held.removeKey((i,))
-                moment = lambda at: dt.datetime.fromtimestamp(0, dt.UTC) + dt.timedelta(microseconds=at)
-                yield Row(line_id=key[0], start=moment(g[0][0]), end=moment(g[-1][0]), messages=len(g), first_id=g[0][1])
-
-    def close(self) -> None:
-        pass
 
 
 def line_groups(stream: DataFrame, minutes: int = 10, lateness: str = "1 hour") -> DataFrame:
     """(line_id, start, end, messages, first_id) of the groups of each line, each once the watermark is so many minutes past its end; the rows of timeline.groups_of_lines.
 
     stream: id, line_id, timestamp and other columns of any name. Order of arrival does not matter within the lateness, and replayed ids count once; messages that come later than that are dropped. Rows without id or
-    time are left out, those without a line are one line. The state of a line is its messages of the last minutes and of the lateness. Sets the session's state store to RocksDB, which such state needs.
+    time are left out, those without a line are one line. The state is the ids of the lateness, over all tasks, and a row for each group of a line. Sets the session's state store to RocksDB, as the ids may be many.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = stream.select("id", "line_id", F.col("timestamp").cast("timestamp").alias("timestamp")).filter("id IS NOT NULL AND timestamp IS NOT NULL").withWatermark("timestamp", lateness)
-    return rows.withColumn("at", F.unix_micros("timestamp")).groupBy("line_id").transformWithState(_Groups(minutes * 60_000_000), GROUPS, "Append", "EventTime")
+    once = rows.dropDuplicatesWithinWatermark(["line_id", "id"])
+    window = F.session_window("timestamp", f"{minutes * 60_000_000 - 1} microseconds")
+    found = once.groupBy("line_id", window).agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("end"), F.count("*").alias("messages"), F.min_by("id", F.struct("timestamp", "id")).alias("first_id"))
+    return found.select("line_id", "start", "end", "messages", "first_id")

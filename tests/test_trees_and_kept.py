@@ -475,6 +475,14 @@ def test_streamed_groups_equal_those_of_the_timeline(spark, tmp_path):
     assert contents(got.select("line_id", "start", "end", "messages", "first_id")) == wanted
 
 
+def test_streamed_groups_keep_a_row_for_each_group(spark, tmp_path):
+    """No state of single messages that a line's task looks through in each batch."""
+    messages_at(spark, [0]).withColumn("line_id", F.lit("a")).write.parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema("id string, content string, timestamp timestamp, line_id string").parquet(str(tmp_path / "m"))
+    plan = groups.line_groups(stream)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "session_window" in plan
+
+
 def test_a_kept_snapshot_rewrites_touched_parts(spark, tmp_path):
     schema = model.MESSAGES
     row = lambda i, text, when, gone=False: (i, text, T0, when, "l", None, None, None, None, "text", None, gone, None)
